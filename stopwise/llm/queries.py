@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality, secrets, topk
+from . import decontaminate, jaccard, language, language_model, packing, quality, secrets, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; rows with fold 1 are not learned from."""
+    scored = language_model.score(_table(spark, sf_dir, "documents"), _fold(5) != 1)
+    return scored.withColumn("held_out", _fold(5) == 1)
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that occur elsewhere too."""
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents"), 35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of rows with fold 1 are not learned from."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +79,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
