@@ -87,14 +87,14 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, doc_id: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: n_words, n_hit (words inside an occurrence of an item's window) and the items that occur, sorted."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, doc_id: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: n_words, n_hit (words inside an occurrence of an item's window), the items that occur, sorted, and the columns of keep."""
     cut = stash(item_windows(benchmark, window))
     total = cut.count()
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if total <= broadcast_windows:
-        return _hits_broadcast(plain, benchmark, cut, window, gram)
-    return _hits_shuffled(plain, benchmark, cut, window, gram)
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), kept.alias("kept"))
+    find = _hits_broadcast if total <= broadcast_windows else _hits_shuffled
+    return find(plain, benchmark, cut, window, gram).select("doc_id", "n_words", "n_hit", "items", *[F.col(f"kept.{c}") for c in keep])
 
 
 def _hits_broadcast(docs: DataFrame, benchmark: DataFrame, cut: DataFrame, window: int, gram: int) -> DataFrame:
@@ -140,11 +140,11 @@ def _hits_broadcast(docs: DataFrame, benchmark: DataFrame, cut: DataFrame, windo
                 found = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
                 ends = np.searchsorted(found[:, 0], np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, rows), pa.array(np.diff(w.bounds), pa.int64()), pa.array(hit, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(names[found[:, 1].astype(np.int64)], pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "items"],
+                    [batch.column(0).slice(w.first, rows), pa.array(np.diff(w.bounds), pa.int64()), pa.array(hit, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(names[found[:, 1].astype(np.int64)], pa.string())), batch.column(2).slice(w.first, rows)],
+                    names=["doc_id", "n_words", "n_hit", "items", "kept"],
                 )
 
-    return docs.mapInArrow(find, HITS)
+    return docs.mapInArrow(find, f"{HITS}, kept {docs.schema['kept'].dataType.simpleString()}")
 
 
 def _hits_shuffled(docs: DataFrame, benchmark: DataFrame, cut: DataFrame, window: int, gram: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _hits_shuffled(docs: DataFrame, benchmark: DataFrame, cut: DataFrame, window
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.concatenate([np.zeros(0, np.int64), *[np.diff(w.bounds) for w in words(batch.column(2), LETTERS_DIGITS, hashes=False)]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "key", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "key", "n_words", "kept"])
 
     emitted = keyed.select("key", "text").mapInArrow(emit, "key long, at int, size int, gram long, hash long")
     near = emitted.where("gram is not null").join(item_grams(benchmark, window, gram), "gram", "left_semi").drop("gram").unionByName(emitted.where("gram is null").drop("gram"))
@@ -186,5 +186,5 @@ def _hits_shuffled(docs: DataFrame, benchmark: DataFrame, cut: DataFrame, window
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, s: F.struct(F.greatest(acc["end"], s["at"] + s["size"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(acc["end"], s["at"]))).alias("n"))
     counted = covered.select("key", F.aggregate("spans", start, step, lambda acc: acc["n"]).alias("n_hit"))
-    base = keyed.select("doc_id", "key", "text").mapInArrow(count, "doc_id long, key long, n_words long")
-    return base.join(counted, "key", "left").join(items, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    base = keyed.select("doc_id", "key", "text", "kept").mapInArrow(count, f"doc_id long, key long, n_words long, kept {docs.schema['kept'].dataType.simpleString()}")
+    return base.join(counted, "key", "left").join(items, "key", "left").select("doc_id", "kept", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, language_model, packing, quality, secrets, substring, topk
+from . import decontaminate, jaccard, language, language_model, packing, quality, secrets, substring, topk, warc
+from .common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,22 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def _drill(row: int | None, content: bytearray, begin: int, block: int, end: int) -> None:
+    """The damage of the second replica: one bit in the middle of every 101st record by id."""
+    if row is not None and row % 101 == 7:
+        at = (block + end - 4) // 2 if end - 4 > block else block - 5
+        content[at] ^= 1
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record with its hash, audited against a replica in which some records are damaged."""
+    path = shared_path(spark)
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    files = warc.read_files(spark, path)
+    found = warc.fixity(warc.tree(files), warc.tree(warc.damaged(files, _drill)))
+    return found.select(F.col("row_id").alias("page_id"), (F.col("end") - F.col("begin")).alias("n_bytes"), F.lower(F.hex("hash")).alias("record_sha256"), "status")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with fold 0 are not learned from."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -82,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_repeated_passages": op4_repeated_passages,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_warc_fixity": op6_warc_fixity,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
@@ -89,6 +107,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), kinds AS (
+  SELECT min(doc_id) AS node, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL
+), t AS (
+  SELECT node, n, unnest(s) AS g FROM kinds
+), common AS (
+  SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM t AS a JOIN t AS b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT node AS u, node AS v FROM kinds UNION SELECT r.u, e.b FROM reached AS r JOIN both_ways AS e ON r.v = e.a
+), part AS (
+  SELECT u, min(v) AS component_id FROM reached GROUP BY u
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(p.component_id, d.doc_id) AS component_id
+FROM sets AS d LEFT JOIN kinds AS k ON list_sort(d.s) = k.s LEFT JOIN part AS p ON p.u = k.node
+""",
     "op2_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -101,5 +144,59 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op4_repeated_passages": r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), runs AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS p FROM w WHERE len(w) >= 35
+), seen AS (
+  SELECT runs.r, p, array_to_string(w.w[p:p + 34], ' ') AS passage FROM runs JOIN w USING (r)
+), again AS (
+  SELECT passage FROM seen GROUP BY passage HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM seen WHERE passage IN (SELECT passage FROM again)
+), lost AS (
+  SELECT r, list(i) AS i, count(*) AS n FROM gone GROUP BY r
+), each AS (
+  SELECT w.r, unnest(w.w) AS word, generate_subscripts(w.w, 1) AS i FROM w
+), kept AS (
+  SELECT e.r, string_agg(e.word, ' ' ORDER BY e.i) AS kept FROM each AS e ANTI JOIN gone AS g ON g.r = e.r AND g.i = e.i GROUP BY e.r
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN lost AS l USING (r) LEFT JOIN kept AS k USING (r)
+""",
+    "op6_warc_fixity": r"""
+WITH r AS (
+  SELECT page_id, md5(concat_ws('|', CAST(page_id AS VARCHAR), url)) AS h, regexp_replace(url, '[\r\n]', ' ', 'g') AS url, coalesce(html, '') AS html,
+    chr(13) || chr(10) AS nl FROM pages
+), t AS (
+  SELECT page_id, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || nl
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || coalesce('WARC-Target-URI: ' || url || nl, '') || coalesce('X-Row-Id: ' || page_id || nl, '')
+    || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS record FROM r
+)
+SELECT page_id, CAST(strlen(record) AS BIGINT) AS n_bytes, sha256(record) AS record_sha256, CASE WHEN page_id % 101 = 7 THEN 'corrupt' ELSE 'ok' END AS status FROM t
+""",
+    "op8_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS passage FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
+), runs AS (
+  SELECT r, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+), seen AS (
+  SELECT runs.r, size, p, array_to_string(d.w[p:p + size - 1], ' ') AS passage FROM runs JOIN d USING (r)
+), found AS (
+  SELECT r, seen.size, p, item FROM seen JOIN windows USING (size, passage)
+), hit AS (
+  SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(p, p + size)) AS i FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit AS h USING (r) LEFT JOIN items AS i USING (r)
 """,
 }

@@ -177,8 +177,9 @@ def listing(found: Column, rules=RULES) -> Column:
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span of the rules replaced by mark (overlapping spans once); other columns and rows stay."""
-    keep = tuple(c for c in docs.columns if c not in (doc_id, text))
-    spans = scan(docs, rules, doc_id, text, keep)
+    rest = [c for c in docs.columns if c != text]
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("kept_row"))
+    spans = scan(whole, rules, keep=("kept_row",))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -188,4 +189,4 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", doc_id: str = "
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, end)).otherwise(F.col("text"))
-    return spans.select(*[clean.alias(text) if c == text else F.col("doc_id").alias(doc_id) if c == doc_id else F.col(c) for c in docs.columns])
+    return spans.select(*[clean.alias(text) if c == text else F.col("kept_row").getField(c).alias(c) for c in docs.columns])
