@@ -22,7 +22,7 @@ SNAPSHOTS = """, at_minute AS (
 ), usable AS (
   SELECT ts, route_id, raw, list_filter(list_transform(range(1, len(t)), lambda i: t[i + 1] - t[i]), lambda g: g > 30 AND g < 3600) AS g FROM times
 ), snapshots AS (
-  SELECT f.ts, f.route_id, avg(greatest(delay, 0))::DOUBLE AS avg_delay, first(delay ORDER BY abs(delay) DESC, length(f.trip_id), f.trip_id DESC) AS max_delay,
+  SELECT f.ts, f.route_id, avg(greatest(delay, 0))::DOUBLE AS avg_delay, first(delay ORDER BY abs(delay) DESC, f.trip_id) AS max_delay,
     avg(CASE WHEN delay BETWEEN -60 AND 300 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS on_time_pct, count(*) AS trip_count,
     any_value(CASE WHEN raw >= 3 AND len(g) >= 2 THEN list_avg(g) END)::DOUBLE AS headway_sec, any_value(CASE WHEN raw >= 3 AND len(g) >= 2 AND list_avg(g) > 0 THEN list_stddev_pop(g) / list_avg(g) END)::DOUBLE AS headway_cv
   FROM first_stop f JOIN usable u ON f.ts = u.ts AND f.route_id = u.route_id GROUP BY f.ts, f.route_id

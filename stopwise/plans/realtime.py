@@ -54,9 +54,9 @@ def route_snapshots(obs: DataFrame, seconds: int = 60) -> DataFrame:
     at = obs.withColumn("ts", floor_to(F.col("ts"), seconds))
     # a trip counts by its first stop
     first = at.groupBy("ts", "route_id", "trip_id").agg(F.min_by(F.struct("delay", "predicted"), F.struct("stop_sequence", "event_id")).alias("f")).select("ts", "route_id", "trip_id", "f.*")
-    size = F.struct(F.abs("delay").alias("a"), (-F.length("trip_id")).alias("l"), F.col("trip_id").alias("t"))
+    size = F.struct((-F.abs("delay")).alias("a"), "trip_id")  # of equal sizes the first trip
     out = first.groupBy("ts", "route_id").agg(
-        F.avg(F.greatest(F.col("delay"), F.lit(0))).alias("avg_delay"), F.max_by("delay", size).alias("max_delay"),
+        F.avg(F.greatest(F.col("delay"), F.lit(0))).alias("avg_delay"), F.min_by("delay", size).alias("max_delay"),
         F.avg(F.when(F.col("delay").between(*ON_TIME), 1.0).otherwise(0.0)).alias("on_time_pct"), F.count("*").alias("trip_count"), headway(F.collect_list("predicted")).alias("h"),
     )
     return out.select("ts", "route_id", "avg_delay", "max_delay", "on_time_pct", "trip_count", F.col("h.mean").alias("headway_sec"), F.col("h.cv").alias("headway_cv"))
