@@ -15,9 +15,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once in a task; bounds the NumPy arrays.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 600_000
+#: Texts that travel to a Python worker at once; a text has no bound, so these are few.
+BATCH_ROWS = 2_000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,6 +37,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stopwise-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the rows of the session's Arrow batches to BATCH_ROWS, which bounds the memory of workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession)
@@ -41,6 +51,19 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def heaviest(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of counts (a written table with a column n): those with n over a threshold, found by a histogram instead of a sort."""
+    # 64 powers of two in 8 parts each
+    part = F.floor(8 * F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double"))).cast("int")
+    at, total = 1 << 30, 0
+    for r in sorted(counts.groupBy(part.alias("part")).count().collect(), key=lambda r: -r["part"]):
+        total += r["count"]
+        if total > most:
+            break
+        at = r["part"]
+    return counts.where(part >= at)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finishing step on uint64 (splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -112,17 +135,19 @@ def words(texts: pa.Array, kind: np.ndarray = SPACE_SEPARATED, lower: bool = Tru
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
         lo, hi, rows = int(offsets[first]), int(offsets[last]), last - first
-        # one separator after each text keeps words of different rows apart
-        part = np.full(hi - lo + rows, 0x20, np.uint8)
-        shift = np.repeat(np.arange(rows), np.diff(offsets[first : last + 1]))
-        part[np.arange(hi - lo) + shift] = data[lo:hi]
-        if lower:
-            part = _LOWER[part]
+        part = _LOWER[data[lo:hi]] if lower else data[lo:hi]
         inside = kind[part]
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        row_end = offsets[first + 1 : last + 1] - lo + np.arange(rows)
-        row = np.searchsorted(row_end, start, "left")
+        row_end = offsets[first + 1 : last + 1] - lo
+        # a word begins where the byte before is outside or of another text, and ends likewise
+        before = np.zeros(hi - lo + 1, bool)
+        before[1:] = inside
+        before[row_end] = False
+        start = np.flatnonzero(inside & ~before[:-1])
+        after = np.zeros(hi - lo + 1, bool)
+        after[:-1] = inside
+        after[row_end] = False
+        end = np.flatnonzero(inside & ~after[1:]) + 1
+        row = np.searchsorted(row_end, start, "right")
         bounds = np.searchsorted(row, np.arange(rows + 1))
         h = span_hash(_BYTE_VALUE[part], start, end) if hashes else np.zeros(0, np.uint64)
         yield Words(first, last, part, start, end, row, h, bounds)
