@@ -14,8 +14,10 @@ only phrases that are the anchor in two places can lie in a recurring window.
 4. Places found are merged per document and the covered words removed.
 
 Anchors that occur more than ``HOT`` times have no shard of their own: their
-windows are confirmed by a count that is combined before the shuffle, and
-located in salted parts of the anchor's texts.  Words are compared by 20-bit codes, a
+windows are confirmed by a count that is combined before the shuffle.  If the
+recurring windows are few (counted), their phrases become one automaton that is
+broadcast, and texts stream through it where they are; if not, they are located
+in salted parts of the anchor's texts.  Words are compared by 20-bit codes, a
 window by its 35 codes.
 
 Defined cases: null and empty texts have no words; occurrences in repeated rows
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix, span_hash, stash, words
+from .common import Words, bound_batches, buffers, mix, span_hash, stash, words
 
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the corpus.
 BITMAP_BITS = 27
@@ -41,6 +43,8 @@ _SLICE_BITS = 15
 #: Texts of a shard, about.
 SHARD_TEXTS = 30_000
 HOT = 5_000
+#: Recurring windows of frequent anchors that are broadcast, at most; more meet their texts by a shuffle.
+BROADCAST_WINDOWS = 2_000_000
 
 _KEY = "doc_id long, version long"
 
@@ -134,20 +138,26 @@ def _window_hashes(codes: np.ndarray, ends: np.ndarray, window: int) -> tuple[np
     return segment, place, span_hash(mix(codes.astype(np.uint64) + np.uint64(1)), start, start + window)
 
 
-def _located(part: pd.DataFrame, codes: np.ndarray, ends: np.ndarray, gram: int) -> np.ndarray:
-    """Which segments hold, at their anchor's place, a phrase that the shard's automaton locates in two or more."""
+def _automaton(phrases: list[str]):
+    """Aho-Corasick automaton of the phrases by their place in the list; None without phrases."""
     import ahocorasick
 
-    text = (codes + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
-    anchors = part["anchor"].to_numpy()
-    kinds, first, number, n = np.unique(anchors, return_index=True, return_inverse=True, return_counts=True)
     automaton = ahocorasick.Automaton()
-    begin = ends[:-1] + part["offset"].to_numpy(np.int64)
-    for k in np.flatnonzero(n > 1).tolist():
-        automaton.add_word(text[begin[first[k]] : begin[first[k]] + gram], k)
-    found = np.zeros(len(part), bool)
+    for k, phrase in enumerate(phrases):
+        automaton.add_word(phrase, k)
     if len(automaton):
         automaton.make_automaton()
+    return automaton if len(automaton) else None
+
+
+def _as_text(codes: np.ndarray) -> str:
+    return (codes + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _located(automaton, text: str, begin: np.ndarray, number: np.ndarray, ends: np.ndarray, gram: int) -> np.ndarray:
+    """Which segments hold, at their anchor's place, the automaton's phrase of their number."""
+    found = np.zeros(len(begin), bool)
+    if automaton is not None:
         hits = np.array([(end - gram + 1, k) for end, k in automaton.iter(text)], np.int64).reshape(-1, 2)
         # a hit counts where it is the anchor of its segment, not across two segments
         own = np.searchsorted(ends, hits[:, 0], "right") - 1
@@ -156,61 +166,104 @@ def _located(part: pd.DataFrame, codes: np.ndarray, ends: np.ndarray, gram: int)
     return found
 
 
-def _intervals(part: pd.DataFrame, segment: np.ndarray, place: np.ndarray, window: int) -> pd.DataFrame:
-    """Runs of confirmed windows as word ranges of their documents."""
-    begins = np.concatenate([[True], (segment[1:] != segment[:-1]) | (place[1:] != place[:-1] + 1)]) if len(segment) else np.zeros(0, bool)
-    lo = np.flatnonzero(begins)
-    hi = np.concatenate([lo[1:], [len(segment)]]) - 1 if len(lo) else lo
-    own = segment[lo] if len(lo) else lo
-    at = part["at"].to_numpy(np.int64)[own]
-    return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[own], "version": part["version"].to_numpy()[own], "lo": at + place[lo], "hi": at + place[hi] + window})
-
-
-def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
-    """(doc_id, version, lo, hi): word ranges of docs (doc_id, version, text) that lie in recurring windows."""
+def _located_in(part: pd.DataFrame, codes: np.ndarray, ends: np.ndarray, gram: int, least: int = 2) -> np.ndarray:
+    """Which segments hold a phrase that is the anchor of ``least`` or more of the part, by an automaton of these phrases."""
+    text = _as_text(codes)
+    kinds, first, number, n = np.unique(part["anchor"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+    begin = ends[:-1] + part["offset"].to_numpy(np.int64)
+    often = np.flatnonzero(n >= least)
+    place = np.full(len(kinds), -1)
+    place[often] = np.arange(len(often))
+    return _located(_automaton([text[begin[first[k]] : begin[first[k]] + gram] for k in often.tolist()]), text, begin, place[number], ends, gram)
+
+
+RANGES = f"{_KEY}, lo array<long>, hi array<long>"
+
+
+def _ranges(part: pd.DataFrame, segment: np.ndarray, place: np.ndarray, window: int) -> pd.DataFrame:
+    """Confirmed windows as word ranges, merged, one row for each document."""
+    key, docs = pd.factorize(pd.MultiIndex.from_frame(part[["doc_id", "version"]]))
+    own = key[segment].astype(np.int64) << 40
+    lo = own + part["at"].to_numpy(np.int64)[segment] + place
+    lo = np.sort(lo)
+    starts = np.flatnonzero(np.concatenate([[True], lo[1:] > lo[:-1] + window])) if len(lo) else np.zeros(0, np.int64)
+    last = np.concatenate([starts[1:], [len(lo)]])[: len(starts)] - 1
+    begin, end = lo[starts], lo[last] + window
+    doc = begin >> 40
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    cut = lambda x: np.split(x & ((1 << 40) - 1), first[1:]) if len(first) else []
+    which = docs.take(doc[first])
+    return pd.DataFrame({"doc_id": which.get_level_values(0), "version": which.get_level_values(1), "lo": cut(begin), "hi": cut(end)})
+
+
+def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, version, lo, hi): word ranges of docs (doc_id, version, text) that lie in recurring windows, as arrays; a document may have several rows."""
+    spark = docs.sparkSession
+    bound_batches(spark)
     counts = stash(_anchor_counts(docs, window, gram))
     n = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.lit(0)).alias("texts")).first()["texts"]
     hot = counts.where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
     segments = _segments(docs, _bitmap(counts), window, gram)
-    ranges = f"{_KEY}, lo long, hi long"
 
     def confirm(part: pd.DataFrame) -> pd.DataFrame:
         codes, ends = _unpacked(part["codes"])
-        found = _located(part, codes, ends, gram)
+        found = _located_in(part, codes, ends, gram)
         segment, place, h = _window_hashes(codes, ends, window)
         keep = found[segment]
         segment, place, h = segment[keep], place[keep], h[keep]
         _, number, times = np.unique(h, return_inverse=True, return_counts=True)
         twice = times[number] > 1
-        return _intervals(part, segment[twice], place[twice], window)
+        return _ranges(part, segment[twice], place[twice], window)
 
     shards = max(1, -(-n // SHARD_TEXTS))
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
     if hot.isEmpty():
-        return segments.select("*", shard).groupBy("shard").applyInPandas(confirm, ranges)
+        return segments.select("*", shard).groupBy("shard").applyInPandas(confirm, RANGES)
 
     segments = stash(segments.join(hot, "anchor", "left"))
-    common = segments.where("salts is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInPandas(confirm, ranges)
+    common = segments.where("salts is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInPandas(confirm, RANGES)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             codes, ends = _unpacked(part["codes"])
             segment, _, h = _window_hashes(codes, ends, window)
-            yield pd.DataFrame({"anchor": part["anchor"].to_numpy()[segment], "h": h.view(np.int64)})
+            pairs = pd.DataFrame({"anchor": part["anchor"].to_numpy()[segment], "h": h.view(np.int64)})
+            yield pairs.groupby(["anchor", "h"], as_index=False).size().rename(columns={"size": "n"})
 
     frequent = segments.where("salts is not null")
-    twice = frequent.select("anchor", "codes").mapInPandas(emit, "anchor long, h long").groupBy("anchor", "h").count().where("count > 1")
+    twice = stash(frequent.select("anchor", "codes").mapInPandas(emit, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
+    if max(twice.count(), hot.count()) <= broadcast_windows:
+        phrase = F.expr(f"substring(codes, 3 * offset + 1, {3 * gram})")
+        phrases = frequent.groupBy("anchor").agg(F.min(phrase).alias("phrase")).orderBy("anchor").toPandas()  # one for each frequent anchor
+        shared = spark.sparkContext.broadcast((phrases["anchor"].to_numpy(np.int64), list(phrases["phrase"]), np.unique(twice.toPandas()["h"].to_numpy(np.int64).view(np.uint64))))
+
+        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            anchors, words_, known = shared.value
+            automaton = _automaton([_as_text(_unpacked(pd.Series([x]))[0]) for x in words_])
+            for part in batches:
+                codes, ends = _unpacked(part["codes"])
+                own = part["anchor"].to_numpy(np.int64)
+                number = np.minimum(np.searchsorted(anchors, own), max(0, len(anchors) - 1))
+                number = np.where(anchors[number] == own, number, -1) if len(anchors) else np.full(len(own), -1)
+                found = _located(automaton, _as_text(codes), ends[:-1] + part["offset"].to_numpy(np.int64), number, ends, gram)
+                segment, place, h = _window_hashes(codes, ends, window)
+                good = found[segment]
+                good[good] = known[np.minimum(np.searchsorted(known, h[good]), len(known) - 1)] == h[good] if len(known) else False
+                yield _ranges(part, segment[good], place[good], window)
+
+        return common.unionByName(frequent.drop("salts").mapInPandas(stream, RANGES))
+
     spread = twice.join(hot, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "h")
     salted = frequent.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "at"), F.col("salts")).cast("int"))
 
     def locate(part: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
         codes, ends = _unpacked(part["codes"])
-        found = _located(part, codes, ends, gram) if len(part) > 1 else np.ones(len(part), bool)
+        found = _located_in(part, codes, ends, gram, 1)
         segment, place, h = _window_hashes(codes, ends, window)
         good = np.isin(h, patterns["h"].to_numpy(np.int64).view(np.uint64)) & found[segment]
-        return _intervals(part, segment[good], place[good], window)
+        return _ranges(part, segment[good], place[good], window)
 
-    located = salted.groupBy("anchor", "salt").cogroup(spread.groupBy("anchor", "salt")).applyInPandas(locate, ranges)
+    located = salted.groupBy("anchor", "salt").cogroup(spread.groupBy("anchor", "salt")).applyInPandas(locate, RANGES)
     return common.unionByName(located)
 
 
@@ -218,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, doc_id: st
     """doc_id, n_words, n_removed, kept: the words of each text outside windows that recur, joined by a space."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
     ranges = recurring_ranges(plain, window, gram)
-    per_doc = ranges.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    per_doc = ranges.groupBy("doc_id", "version").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("lo", "hi")))).alias("ranges")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
     joined = plain.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("version").eqNullSafe(F.col("_version")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
