@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_DIGITS, Words, span_hash, stash, windows, words
+from .common import LETTERS_DIGITS, Words, bound_batches, span_hash, stash, windows, words
 
 BROADCAST_WINDOWS = 2_000_000
 HITS = "doc_id long, n_words long, n_hit long, items array<string>"
@@ -89,6 +89,7 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, doc_id: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: n_words, n_hit (words inside an occurrence of an item's window), the items that occur, sorted, and the columns of keep."""
+    bound_batches(docs.sparkSession)
     cut = stash(item_windows(benchmark, window))
     total = cut.count()
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)

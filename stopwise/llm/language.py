@@ -19,12 +19,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, buffers, mix
+from .common import CHUNK_BYTES, bound_batches, buffers, mix
 
 BITS = 14
 ORDERS = (1, 2, 3)
@@ -102,6 +101,7 @@ def counts(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang") -> Model | None:
     """Learn from the rows of docs where training holds and the language is not null."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(training & F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     listed = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
     languages = sorted(r["_lang"] for r in listed)
@@ -129,13 +129,13 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         bits = m.codes.shape[1]
-        for series in batches:
-            margin, size = np.zeros((len(series), bits)), np.zeros(len(series))
-            for first, last, orders in _grams(pa.Array.from_pandas(series, type=pa.string())):
+        for texts in batches:
+            margin, size = np.zeros((len(texts), bits)), np.zeros(len(texts))
+            for first, last, orders in _grams(texts):
                 for row, code in orders:
                     size[first:last] += np.bincount(row, minlength=last - first)
                     for b in range(bits):
@@ -145,7 +145,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             loss = np.stack([(m.loss_weights * np.logaddexp(0, -z * c)).sum(axis=1) for c in m.codes], 1)
             e = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * bits)
             best = loss.argmin(axis=1)
-            yield pd.DataFrame({"lang_pred": np.array(m.languages, object)[best], "score": (e / e.sum(axis=1, keepdims=True))[np.arange(len(series)), best]})
+            share = (e / e.sum(axis=1, keepdims=True))[np.arange(len(texts)), best]
+            yield pa.StructArray.from_arrays([pa.array(np.array(m.languages, object)[best], pa.string()), pa.array(share)], names=["lang_pred", "score"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     told = docs.withColumn("_told", decode(F.col(text)))

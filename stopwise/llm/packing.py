@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stash
+from .common import bound_batches, stash
 
 #: Pieces of one length and salt at most, about.
 PIECES_PER_SALT = 100_000
@@ -82,6 +82,7 @@ def pieces(docs: DataFrame, limit: int = 1024, end_id: int = 2, ranks: str = "by
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tokenise, PIECES)
 
 

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, stash, words
+from .common import Words, bound_batches, mix, stash, words
 
 BITS = 18
 #: Labelled rows that the hinge-loss model is fitted on, at most.
@@ -131,6 +130,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, cost: float = 1.0) -> Model | None:
     """The model from all labelled rows of docs (ratios) and fit_rows of them (hinge loss); None without both classes."""
+    bound_batches(docs.sparkSession)
     rows = _labelled(docs, labels, doc_id, text, label)
     counts = stash(_ratio_counts(rows)).toPandas()  # 2**BITS + 1 rows at most
     n0, n1 = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
@@ -182,13 +182,14 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
     """docs with a score from 0 to 1 of each whole text."""
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for series in batches:
-            margin = np.concatenate([np.zeros(0), *[margins(w, m) for w in words(pa.Array.from_pandas(series, type=pa.string()))]])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(m.slope * margin, -30, 30))))
+        for texts in batches:
+            margin = np.concatenate([np.zeros(0), *[margins(w, m) for w in words(texts)]])
+            yield pa.array(1 / (1 + np.exp(-np.clip(m.slope * margin, -30, 30))))
 
     return docs.withColumn(out, probability(F.col(text)))
