@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 600_000
 #: Texts that travel to a Python worker at once; a text has no bound, so these are few.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,10 +39,11 @@ def shared_path(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the rows of the session's Arrow batches to BATCH_ROWS, which bounds the memory of workers."""
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES, which bounds the memory of workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stash(df: DataFrame) -> DataFrame:
