@@ -200,3 +200,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS B
 FROM d LEFT JOIN hit AS h USING (r) LEFT JOIN items AS i USING (r)
 """,
 }
+
+
+def _secret_sql() -> str:
+    """Offsets from the lengths of the matches and of the texts between them."""
+    kinds = " UNION ALL ".join(
+        f"SELECT r, {i} AS k, '{x.kind}' AS kind, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {x.group}) AS g, regexp_split_to_array(t, '{p}') AS b, {x.least} AS n FROM d"
+        for i, x in enumerate(secrets.RULES)
+        for p in [x.pattern.replace("'", "''")]
+    )
+    some = lambda name: f"CAST(count(*) FILTER (kind = '{name}') AS BIGINT) AS n_{name}"
+    base = ", ".join(f"'{x.kind}'" for x in secrets.RULES if x.base)
+    listed = "kind || ':' || a || ':' || e, ',' ORDER BY a, k"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents), m AS ({kinds}), s AS (
+  SELECT r, k, kind, n, m[i] AS x, g[i] AS y, list_sum(list_transform(b[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)
+), f AS (
+  SELECT r, k, kind, CAST(a AS BIGINT) AS a, CAST(a + length(x) AS BIGINT) AS e FROM s WHERE length(y) >= n
+), c AS (
+  SELECT r, {', '.join(some(x.kind) for x in secrets.RULES if x.base)}, string_agg({listed}) FILTER (kind IN ({base})) AS base, string_agg({listed}) AS spans FROM f GROUP BY r
+)
+SELECT doc_id, {', '.join(f'coalesce(n_{x.kind}, 0) AS n_{x.kind}' for x in secrets.RULES if x.base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (r)
+"""
+
+
+ORACLE_SQL["op9_secret_scan"] = _secret_sql()
