@@ -78,9 +78,9 @@ def _(t):
     return t.rt_obs.select("event_id", F.greatest(d, F.lit(0)).alias("clamped"), d.between(-60, 300).alias("on_time"), F.least(F.greatest(d, F.lit(-300)), F.lit(900)).alias("adjusted"))
 
 
-@query("agg_25_speeds", "SELECT floor(ts / 300.0)::BIGINT * 300 AS ts, route_id, round(avg(speed_mps), 6) AS avg_speed_mps, count(*) AS sample_count FROM rt_obs WHERE speed_mps >= 0 GROUP BY 1, 2")
+@query("agg_25_speeds", "SELECT floor(ts / 300.0)::BIGINT * 300 AS ts, route_id, round(avg(speed_mps), 9) AS avg_speed_mps, count(*) AS sample_count FROM rt_obs WHERE speed_mps >= 0 GROUP BY 1, 2")
 def _(t):
-    return realtime.speeds(t.rt_obs).withColumns(r6("avg_speed_mps"))
+    return realtime.speeds(t.rt_obs).withColumn("avg_speed_mps", F.round("avg_speed_mps", 9))
 
 
 @query("agg_25_occupancy_counts", "SELECT floor(ts / 300.0)::BIGINT * 300 AS ts, route_id, occupancy_level, count(*) AS n FROM rt_obs GROUP BY 1, 2, 3")
