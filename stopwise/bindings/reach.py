@@ -13,22 +13,39 @@ from ..queries import query, r6
 from . import Tables
 from .realtime import MOVES, hours
 from .schedule import BUSIEST, KM
-from .space import AREAS, EDGES, PIP, areas, street_edges
+from .space import AREAS, CORNER, EDGES, PIP, areas, nodes_of, street_edges
 
 POINTS = ", points AS (SELECT stop_idx AS point_id, lat + 0.0007::DOUBLE AS lat, lon + 0.0009::DOUBLE AS lon FROM stops WHERE stop_idx % 10 = 0)\n"
 
 
-def points(t: Tables) -> DataFrame:
-    return t.stops.where("stop_idx % 10 = 0").select(F.col("stop_idx").alias("point_id"), (F.col("lat") + 0.0007).alias("lat"), (F.col("lon") + 0.0009).alias("lon"))
+def everywhere(sql: str) -> str:
+    """A statement without its filter on stops."""
+    return sql.replace(" WHERE stop_idx % 10 = 0", "").replace(" WHERE stop_idx < 60", "")
 
 
-@query("graph_03_walked_cells", f""", a AS (SELECT stop_idx AS source, (stop_idx % 7 * 60)::DOUBLE AS cost, lat, lon FROM stops WHERE stop_idx < 60), c AS (SELECT DISTINCT source, floor(n.lat / 0.002::DOUBLE) AS cy, floor(n.lon / 0.002::DOUBLE) AS cx FROM a JOIN stops n ON {KM('a', 'n')} <= 1.2 AND a.cost + {KM('a', 'n')} / 5 * 3600 <= 900)
-SELECT source, count(*) AS cells, round(count(*) * 0.0346::DOUBLE * 100) / 100 AS km2 FROM c GROUP BY 1""")
-def _(t):
-    at = t.stops.where("stop_idx < 60").select(F.col("stop_idx").alias("source"), (F.col("stop_idx") % 7 * 60).cast("double").alias("cost"), "lat", "lon")
+def points(stops: DataFrame) -> DataFrame:
+    return stops.select(F.col("stop_idx").alias("point_id"), (F.col("lat") + 0.0007).alias("lat"), (F.col("lon") + 0.0009).alias("lon"))
+
+
+def walked(t: Tables, sources: DataFrame) -> DataFrame:
+    at = sources.select(F.col("stop_idx").alias("source"), (F.col("stop_idx") % 7 * 60).cast("double").alias("cost"), "lat", "lon")
     return reach.walked_cells(at, t.stops.select("stop_idx", "lat", "lon"), 900.0)
 
 
+WALKED = f""", a AS (SELECT stop_idx AS source, (stop_idx % 7 * 60)::DOUBLE AS cost, lat, lon FROM stops WHERE stop_idx < 60), c AS (SELECT DISTINCT source, floor(n.lat / 0.002::DOUBLE) AS cy, floor(n.lon / 0.002::DOUBLE) AS cx FROM a JOIN stops n ON {KM('a', 'n')} <= 1.2 AND a.cost + {KM('a', 'n')} / 5 * 3600 <= 900)
+SELECT source, count(*) AS cells, round(count(*) * 0.0346::DOUBLE * 100) / 100 AS km2 FROM c GROUP BY 1"""
+
+
+@query("graph_03_walked_cells", WALKED)
+def _(t):
+    return walked(t, t.stops.where("stop_idx < 60"))
+
+
+@query("graph_03_walked_cells_all", everywhere(WALKED))
+def _(t):
+    return walked(t, t.stops)
+
+
 @query("graph_04_mean_reach", "SELECT pattern_idx AS point_id, floor(avg(n) + 0.5)::BIGINT AS cells FROM (SELECT pattern_idx, floor(dep_sec / 3600.0), count(*) AS n FROM departures GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     passes = t.departures.groupBy(F.col("pattern_idx").alias("point_id"), F.floor(F.col("dep_sec") / 3600).alias("departure")).agg(F.count("*").alias("cells"))
@@ -57,36 +74,74 @@ pr AS (SELECT a.source, e.dst AS node, min(e.src) AS pred FROM costs a JOIN edge
 it AS (SELECT c.source, c.node AS goal, 0 AS leg, pr.node, pr.pred FROM costs c JOIN pr ON pr.source = c.source AND pr.node = c.node WHERE c.cost > 0 UNION ALL SELECT it.source, it.goal, it.leg + 1, pr.node, pr.pred FROM it JOIN pr ON pr.source = it.source AND pr.node = it.pred WHERE it.pred <> it.source)
 SELECT source, goal, leg, node, pred, 'walk' AS kind FROM it""")
 def _(t):
-    edges = street_edges(t)
-    costs = graph.shortest(edges, t.stops.where("stop_idx < 6").select(F.col("stop_idx").alias("node")), 1500.0)
+    return walks_between(street_edges(t.stops.where(CORNER)), t.stops.where("stop_idx < 6"))
+
+
+def walks_between(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    costs = graph.shortest(edges, nodes_of(sources), 1500.0)
     return reach.itineraries(reach.predecessors(edges, costs), costs.where("cost > 0").select("source", "node"))
 
 
+@query("graph_12_itineraries_all")
+def _(t):
+    return walks_between(street_edges(t.stops), t.stops)
+
+
 @query("agg_96_leg_summary", """SELECT l_orderkey AS id, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS walk_m, sum(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0 END) AS bike_m, greatest(count(*) FILTER (l_linenumber > 2) - 1, 0) AS transfers FROM lineitem GROUP BY 1""")
 def _(t):
     kind = F.when(F.col("l_linenumber") == 1, "walk").when(F.col("l_linenumber") == 2, "bike").otherwise("bus")
     return reach.leg_summary(t.lineitem.select(F.col("l_orderkey").alias("id"), kind.alias("kind"), F.col("l_quantity").alias("metres")))
 
 
-@query("agg_82_stops_around", POINTS + f""", n AS (SELECT p.point_id, s.name, s.stop_idx, {KM('p', 's')} AS d FROM points p JOIN stops s ON {KM('p', 's')} <= 0.8), o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY point_id, name ORDER BY d, stop_idx) = 1)
-SELECT point_id, row_number() OVER (PARTITION BY point_id ORDER BY d, stop_idx)::INT AS rank, name, stop_idx, round(d, 6) AS dist_km FROM o QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, stop_idx) <= 3""")
+STOPS_AROUND = POINTS + f""", n AS (SELECT p.point_id, s.name, s.stop_idx, {KM('p', 's')} AS d FROM points p JOIN stops s ON {KM('p', 's')} <= 0.8), o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY point_id, name ORDER BY d, stop_idx) = 1)
+SELECT point_id, row_number() OVER (PARTITION BY point_id ORDER BY d, stop_idx)::INT AS rank, name, stop_idx, round(d, 6) AS dist_km FROM o QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, stop_idx) <= 3"""
+
+
+@query("agg_82_stops_around", STOPS_AROUND)
 def _(t):
-    return reach.stops_around(points(t), t.stops).withColumns(r6("dist_km"))
+    return reach.stops_around(points(t.stops.where("stop_idx % 10 = 0")), t.stops).withColumns(r6("dist_km"))
 
 
-@query("agg_82_lines_around", POINTS + f""", hw AS (SELECT mode, route, (max(dep_sec) - min(dep_sec)) / (count(*) - 1) / 60 AS h FROM departures WHERE dep_sec BETWEEN 25200 AND 32400 GROUP BY 1, 2 HAVING count(*) > 1), sv AS (SELECT DISTINCT p.stop_idx, d.route, hw.h FROM pattern_stops p JOIN (SELECT DISTINCT pattern_idx, mode, route FROM departures) d USING (pattern_idx) JOIN hw ON hw.mode = d.mode AND hw.route = d.route)
-SELECT p.point_id, sv.route, round(min(sv.h), 6) AS headway_min FROM points p JOIN stops s ON {KM('p', 's')} <= 0.45 JOIN sv ON sv.stop_idx = s.stop_idx GROUP BY 1, 2""")
+@query("agg_82_stops_around_all", everywhere(STOPS_AROUND))
 def _(t):
+    return reach.stops_around(points(t.stops), t.stops).withColumns(r6("dist_km"))
+
+
+LINES_AROUND = POINTS + f""", hw AS (SELECT mode, route, (max(dep_sec) - min(dep_sec)) / (count(*) - 1) / 60 AS h FROM departures WHERE dep_sec BETWEEN 25200 AND 32400 GROUP BY 1, 2 HAVING count(*) > 1), sv AS (SELECT DISTINCT p.stop_idx, d.route, hw.h FROM pattern_stops p JOIN (SELECT DISTINCT pattern_idx, mode, route FROM departures) d USING (pattern_idx) JOIN hw ON hw.mode = d.mode AND hw.route = d.route)
+SELECT p.point_id, sv.route, round(min(sv.h), 6) AS headway_min FROM points p JOIN stops s ON {KM('p', 's')} <= 0.45 JOIN sv ON sv.stop_idx = s.stop_idx GROUP BY 1, 2"""
+
+
+@query("agg_82_lines_around", LINES_AROUND)
+def _(t):
+    return reach.lines_around(points(t.stops.where("stop_idx % 10 = 0")), t.stops, served_lines(t)).withColumns(r6("headway_min"))
+
+
+def served_lines(t: Tables) -> DataFrame:
     lines = t.departures.select("pattern_idx", "mode", "route").distinct()
     headway = schedule.mean_headway(t.departures, ["mode", "route"], 25200, 32400)
-    served = t.pattern_stops.join(lines, "pattern_idx").join(headway, ["mode", "route"]).select("stop_idx", "route", "headway_min").distinct()
-    return reach.lines_around(points(t), t.stops, served).withColumns(r6("headway_min"))
+    return t.pattern_stops.join(lines, "pattern_idx").join(headway, ["mode", "route"]).select("stop_idx", "route", "headway_min").distinct()
+
+
+@query("agg_82_lines_around_all", everywhere(LINES_AROUND))
+def _(t):
+    return reach.lines_around(points(t.stops), t.stops, served_lines(t)).withColumns(r6("headway_min"))
+
+
+NEAREST_PLACES = POINTS + f""", pl AS (SELECT *, 'c' || station_id % 3 AS category FROM stations) SELECT point_id, category, name, round(d, 6) AS dist_km FROM (SELECT p.point_id, pl.category, pl.name, {KM('p', 'pl')} AS d FROM points p JOIN pl ON {KM('p', 'pl')} <= 1.2) QUALIFY row_number() OVER (PARTITION BY point_id, category ORDER BY d, name) = 1"""
+
+
+@query("agg_83_nearest_places", NEAREST_PLACES)
+def _(t):
+    return reach.nearest_places(points(t.stops.where("stop_idx % 10 = 0")), places(t)).withColumns(r6("dist_km"))
+
+
+def places(t: Tables) -> DataFrame:
+    return t.stations.select("name", "lat", "lon", F.concat(F.lit("c"), (F.col("station_id") % 3).cast("string")).alias("category"))
 
 
-@query("agg_83_nearest_places", POINTS + f""", pl AS (SELECT *, 'c' || station_id % 3 AS category FROM stations) SELECT point_id, category, name, round(d, 6) AS dist_km FROM (SELECT p.point_id, pl.category, pl.name, {KM('p', 'pl')} AS d FROM points p JOIN pl ON {KM('p', 'pl')} <= 1.2) QUALIFY row_number() OVER (PARTITION BY point_id, category ORDER BY d, name) = 1""")
+@query("agg_83_nearest_places_all", everywhere(NEAREST_PLACES))
 def _(t):
-    places = t.stations.select("name", "lat", "lon", F.concat(F.lit("c"), (F.col("station_id") % 3).cast("string")).alias("category"))
-    return reach.nearest_places(points(t), places).withColumns(r6("dist_km"))
+    return reach.nearest_places(points(t.stops), places(t)).withColumns(r6("dist_km"))
 
 
 @query("win_08_neighbours", "SELECT mode, slug, lag(slug) OVER w AS previous, lead(slug) OVER w AS next FROM (SELECT DISTINCT mode, lower(route) AS slug FROM departures) WINDOW w AS (PARTITION BY mode ORDER BY slug)")

@@ -71,13 +71,23 @@ def _(t):
     return t.stops.select("stop_idx").join(near, "stop_idx", "left_semi")
 
 
-@query("join_22_names_resolved", f", n AS (SELECT name, lat + 0.001 AS lat, lon FROM stops WHERE stop_idx % 3 = 0) SELECT n.name, n.lat, n.lon, s.stop_idx FROM n JOIN stops s ON lower(n.name) = lower(s.name) QUALIFY row_number() OVER (PARTITION BY n.name, n.lat, n.lon ORDER BY {KM('n', 's')}, s.stop_idx) = 1")
+NAMES = f", n AS (SELECT name, lat + 0.001 AS lat, lon FROM stops WHERE stop_idx % 3 = 0) SELECT n.name, n.lat, n.lon, s.stop_idx FROM n JOIN stops s ON lower(n.name) = lower(s.name) QUALIFY row_number() OVER (PARTITION BY n.name, n.lat, n.lon ORDER BY {KM('n', 's')}, s.stop_idx) = 1"
+
+
+@query("join_22_names_resolved", NAMES)
 def _(t):
     from ..plans.search import resolved
 
     return resolved(t.stops.where("stop_idx % 3 = 0").select("name", (F.col("lat") + 0.001).alias("lat"), "lon"), t.stops)
 
 
+@query("join_22_names_resolved_all", NAMES.replace(" WHERE stop_idx % 3 = 0", ""))
+def _(t):
+    from ..plans.search import resolved
+
+    return resolved(t.stops.select("name", (F.col("lat") + 0.001).alias("lat"), "lon"), t.stops)
+
+
 @query("gen_01_sample_grid", "SELECT r AS row, c AS col, round(45.75 + r * 0.005, 6) AS lat, round(15.85 + c * 0.005, 6) AS lon FROM (SELECT unnest(range(13)) AS r) CROSS JOIN (SELECT unnest(range(17)) AS c)")
 def _(t):
     return spatial.sample_grid(45.75, 45.81, 15.85, 15.93, 0.005, t.spark).withColumns(r6("lat", "lon"))
@@ -136,10 +146,13 @@ def _(t):
 # --- graphs ------------------------------------------------------------------
 
 
-def street_edges(t: Tables) -> DataFrame:
-    """Stops of the lattice's first corner, joined within 300 m."""
-    small = t.stops.where("stop_idx < 120")
-    return spatial.range_join(small, small, 0.6).where("stop_idx <> r_stop_idx").select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), F.floor(F.col("dist_km") * 1000).cast("double").alias("weight"))
+#: The corner that the recursive statements can follow; the queries named _all are over every stop.
+CORNER = "stop_idx < 120"
+
+
+def street_edges(stops: DataFrame) -> DataFrame:
+    """Stops joined within 600 m."""
+    return spatial.range_join(stops, stops, 0.6).where("stop_idx <> r_stop_idx").select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), F.floor(F.col("dist_km") * 1000).cast("double").alias("weight"))
 
 
 EDGES = f""", sm AS (SELECT * FROM stops WHERE stop_idx < 120), edges AS (SELECT a.stop_idx AS src, b.stop_idx AS dst, floor({KM('a', 'b')} * 1000)::DOUBLE AS weight FROM sm a JOIN sm b ON a.stop_idx <> b.stop_idx AND {KM('a', 'b')} <= 0.6)
@@ -149,30 +162,42 @@ EDGES = f""", sm AS (SELECT * FROM stops WHERE stop_idx < 120), edges AS (SELECT
 @query("graph_11_shortest", EDGES + """, p AS (SELECT stop_idx AS source, stop_idx AS node, 0.0::DOUBLE AS cost FROM sm UNION SELECT p.source, e.dst, p.cost + e.weight FROM p JOIN edges e ON p.node = e.src WHERE p.cost + e.weight <= 1500)
 SELECT source, node, min(cost) AS cost FROM p GROUP BY 1, 2""")
 def _(t):
-    return graph.shortest(street_edges(t), t.stops.where("stop_idx < 120").select(F.col("stop_idx").alias("node")), 1500.0)
+    corner = t.stops.where(CORNER)
+    return graph.shortest(street_edges(corner), nodes_of(corner), 1500.0)
+
+
+def nodes_of(stops: DataFrame) -> DataFrame:
+    return stops.select(F.col("stop_idx").alias("node"))
+
+
+@query("graph_11_shortest_all")
+def _(t):
+    return graph.shortest(street_edges(t.stops), nodes_of(t.stops), 1500.0)
 
 
 @query("graph_06_closeness")
 def _(t):
-    nodes = t.stops.where("stop_idx < 120").select(F.col("stop_idx").alias("node"))
-    return graph.closeness(graph.shortest(street_edges(t), nodes), 120)
+    return graph.closeness(graph.shortest(street_edges(t.stops), nodes_of(t.stops)), t.stops.count())
 
 
 @query("graph_06_path_summary")
 def _(t):
-    nodes = t.stops.where("stop_idx < 120").select(F.col("stop_idx").alias("node"))
-    return graph.path_summary(graph.shortest(street_edges(t), nodes), 120)
+    return graph.path_summary(graph.shortest(street_edges(t.stops), nodes_of(t.stops)), t.stops.count())
+
+
+#: In place of the length 0 between stops at one place: of least paths, those with the fewest such edges count.
+LEAST_M = 2.0**-20
 
 
 @query("graph_05_betweenness")
 def _(t):
-    nodes, edges = t.stops.where("stop_idx < 120").select(F.col("stop_idx").alias("node")), street_edges(t)
-    return graph.betweenness(edges, graph.shortest(edges, nodes), 120)
+    edges = street_edges(t.stops).withColumn("weight", F.greatest("weight", F.lit(LEAST_M)))
+    return graph.betweenness(edges, graph.shortest(edges, nodes_of(t.stops)), t.stops.count())
 
 
 @query("graph_01_14_reach")
 def _(t):
-    seeds = t.stops.where("stop_idx < 40").select(F.col("stop_idx").alias("source"), F.col("stop_idx").alias("node"), F.lit(0.0).alias("cost"))
+    seeds = t.stops.select(F.col("stop_idx").alias("source"), F.col("stop_idx").alias("node"), F.lit(0.0).alias("cost"))
     leave = t.departures.groupBy("pattern_idx").agg(F.sort_array(F.collect_list("dep_sec")).alias("departures"))
     links = t.pattern_stops.join(leave, "pattern_idx").select("pattern_idx", "stop_pos", F.col("stop_idx").alias("node"), "offset_sec", "departures")
     walks = spatial.range_join(t.stops, t.stops, 0.3).where("stop_idx <> r_stop_idx").select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), (F.col("dist_km") / 5.0 * 3600.0).alias("walk_sec"))

@@ -51,11 +51,28 @@ def itineraries(predecessors: DataFrame, goals: DataFrame, most_legs: int = 40)
 
 
 def predecessors(edges: DataFrame, costs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """A predecessor of each reached node on a least-cost path (the least id of equals): source, node, pred, kind."""
+    """A predecessor of each reached node on a least-cost path (the least id of equals): source, node, pred, kind.
+
+    Edges that do not shorten what remains (of weight 0) count only for nodes that
+    no other edge leads to, in rounds outward from the nodes that have one, so
+    predecessors never form a circle.
+    """
     a = costs.select("source", F.col("node").alias("src"), F.col("cost").alias("a"))
     b = costs.select("source", F.col("node").alias("dst"), F.col("cost").alias("b"))
     tight = a.join(edges, "src").join(b, ["source", "dst"]).where((F.abs(F.col("a") + F.col("weight") - F.col("b")) <= tolerance) & (F.col("source") != F.col("dst")))
-    return tight.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("pred")).withColumn("kind", F.lit("walk"))
+    tight = tight.select("source", "src", F.col("dst").alias("node"), (F.col("weight") > tolerance).alias("_on"))
+    least = lambda df: df.groupBy("source", "node").agg(F.min("src").alias("pred"))
+    out = written(least(tight.where("_on")))
+    level = written(tight.where("not _on").select("source", "src", "node").join(out, ["source", "node"], "left_anti"))
+    met = out.select("source", F.col("node").alias("src")).unionByName(level.select("source", F.col("source").alias("src")).distinct())
+    while not level.isEmpty():
+        more = written(least(level.join(met, ["source", "src"], "left_semi")))
+        if more.isEmpty():
+            break
+        out = written(out.unionByName(more))
+        level = written(level.join(more, ["source", "node"], "left_anti"))
+        met = more.select("source", F.col("node").alias("src"))
+    return out.withColumn("kind", F.lit("walk"))
 
 
 def leg_summary(legs: DataFrame) -> DataFrame:
