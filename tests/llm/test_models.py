@@ -107,3 +107,35 @@ def test_codewords_differ():
     for n in (1, 2, 4, 9, 30):
         c = language.codewords(n)
         assert len({tuple(r) for r in c}) == n
+
+
+def test_mixing_learns_from_every_training_row(spark, monkeypatch):
+    """The refining map's counts hold each bit of each training row, also above any number of rows."""
+    import numpy as np
+
+    seen, learn = [], language_model._mixing
+    monkeypatch.setattr(language_model, "_mixing", lambda rows, shared: (seen.append(rows.count()), learn(rows, shared))[1])
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d"), (F.col("id") % 7).cast("string")).alias("text"))
+    scored = language_model.score(docs, F.col("doc_id") % 9 != 0)
+    assert scored.count() == 9_000 and seen == [8_000]
+    assert np.isfinite([r["score"] for r in scored.limit(50).collect()]).all()
+
+
+def test_refining_map_is_updated_online():
+    """From a map that is wrong everywhere, the last part of a regular text costs less than with a map held fixed."""
+    import numpy as np
+
+    code = language_model.huffman(np.array([5, 4, 3, 1]))
+    gates = language_model.DEPTHS * language_model.SEEN
+    slots = 1 << language_model.SLOT_BITS
+    tables = [np.ones(code.nodes, np.float32), *[np.zeros(slots, np.float32)] * language_model.ORDERS]
+    wrong = np.full(gates * language_model.STEPS, 6.0, np.float32)
+    m = language_model.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), code, tables, tables, np.zeros((gates, language_model.INPUTS), np.float32), wrong)
+
+    def cost(n):
+        row, symbol = np.zeros(n, np.int64), np.arange(n) % 3
+        return -language_model.run(language_model.events(row, symbol.astype(np.uint64), symbol, code), 1, m, m.weights, False)[0][0]
+
+    early, late = cost(640), cost(6400) - cost(5760)
+    assert late < 0.7 * early
+    assert (wrong == 6.0).all()
