@@ -75,7 +75,7 @@ def rectangle(lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
     return F.array(corner(lat0, lon0), corner(lat0, lon1), corner(lat1, lon1), corner(lat1, lon0))
 
 
-def components(links: DataFrame, nodes: DataFrame, most_steps: int = 60) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame, most_steps: int = 1_000_000) -> DataFrame:
     """(node, component): the least node reachable by links (a, b); each step takes the least label around and its label's label."""
     both = written(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select("node", F.col("node").alias("component"))
@@ -86,8 +86,8 @@ def components(links: DataFrame, nodes: DataFrame, most_steps: int = 60) -> Data
         after = written(lower.join(jump, "component", "left").select("node", F.coalesce("_j", "component").alias("component"), "_was"))
         labels = after.select("node", "component")
         if after.where("component <> _was").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components still change after {most_steps} steps")
 
 
 def single_linkage(points: DataFrame, key: str, km: float, within: str) -> DataFrame:
@@ -97,7 +97,7 @@ def single_linkage(points: DataFrame, key: str, km: float, within: str) -> DataF
     return points.join(found.withColumnRenamed("node", key), key).groupBy(within, "component").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def greedy_hubs(points: DataFrame, key: str, weight: str, km: float, least: int = 2, most_steps: int = 100) -> DataFrame:
+def greedy_hubs(points: DataFrame, key: str, weight: str, km: float, least: int = 2, most_steps: int = 1_000_000) -> DataFrame:
     """(key, hub): in order of falling weight (then key) each free point of the least weight or more becomes a hub and takes the free points within km.
 
     The sequential result is found in rounds: a free point whose free neighbours
@@ -118,6 +118,8 @@ def greedy_hubs(points: DataFrame, key: str, weight: str, km: float, least: int
         found = written(own.unionByName(around.join(own, "node", "left_anti")))
         taken = found if taken is None else taken.unionByName(found)
         free = written(free.join(found, "node", "left_anti"))
+    else:
+        raise RuntimeError(f"points are still free after {most_steps} steps")
     empty = points.select(F.col(key), F.col(key).alias("hub")).where("false")
     return empty if taken is None else taken.select(F.col("node").alias(key), "hub")
 

@@ -37,7 +37,7 @@ def city_profile(hours: DataFrame) -> DataFrame:
     return hours.groupBy("hour").agg(F.avg("value").alias("value"))
 
 
-def itineraries(predecessors: DataFrame, goals: DataFrame, most_legs: int = 40) -> DataFrame:
+def itineraries(predecessors: DataFrame, goals: DataFrame, most_legs: int = 1_000_000) -> DataFrame:
     """Legs back from each goal (source, node) to its source over predecessors (source, node, pred, kind): source, goal, leg (0 is the last), node, pred, kind."""
     now = goals.select("source", F.col("node").alias("goal"), "node", F.lit(0).alias("leg"))
     out = None
@@ -47,6 +47,8 @@ def itineraries(predecessors: DataFrame, goals: DataFrame, most_legs: int = 40)
             break
         out = legs if out is None else out.unionByName(legs)
         now = legs.where("pred <> source").select("source", "goal", F.col("pred").alias("node"), (F.col("leg") + 1).alias("leg"))
+    else:
+        raise RuntimeError(f"a path is longer than {most_legs} legs")
     return out if out is not None else goals.select("source", F.col("node").alias("goal"), F.lit(0).alias("leg"), "node", F.col("node").alias("pred"), F.lit("").alias("kind")).where("false")
 
 
