@@ -79,11 +79,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _is_kind(i: int) -> Callable[[Column], Column]:
+    # a lambda with a second parameter would be given the element's place
+    return lambda s: s["kind"] == i
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; base columns count the three base kinds, spans lists all."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     base = [i for i, r in enumerate(secrets.RULES) if r.base]
-    counts = [F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{secrets.RULES[i].kind}") for i in base]
+    counts = [F.size(F.filter("found", _is_kind(i))).cast("long").alias(f"n_{secrets.RULES[i].kind}") for i in base]
     listed = secrets.listing(F.filter("found", lambda s: s["kind"].isin(base)))
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), secrets.listing(F.col("found")).alias("spans"))
 

@@ -22,6 +22,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
+#: Candidates of at most so many rows (an id and a short list each) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_CANDIDATES = 1_000_000
+
 
 class Rule(NamedTuple):
     """kind; Java expression; group whose length counts; its least length; whether every user of the operator gets it."""
@@ -150,8 +155,9 @@ def _spans(rule: Rule, place: int) -> Column:
 def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns of keep, and found: array of (start, kind, end) by start, then kind; offsets in code points, end exclusive."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c) for c in keep])
-    hits = candidates(plain, rules).select(F.col("doc_id").alias("_id"), "rules")
-    joined = plain.join(hits, plain["doc_id"].eqNullSafe(hits["_id"]), "left").drop("_id")
+    hits = stash(candidates(plain, rules).select(F.col("doc_id").alias("_id"), "rules"))
+    few = hits.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+    joined = plain.join(F.broadcast(hits) if few else hits, plain["doc_id"].eqNullSafe(hits["_id"]), "left").drop("_id")
     full = {i for i, r in enumerate(rules) if trigram_query(r.pattern) is None}
     none, some = F.array().cast("array<string>"), []
     for i, r in enumerate(rules):
@@ -176,10 +182,10 @@ def listing(found: Column, rules=RULES) -> Column:
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span of the rules replaced by mark (overlapping spans once); other columns and rows stay."""
+    """docs with every span of the rules replaced by mark (overlapping spans once); other columns and rows stay, null texts too."""
     rest = [c for c in docs.columns if c != text]
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("kept_row"))
-    spans = scan(whole, rules, keep=("kept_row",))
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("kept_row"), F.col(text).isNull().alias("no_text"))
+    spans = scan(whole, rules, keep=("kept_row", "no_text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -188,5 +194,5 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]", doc_id: str = "
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, end)).otherwise(F.col("text"))
+    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, end)).when(~F.col("no_text"), F.col("text"))
     return spans.select(*[clean.alias(text) if c == text else F.col("kept_row").getField(c).alias(c) for c in docs.columns])

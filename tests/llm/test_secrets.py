@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stopwise.llm import queries, secrets
@@ -34,13 +35,26 @@ def test_scan_equals_plain_matching(spark):
 
 
 def test_query_on_corpus(spark, sf_dir):
+    """On a table that holds spans, each kind counted by itself."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op9_secret_scan(spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
         b = brute(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(b.encode()).hexdigest()
-        assert r["n_assign"] + r["n_access"] + r["n_hex"] == b.count(":") // 2
+        assert [r[f"n_{k}"] for k in PLAIN] == [b.count(f"{k}:") for k in PLAIN]
+    assert all(any(r[f"n_{k}"] for r in rows) for k in ("assign", "hex"))
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_counts_by_kind(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_CANDIDATES", most)
+    docs = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op9_secret_scan(spark, str(tmp_path)).collect():
+        b = brute(CASES[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in PLAIN] == [b.count(f"{k}:") for k in PLAIN]
 
 
 def test_trigram_queries():
@@ -53,4 +67,4 @@ def test_trigram_queries():
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefgh1 end", "s"), (2, "clean", "s"), (3, None, "s")], "doc_id long, text string, source string")
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
-    assert out == {1: "é [secret] end", 2: "clean", 3: ""}
+    assert out == {1: "é [secret] end", 2: "clean", 3: None}
