@@ -7,18 +7,19 @@ only phrases that are the anchor in two places can lie in a recurring window.
 1. Anchors are counted over the corpus.  A bitmap of fixed size marks the
    recurring ones; a false mark costs time and nothing else.
 2. Around each marked anchor the words of its windows, as code points, go to the
-   shard of the anchor.
+   shard of the anchor, with a 64-bit hash of each window's whole word sequence.
 3. Each shard compiles its recurring phrases into an Aho-Corasick automaton,
    streams its texts through it to locate every occurrence, and confirms the
    windows around them whose whole word sequence occurs twice or more.
 4. Places found are merged per document and the covered words removed.
 
 Anchors that occur more than ``HOT`` times have no shard of their own: their
-windows are confirmed by a count that is combined before the shuffle.  If the
-recurring windows are few (counted), their phrases become one automaton that is
-broadcast, and texts stream through it where they are; if not, they are located
-in salted parts of the anchor's texts.  Words are compared by 20-bit codes, a
-window by its 35 codes.
+windows are confirmed by a count that is combined before the shuffle.  If these
+anchors and their recurring windows are few (counted), the phrases become one
+automaton that is broadcast, and texts stream through it where they are; if not,
+each batch of texts has an automaton of its own phrases, and the windows found
+meet the recurring ones by a join.  Codes of 16 bits only locate phrases: windows
+are equal if their 64-bit hashes over 64-bit word hashes are.
 
 Defined cases: null and empty texts have no words; occurrences in repeated rows
 count like any other; rows that agree in id and text get equal results; an empty
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, buffers, mix, span_hash, stash, words
+from .common import Words, bound_batches, buffers, span_hash, stash, words
 
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the corpus.
 BITMAP_BITS = 27
@@ -43,8 +44,10 @@ _SLICE_BITS = 15
 #: Texts of a shard, about.
 SHARD_TEXTS = 30_000
 HOT = 5_000
-#: Recurring windows of frequent anchors that are broadcast, at most; more meet their texts by a shuffle.
+#: Recurring windows of frequent anchors that are broadcast, at most (8 bytes each); more meet their texts by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Frequent anchors whose phrases make one broadcast automaton, at most (about 1 KB each when compiled).
+BROADCAST_PHRASES = 50_000
 
 _KEY = "doc_id long, version long"
 
@@ -97,11 +100,11 @@ def _bitmap(recurring: DataFrame) -> np.ndarray:
     return out
 
 
-SEGMENT = f"{_KEY}, anchor long, at int, offset int, codes binary"
+SEGMENT = f"{_KEY}, anchor long, at int, offset int, codes binary, hashes binary"
 
 
 def _segments(docs: DataFrame, bitmap: np.ndarray, window: int, gram: int) -> DataFrame:
-    """The words of the windows of each marked anchor: first word's place in the document, anchor's offset, 3 bytes a word."""
+    """The words of the windows of each marked anchor: first word's place in the document, anchor's offset, 2 bytes a word, 8 bytes a window."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,30 +115,34 @@ def _segments(docs: DataFrame, bitmap: np.ndarray, window: int, gram: int) -> Da
                 place = (anchor & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
                 keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
                 at, anchor, lo, hi = at[keep], anchor[keep], lo[keep], hi[keep] + window
-                codes = np.ascontiguousarray((w.hash >> np.uint64(44)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+                codes = (w.hash >> np.uint64(48)).astype("<u2").tobytes()
+                start = np.arange(max(0, len(w.hash) - window + 1))
+                whole = span_hash(w.hash, start, start + window).astype("<u8").tobytes()
                 row = pa.array(w.row[lo] + w.first)
+                spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(anchor.view(np.int64)), pa.array(lo - w.bounds[w.row[lo]], pa.int32()), pa.array(at - lo, pa.int32()), pa.array([codes[3 * a : 3 * b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())],
-                    names=["doc_id", "version", "anchor", "at", "offset", "codes"],
-                )
+                    [
+                        batch.column(0).take(row), batch.column(1).take(row), pa.array(anchor.view(np.int64)), pa.array(lo - w.bounds[w.row[lo]], pa.int32()), pa.array(at - lo, pa.int32()),
+                        pa.array([codes[2 * a : 2 * b] for a, b in spans], pa.binary()), pa.array([whole[8 * a : 8 * (b - window + 1)] for a, b in spans], pa.binary()),
+                    ],
+                    names=["doc_id", "version", "anchor", "at", "offset", "codes", "hashes"],
+                )
 
     return docs.select("doc_id", "version", "text").mapInArrow(emit, SEGMENT)
 
 
 def _unpacked(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """All codes and where each segment begins (one more at the end)."""
-    three = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 3).astype(np.uint32)
-    ends = np.concatenate([[0], np.cumsum(blobs.map(len).to_numpy(np.int64) // 3)])
-    return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16, ends
+    ends = np.concatenate([[0], np.cumsum(blobs.map(len).to_numpy(np.int64) // 2)])
+    return np.frombuffer(b"".join(blobs), "<u2").astype(np.uint32), ends
 
 
-def _window_hashes(codes: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_hashes(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, window's place in it, hash) of every window of every segment."""
-    each = np.diff(ends) - window + 1
+    each = blobs.map(len).to_numpy(np.int64) // 8
     segment = np.repeat(np.arange(len(each)), each)
     place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    start = ends[segment] + place
-    return segment, place, span_hash(mix(codes.astype(np.uint64) + np.uint64(1)), start, start + window)
+    return segment, place, np.frombuffer(b"".join(blobs), "<u8")
 
 
 def _automaton(phrases: list[str]):
@@ -202,13 +209,13 @@ def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcas
     bound_batches(spark)
     counts = stash(_anchor_counts(docs, window, gram))
     n = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.lit(0)).alias("texts")).first()["texts"]
-    hot = counts.where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    hot = counts.where(F.col("n") > HOT).select("anchor", F.lit(True).alias("often"))
     segments = _segments(docs, _bitmap(counts), window, gram)
 
     def confirm(part: pd.DataFrame) -> pd.DataFrame:
         codes, ends = _unpacked(part["codes"])
         found = _located_in(part, codes, ends, gram)
-        segment, place, h = _window_hashes(codes, ends, window)
+        segment, place, h = _window_hashes(part["hashes"])
         keep = found[segment]
         segment, place, h = segment[keep], place[keep], h[keep]
         _, number, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -221,19 +228,18 @@ def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcas
         return segments.select("*", shard).groupBy("shard").applyInPandas(confirm, RANGES)
 
     segments = stash(segments.join(hot, "anchor", "left"))
-    common = segments.where("salts is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInPandas(confirm, RANGES)
+    common = segments.where("often is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInPandas(confirm, RANGES)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            codes, ends = _unpacked(part["codes"])
-            segment, _, h = _window_hashes(codes, ends, window)
+            segment, _, h = _window_hashes(part["hashes"])
             pairs = pd.DataFrame({"anchor": part["anchor"].to_numpy()[segment], "h": h.view(np.int64)})
             yield pairs.groupby(["anchor", "h"], as_index=False).size().rename(columns={"size": "n"})
 
-    frequent = segments.where("salts is not null")
-    twice = stash(frequent.select("anchor", "codes").mapInPandas(emit, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
-    if max(twice.count(), hot.count()) <= broadcast_windows:
-        phrase = F.expr(f"substring(codes, 3 * offset + 1, {3 * gram})")
+    frequent = segments.where("often is not null")
+    twice = stash(frequent.select("anchor", "hashes").mapInPandas(emit, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
+    if twice.count() <= broadcast_windows and hot.count() <= BROADCAST_PHRASES:
+        phrase = F.expr(f"substring(codes, 2 * offset + 1, {2 * gram})")
         phrases = frequent.groupBy("anchor").agg(F.min(phrase).alias("phrase")).orderBy("anchor").toPandas()  # one for each frequent anchor
         shared = spark.sparkContext.broadcast((phrases["anchor"].to_numpy(np.int64), list(phrases["phrase"]), np.unique(twice.toPandas()["h"].to_numpy(np.int64).view(np.uint64))))
 
@@ -246,24 +252,24 @@ def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcas
                 number = np.minimum(np.searchsorted(anchors, own), max(0, len(anchors) - 1))
                 number = np.where(anchors[number] == own, number, -1) if len(anchors) else np.full(len(own), -1)
                 found = _located(automaton, _as_text(codes), ends[:-1] + part["offset"].to_numpy(np.int64), number, ends, gram)
-                segment, place, h = _window_hashes(codes, ends, window)
+                segment, place, h = _window_hashes(part["hashes"])
                 good = found[segment]
                 good[good] = known[np.minimum(np.searchsorted(known, h[good]), len(known) - 1)] == h[good] if len(known) else False
                 yield _ranges(part, segment[good], place[good], window)
 
-        return common.unionByName(frequent.drop("salts").mapInPandas(stream, RANGES))
-
-    spread = twice.join(hot, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "h")
-    salted = frequent.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "at"), F.col("salts")).cast("int"))
-
-    def locate(part: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
-        codes, ends = _unpacked(part["codes"])
-        found = _located_in(part, codes, ends, gram, 1)
-        segment, place, h = _window_hashes(codes, ends, window)
-        good = np.isin(h, patterns["h"].to_numpy(np.int64).view(np.uint64)) & found[segment]
-        return _ranges(part, segment[good], place[good], window)
+        return common.unionByName(frequent.drop("often").mapInPandas(stream, RANGES))
 
-    located = salted.groupBy("anchor", "salt").cogroup(spread.groupBy("anchor", "salt")).applyInPandas(locate, RANGES)
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            codes, ends = _unpacked(part["codes"])
+            found = _located_in(part, codes, ends, gram, 1)
+            segment, place, h = _window_hashes(part["hashes"])
+            keep = found[segment]
+            own = part.iloc[segment[keep]]
+            yield pd.DataFrame({"doc_id": own["doc_id"], "version": own["version"], "anchor": own["anchor"], "h": h[keep].view(np.int64), "lo": own["at"].to_numpy(np.int64) + place[keep]})
+
+    windows_ = frequent.drop("often").mapInPandas(locate, f"{_KEY}, anchor long, h long, lo long")
+    located = windows_.join(twice, ["anchor", "h"], "left_semi").select("doc_id", "version", F.array("lo").alias("lo"), F.array(F.col("lo") + window).alias("hi"))
     return common.unionByName(located)
 
 
@@ -292,5 +298,3 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, doc_id: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return joined.select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
-
-

@@ -66,3 +66,13 @@ def test_query_on_corpus(spark, sf_dir):
     for r in rows:
         n, gone, kept = want[r["doc_id"]]
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_words_with_equal_codes_differ(spark):
+    """Words that share the leading 20 bits of their hash: the windows differ all the same."""
+    for place in (0, 17, 34):
+        one = [f"k{i}" for i in range(35)]
+        two = list(one)
+        one[place], two[place] = "n386", "n1353"
+        docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, "b " + " ".join(one))], "doc_id long, text string")
+        assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()} == {1: 35, 2: 0, 3: 35}
