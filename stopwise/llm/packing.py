@@ -9,13 +9,14 @@ ranges are placed at once.  This gives the bins that a piece-by-piece run
 gives.  Pieces then look up their bin by their rank among pieces of their
 length; ranks come from salted counts, so a frequent length is not one group.
 
-Defined cases: null and empty texts are one end token; repeated rows are packed
-each on its own; an empty table gives an empty table; further columns are
+Defined cases: null and empty texts are one end token; rows with a null id are
+packed like any other and keep it; repeated rows are packed each on its own; an empty table gives an empty table; further columns are
 dropped; very long texts are cut, and only they.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,10 +34,18 @@ PIECES_PER_SALT = 100_000
 LEAST_SALTS = 32
 
 _ENCODERS: dict[tuple[str, str], object] = {}
+#: Blocks whose letters, digits and spaces have long been settled, so that two pattern engines divide their text alike.
+_SETTLED = re.compile("[\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20a0-\u20b5]*")
+_SPECIAL = "<|endoftext|>"
 
 
 def _encoder(ranks_file: str, model_file: str):
-    """ids(text): from the ranks of the same vocabulary (faster); a text with the special token's string goes through the model file."""
+    """ids(text) of the model file's tokenizer.
+
+    Texts of settled blocks without the special token's string take the faster
+    encoder over the ranks of the same vocabulary, which gives the same ids
+    (tests hold it against the model file); all others take the model file.
+    """
     if (ranks_file, model_file) not in _ENCODERS:
         import base64
 
@@ -50,7 +59,7 @@ def _encoder(ranks_file: str, model_file: str):
         model: list[Tokenizer] = []
 
         def ids(text: str) -> np.ndarray:
-            if "<|endoftext|>" in text:
+            if _SPECIAL in text or not _SETTLED.fullmatch(text):
                 model or model.append(Tokenizer.from_file(model_file))
                 return np.array(model[0].encode(text, add_special_tokens=False).ids, np.uint32)
             return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
@@ -163,7 +172,7 @@ def pack(docs: DataFrame, limit: int = 1024, **options) -> DataFrame:
     before = salted.groupBy("length", "_salt").count().withColumn(
         "_before", F.sum("count").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1))
     ).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy("length", "_salt").orderBy("_h", "doc_id", "piece")) - 1
+    place = F.row_number().over(W.partitionBy("length", "_salt").orderBy("_h", "doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("_place", place).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place"))
     # the plan has a bounded number of rows, whatever the number of pieces
     rows = spark.createDataFrame(plan or [], "length long, _from long, _to long, _first long, _per long, _offset long")

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,8 @@ from tokenizers import Tokenizer
 
 from stopwise.llm import packing, queries
 
+RANKS, MODEL = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))
+
 
 def naive_bins(lengths, limit):
     room = []
@@ -77,3 +80,39 @@ def test_query_on_corpus(spark, sf_dir):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     bins, tokens = check(queries.op10_best_fit_packing(spark, sf_dir).collect(), texts)
     assert bins <= -(-tokens // 1024) * 1.02 + 1
+
+
+@functools.cache
+def encoders():
+    return Tokenizer.from_file(MODEL), packing._encoder(RANKS, MODEL)
+
+
+def same_ids(texts):
+    model, ids = encoders()
+    for t in texts:
+        assert ids(t).tolist() == model.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_ids_are_those_of_the_model_file(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").where("text is not null").select("text").collect()
+    same_ids([r["text"] for r in rows])
+    same_ids(["x" * 30_000, "ab1" * 9_000, "e\u0301" * 500, "\x00\x01\x1f\x7f\x85 \u2028\u00a0\u3000 a\tb\r\n\n  c", "'S 't we'RE it's", " " * 3000 + "z", "\u4e2d\u6587 \U0001f600\u200d\U0001f468 \u0e01\u0e34", "<|endoftext|>a"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=60))
+def test_ids_of_any_text(text):
+    same_ids([text])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(codec="utf-8", max_codepoint=0x20B5), max_size=60))
+def test_ids_of_text_in_settled_blocks(text):
+    same_ids([text])
+
+
+def test_null_ids_and_repeats(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, None), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 1), (0, 4), (3, 4), (3, 4)]
+    assert sorted(r["offset"] for r in rows)[0] == 0 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 4
