@@ -1,40 +1,50 @@
 """Exact Jaccard join of documents on word shingles, by pivots in a metric space.
 
-The Jaccard distance is a metric, so distances to a pivot bound distances
-between documents: with threshold t, documents linked to a pivot form its ball
-(distance at most t), only documents in its ring (at most 2 t) can link to the
-ball, and the rest, the outside, can link to the ring and the outside alone.
-
-Whole-document pivots cannot divide a corpus at the first level: nearly every
-document is at distance 1 from nearly every other, so every window would hold
-everything.  The first pivots are therefore single shingles: a document lies in
-the region of each shingle of its prefix, its n - ceil(t n) + 1 first shingles
-in a common order, and documents that may link share a region; being in several
-regions is the replication of boundary documents.  The order is by hash, with
-shingles that are frequent in a sample of documents last, which only keeps
-regions small.  Regions of more than ``SMALL`` documents recur: a document is
-drawn as pivot, distances to it are measured, its ball leaves, the ring and the
-outside go on with another pivot; after ``ROUNDS`` pivots what is left is joined
-pair by pair, like small regions.  Pairs already in one component need no look.
+The Jaccard distance is a metric, so distances to pivots bound distances between
+documents; r = 1 - threshold is the greatest distance of a link.
+
+1. Whole-document pivots cannot divide a corpus at the first level: nearly every
+   document is at distance 1 from nearly every other, so every window would hold
+   everything.  The first regions are therefore those of single shingles: a
+   document lies in the region of each shingle of its prefix, its n - ceil(t n) + 1
+   first shingles in a common order, and documents that may link share a region.
+   The order is by hash, with shingles that are frequent in a sample of documents
+   last; it decides the regions' sizes and never the result.
+2. Each region has a document as pivot, the same for the regions of one group of
+   near copies, and regions of one pivot become one.  Links to the pivot are
+   measured; what is linked already needs no further look.
+3. Regions of more than ``REGION`` documents recur: several pivots at once make
+   Voronoi cells of the documents within ``RADIUS`` of their nearest pivot.  If
+   j lies in q's cell, a linked i has d(i, q) <= RADIUS + r and
+   d(i, q) <= d(i, its own pivot) + 2 r; all that are in this window are
+   replicated to the cell.  Documents near no pivot are a region of their own.
+   Regions recur until they are small or pivots no longer divide them.
+4. Regions are joined in tasks.  Documents go to blocks of at most ``BLOCK``
+   documents, about, and each two blocks of a region meet once.  First the
+   prefixes bound each pair; documents with a possible partner meet again with
+   their whole sets.  A task returns a spanning forest of the links it finds, so
+   no row is made for a pair.
 
 Documents with equal shingle sets are one class throughout, so copies cost
 nothing further.
 
 Defined cases: documents without words or text have no shingles and link to
 nothing; one of fewer than k words has its whole sequence as a shingle; rows that
-repeat an id are one document for links and keep a row each; rows with a null id
-are dropped; an empty table gives an empty table; further columns are dropped.
+repeat an id are a document for each text and keep a row each; rows with a null
+id are dropped; an empty table gives an empty table; further columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import bound_batches, heaviest, mix, stash, windows, words
 from .components import star_components
@@ -45,8 +55,16 @@ SAMPLE_SHARE = 1 / 8
 SAMPLE_LEAST = 2
 #: Frequent shingles that are broadcast, at most.
 FREQUENT = 2_000_000
-SMALL = 3
-ROUNDS = 3
+#: Documents of a region that is not divided further.
+REGION = 1_024
+#: Pivots of a region that is divided, at most, and the radius of their cells.
+PIVOTS = 8
+RADIUS = 0.5
+#: A part of more than this share of its region's documents is not divided further.
+STUCK = 0.8
+#: Documents and shingles of a block of a region, about.
+BLOCK = 512
+BLOCK_SHINGLES = 400_000
 #: Ids of at most so many documents are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Pairs of at most so many are broadcast to the sets; more are joined by a shuffle.
@@ -55,14 +73,15 @@ BROADCAST_PAIRS = 500_000
 SLICE_TOKENS = 400_000
 
 _ROWS = 1 << 15
-#: A shingle is 47 bits of its hash; bit 47 is set for frequent ones, so they come last.
+#: In prefixes a shingle is 47 bits of its hash; bit 47 is set for frequent ones, so they come last.
 _BITS = 47
 _TOKEN = np.uint64((1 << _BITS) - 1)
 _FREQUENT_BIT = np.uint64(1 << _BITS)
+_SLACK = 1e-9
 
 
-def _sets(texts: pa.Array, k: int, frequent: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For bounded runs of rows: first row, bounds of each row, and its distinct shingles as numbers, in order."""
+def _sets(texts: pa.Array, k: int, frequent: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For bounded runs of rows: first row, bounds of each row, its distinct shingles as 48-bit numbers, in order, and their whole hashes."""
     sieve = None
     if frequent is not None and len(frequent):
         sieve = np.zeros(1 << 22, bool)
@@ -75,10 +94,13 @@ def _sets(texts: pa.Array, k: int, frequent: np.ndarray | None = None) -> Iterat
                 maybe = np.flatnonzero(sieve[token & np.uint64((1 << 22) - 1)])
                 place = np.minimum(np.searchsorted(frequent, token[maybe]), len(frequent) - 1)
                 token[maybe[frequent[place] == token[maybe]]] |= _FREQUENT_BIT
-            key = np.sort((w.row[at].astype(np.uint64) << np.uint64(48)) | token)
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+            key = (w.row[at].astype(np.uint64) << np.uint64(48)) | token
+            order = np.argsort(key, kind="stable")
+            key, h = key[order], h[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])]) if len(key) else np.zeros(0, bool)
+            key, h = key[new], h[new]
             bounds = np.searchsorted(key, np.arange(w.last - w.first + 1, dtype=np.uint64) << np.uint64(48))
-            yield lo + w.first, bounds, key & np.uint64((1 << 48) - 1)
+            yield lo + w.first, bounds, key & np.uint64((1 << 48) - 1), h
 
 
 def _frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -87,7 +109,7 @@ def _frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, tokens in _sets(batch.column(0), k):
+            for _, _, tokens, _ in _sets(batch.column(0), k):
                 token, n = np.unique(tokens, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
@@ -97,23 +119,25 @@ def _frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, number of shingles, two hashes of the set, and the prefix's shingles in order, as bytes."""
+    """Per row (key, doc_id): number of shingles, two hashes of the set, and the prefix's shingles in order, as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, bounds, tokens in _sets(batch.column(1), k, shared.value):
-                plain = tokens & _TOKEN
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(plain + np.uint64(s)), dtype=np.uint64)]) for s in (1, 0x5DEECE66D)]
+            for first, bounds, tokens, h in _sets(batch.column(2), k, shared.value):
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(s)), dtype=np.uint64)]) for s in (1, 0x5DEECE66D)]
                 a, b = bounds[:-1], bounds[1:]
                 n = b - a
                 prefix = np.where(n > 0, n - -(-num * n // den) + 1, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(n), *[pa.array((s[b] - s[a]).view(np.int64)) for s in sums], pa.array([_packed(tokens[x : x + p], 6) for x, p in zip(a, prefix, strict=True)], pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "prefix"],
-                )
+                    [
+                        batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n),
+                        *[pa.array((s[b] - s[a]).view(np.int64)) for s in sums], pa.array([_packed(tokens[x : x + p]) for x, p in zip(a, prefix, strict=True)], pa.binary()),
+                    ],
+                    names=["key", "doc_id", "n", "d1", "d2", "prefix"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n long, d1 long, d2 long, prefix binary")
+    return docs.select("key", "doc_id", "text").mapInArrow(emit, "key long, doc_id long, n long, d1 long, d2 long, prefix binary")
 
 
 def _regions(heads: DataFrame, total: int) -> DataFrame:
@@ -125,7 +149,7 @@ def _regions(heads: DataFrame, total: int) -> DataFrame:
     slices = max(1, -(-total // SLICE_TOKENS))
 
     def explode(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [_unpacked(x.as_buffer(), 6) for x in batch.column(1)]
+        parts = [_unpacked(x.as_buffer()) for x in batch.column(1)]
         token = np.concatenate([np.zeros(0, np.uint64), *parts])
         node = np.repeat(np.asarray(batch.column(0), np.int64), [len(x) for x in parts])
         return token & _TOKEN, node, (token & _FREQUENT_BIT) != 0
@@ -160,40 +184,43 @@ def _regions(heads: DataFrame, total: int) -> DataFrame:
     return rare.unionByName(plain.mapInArrow(loose, "token long, node long"))
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (one column, doc_id)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose key is in keys (one column, key)."""
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
 
-def _packed(tokens: np.ndarray, width: int) -> bytes:
-    """Numbers of ``width`` bytes."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _packed(tokens: np.ndarray) -> bytes:
+    """Numbers of 6 bytes."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _unpacked(packed, width: int) -> np.ndarray:
-    out = np.zeros((len(packed) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+def _unpacked(packed) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
 class Sets(NamedTuple):
-    """Shingle sets of the documents (doc_id, text), made from the texts each time they are asked for."""
+    """Shingle sets of the documents (key, text), made from the texts each time they are asked for."""
 
     docs: DataFrame
     k: int
-    repeated: bool  # ids may repeat
+    repeated: bool  # keys may repeat
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, tokens) of the nodes (one column)."""
+        """(node, tokens) of the nodes (one column): whole hashes of 8 bytes, sorted."""
         k = self.k
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, bounds, tokens in _sets(batch.column(1), k):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bounds) - 1), pa.array([_packed(tokens[a:b] >> np.uint64(_BITS - 40), 5) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "tokens"])
+                for first, bounds, _, h in _sets(batch.column(1), k):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, len(bounds) - 1), pa.array([np.sort(h[a:b]).astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
+                        names=["node", "tokens"],
+                    )
 
-        out = _texts_of(self.docs, nodes.toDF("doc_id").distinct()).select("doc_id", "text").mapInArrow(emit, "node long, tokens binary")
+        out = _texts_of(self.docs, nodes.toDF("key").distinct()).select("key", "text").mapInArrow(emit, "node long, tokens binary")
         return out.dropDuplicates(["node"]) if self.repeated else out
 
 
@@ -210,18 +237,20 @@ def _met(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], look: Callabl
     return right.join(F.broadcast(pairs) if small else pairs, "b").join(left, "a").select(*pairs.columns, "ta", "tb").mapInArrow(each, schema)
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
 def _measured(pairs: DataFrame, sets: Sets) -> DataFrame:
     """(a, b, common, together): sizes of intersection and union of each pair's sets."""
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common, together = [], []
-        for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-            x, y = _unpacked(x.as_buffer(), 5), _unpacked(y.as_buffer(), 5)
-            if len(x) > len(y):
-                x, y = y, x
-            same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            common.append(same)
-            together.append(len(x) + len(y) - same)
+        sides = [[np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in ("ta", "tb")]
+        common = [_shared(x, y) for x, y in zip(*sides, strict=True)]
+        together = [len(x) + len(y) - c for x, y, c in zip(*sides, common, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(together, pa.int64())], names=["a", "b", "common", "together"])
 
     return _met(pairs.select("a", "b"), sets.of, measure, "a long, b long, common long, together long")
@@ -241,95 +270,244 @@ def most_common(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
     return same + min(nx - len(x), ny - int(np.searchsorted(y, x[-1], "right")))
 
 
+def _prefixes(heads: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda nodes: heads.select("node", F.col("prefix").alias("tokens")).join(nodes.toDF("node").distinct(), "node", "left_semi")
+
+
 def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb: sizes of their sets) that can link by their prefixes, a small part of the sets."""
 
     def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for nx, ny, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
-            most = most_common(_unpacked(x.as_buffer(), 6), _unpacked(y.as_buffer(), 6), nx, ny)
+            most = most_common(_unpacked(x.as_buffer()), _unpacked(y.as_buffer()), nx, ny)
             good.append(den * most >= num * (nx + ny - most))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    prefixes = lambda nodes: heads.select("node", F.col("prefix").alias("tokens")).join(nodes.toDF("node").distinct(), "node", "left_semi")
-    return _met(pairs, prefixes, bound, "a long, b long")
+    return _met(pairs, _prefixes(heads), bound, "a long, b long")
+
+
+def _labelled(cells: DataFrame, part: DataFrame) -> DataFrame:
+    """cells (cell, node, n) with each node's component so far, without cells of one component."""
+    known = cells.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    mixed = known.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("cell")
+    return known.join(mixed, "cell", "left_semi")
+
+
+def _divided(cells: DataFrame, sets: Sets, num: int, den: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Voronoi cells with their windows, (cell, node, n, whole: documents of the region divided), and measured distances to pivots (a, b, common, together)."""
+    reach = (den - num) / den
+    whole = cells.groupBy("cell").agg(F.count("*").alias("whole"))
+    sized = cells.join(whole, "cell")
+    h = F.xxhash64("node", "cell", F.lit(turn))
+    # about 4 PIVOTS candidates of each region; no task sorts a region
+    drawn = sized.where(F.pmod(h, F.col("whole")) < 4 * PIVOTS).withColumn("_rank", F.row_number().over(W.partitionBy("cell").orderBy(h, "node"))).where(F.col("_rank") <= PIVOTS)
+    pivots = stash(drawn.select("cell", F.col("node").alias("pivot"), F.col("n").alias("pivot_n")))
+    least = 1 - RADIUS - reach  # the similarity at a window's edge
+    near = F.least("n", "pivot_n") >= least * F.greatest("n", "pivot_n")
+    met = stash(sized.join(pivots, "cell").where(near).select("cell", "node", "n", "whole", "pivot"))
+    measured = stash(_measured(met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets))
+    far = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("common") / F.col("together"))
+    away = stash(met.join(measured.withColumnsRenamed({"a": "pivot", "b": "node"}), ["pivot", "node"], "left").select("cell", "node", "n", "whole", "pivot", far.alias("d")))
+    own = away.groupBy("cell", "node").agg(F.min("d").alias("own"))
+    in_window = F.col("d") <= F.least(F.lit(RADIUS + reach), F.col("own") + 2 * reach) + _SLACK
+    voronoi = away.join(own, ["cell", "node"]).where(in_window).select(F.xxhash64("cell", "pivot", F.lit(turn)).alias("cell"), "node", "n", "whole")
+    outside = sized.join(own.where(F.col("own") <= RADIUS), ["cell", "node"], "left_anti").select(F.xxhash64("cell", F.lit("outside"), F.lit(turn)).alias("cell"), "node", "n", "whole")
+    return stash(voronoi.unionByName(outside)), measured
+
+
+def _recurred(cells: DataFrame, sets: Sets, num: int, den: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Regions (cell, node, n) of at most REGION documents, or that pivots do not divide, and the distances measured on the way."""
+    done, known, turn = [], [], 0
+    work = cells.withColumn("whole", F.lit(None).cast("long"))
+    while True:
+        size = work.groupBy("cell").agg(F.count("*").alias("m"), F.max("whole").alias("_whole"))
+        open_ = stash(size.where((F.col("m") > REGION) & (F.col("_whole").isNull() | (F.col("m") <= STUCK * F.col("_whole")))).select("cell"))
+        if open_.isEmpty():
+            return [*done, work.select("cell", "node", "n")], known
+        done.append(work.join(open_, "cell", "left_anti").select("cell", "node", "n"))
+        work, measured = _divided(work.join(open_, "cell", "left_semi").select("cell", "node", "n"), sets, num, den, turn)
+        known.append(measured)
+        turn += 1
+
+
+def _in_blocks(cells: DataFrame) -> DataFrame:
+    """cells with a column of two block numbers for each meeting of a node's block with another of its cell."""
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = cells.join(cells.groupBy("cell").agg(parts.alias("parts")), "cell")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    return sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        *cells.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own"
+    )
+
+
+def overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set, in order, the number of values that it shares with every set.
+
+    Only values of several sets are looked up; of those in most sets it is noted
+    who lacks them.
+    """
+    m, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), size)
+    _, value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    most = np.flatnonzero((2 * times > m) & (times > 1))
+    keep = ((times > 1) & (2 * times <= m))[value]
+    has, of = value[keep], owner[keep]
+    lack_of, lack = np.nonzero(_absent(value, owner, most, m))
+    # postings of values that some have, and of values that some lack
+    n_most = len(most)
+    key, holder = np.concatenate([has, len(times) + lack]), np.concatenate([of, lack_of])
+    order = np.argsort(key, kind="stable")
+    key, holder = key[order], holder[order]
+    start, end = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
+    by = np.argsort(holder, kind="stable")
+    cut = np.searchsorted(holder[by], np.arange(m + 1))
+    lacks = np.bincount(lack_of, minlength=m)
+    for i in range(m):
+        own = by[cut[i] : cut[i + 1]]
+        for_some, for_most = own[key[own] < len(times)], own[key[own] >= len(times)]
+        some, both_lack = (np.bincount(_ranges(holder, start[x], end[x]), minlength=m) for x in (for_some, for_most))
+        # of the values most have, both have all but those that one of the two lacks
+        yield some + n_most - lacks[i] - lacks + both_lack
+
+
+def _absent(value: np.ndarray, owner: np.ndarray, most: np.ndarray, m: int) -> np.ndarray:
+    out = np.ones((m, len(most)), bool)
+    place = np.searchsorted(most, value)
+    place = np.minimum(place, max(0, len(most) - 1))
+    if len(most):
+        own = most[place] == value
+        out[owner[own], place[own]] = False
+    return out
+
+
+def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """values[start:end] of each pair, one after another."""
+    n = end - start
+    return values[np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())] if len(n) else values[:0]
+
+
+class _Meeting(NamedTuple):
+    """The documents of two blocks: which pairs are to be looked at."""
+
+    node: np.ndarray
+    n: np.ndarray
+    part: np.ndarray
+    own: np.ndarray
+    lo: int
+    hi: int
+    bytes: list
+
+    @classmethod
+    def of(cls, key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> _Meeting:
+        table = pa.Table.from_batches(list(batches))
+        column = lambda c: np.asarray(table.column(c), np.int64)
+        return cls(column("node"), column("n"), column("part"), column("own"), key[1].as_py(), key[2].as_py(), [x.as_buffer() for c in table.column("tokens").chunks for x in c])
+
+    def open_pairs(self, i: int, num: int, den: int) -> np.ndarray:
+        """Whether i and each document are of different components, may link by their sizes and meet here (in other meetings of one block with itself: no)."""
+        fits = den * np.minimum(self.n, self.n[i]) >= num * np.maximum(self.n, self.n[i])
+        return fits & (self.part != self.part[i]) & ((self.own != self.own[i]) | (self.lo == self.hi))
+
+
+def _may_link(cells: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """(cell, node, n, part) of the documents that have a possible partner in their cell by the bound of prefixes."""
+
+    def look(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = _Meeting.of(key, batches)
+        prefixes = [_unpacked(b) for b in x.bytes]
+        size, last = np.array([len(p) for p in prefixes], np.int64), np.array([p[-1] for p in prefixes], np.uint64)
+        good = np.zeros(len(x.node), bool)
+        for i, same in enumerate(overlaps(prefixes)):
+            # of the one whose prefix ends first so many come after it
+            most = same + np.where(last <= last[i], x.n - size, x.n[i] - size[i])
+            ok = x.open_pairs(i, num, den) & (den * most >= num * (x.n + x.n[i] - most))
+            good |= ok
+            good[i] |= ok.any()
+        at = np.flatnonzero(good)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key[0].as_py(), np.int64)), *[pa.array(c[at]) for c in (x.node, x.n, x.part)]], names=["cell", "node", "n", "part"])
+
+    met = _in_blocks(cells).join(heads.select("node", F.col("prefix").alias("tokens")), "node")
+    found = met.groupBy("cell", "lo", "hi").applyInArrow(look, "cell long, node long, n long, part long")
+    return stash(found.distinct())
+
+
+def _joined(cells: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
+    """Links (u, v) between documents of different components of a cell (cell, node, n, part): a spanning forest for each two blocks."""
+
+    def look(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = _Meeting.of(key, batches)
+        parts, place = np.unique(x.part, return_inverse=True)
+        root = np.arange(len(parts))
+        u, v = [], []
+        for i, same in enumerate(overlaps([np.frombuffer(b, "<u8") for b in x.bytes])):
+            linked = np.flatnonzero(x.open_pairs(i, num, den) & (den * same >= num * (x.n + x.n[i] - same)))
+            # one link for each component that i now joins
+            other, first = np.unique(root[place[linked]], return_index=True)
+            for r, j in zip(other, linked[first], strict=True):
+                if r != root[place[i]]:
+                    root[root == r] = root[place[i]]
+                    u.append(x.node[i])
+                    v.append(x.node[j])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    met = _in_blocks(cells).join(sets.of(cells.select("node")), "node")
+    return met.groupBy("cell", "lo", "hi").applyInArrow(look, "u long, v long")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: documents link when den * intersection >= num * union of their k-word shingles."""
+    """doc_id, n_shingles, component_id: documents link when den * intersection >= num * union of their k-word shingles.
+
+    Also key and component_key: doc_id and component_id, or where ids repeat
+    numbers of (id, text) and of its component.
+    """
     bound_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    repeated = not plain.groupBy("doc_id").count().where("count > 1").isEmpty()
+    plain = plain.withColumn("key", document_key(F.col("doc_id"), F.col("text")) if repeated else F.col("doc_id"))
     frequent = _frequent_shingles(plain, k)
     features = stash(_features(plain, k, num, den, frequent))
     some = features.where("n > 0")
-    classes = stash(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node")))
-    heads = stash(some.join(classes.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").withColumnRenamed("doc_id", "node").select("node", "n", "prefix"))
+    classes = stash(some.groupBy("d1", "d2", "n").agg(F.min("key").alias("node"), F.min("doc_id").alias("least")))
+    heads = some.join(classes.select(F.col("node").alias("key"), "d1", "d2"), ["key", "d1", "d2"], "left_semi").select(F.col("key").alias("node"), "n", "prefix")
+    heads = stash(heads.dropDuplicates(["node"]) if repeated else heads)
 
     total = features.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 6
     tokens = stash(_regions(heads, total))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    region = stash(tokens.join(shared, "token").join(classes.select("node", "n"), "node").select("token", "node", "n", "m"))
-    sets = Sets(plain, k, not some.groupBy("doc_id").count().where("count > 1").isEmpty())
-
-    near, ring = F.expr(f"{den} * common >= {num} * together"), F.expr(f"{den} * common >= {2 * num - den} * together")
-    base = region.where(F.col("m") <= SMALL).drop("m")
-    work = region.where(F.col("m") > SMALL).drop("m")
-    links, known, windows_ = [], None, []
-    for turn in range(ROUNDS):
-        # the pivot has the least hash: the same document for the regions of one group of near copies
-        h = F.xxhash64("node", F.lit(turn))
-        pivots = work.withColumn("_h", h).groupBy("token").agg(F.min("_h").alias("_h"), F.count("*").alias("m"))
-        chosen = work.withColumn("_h", h).join(pivots, ["token", "_h"]).groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.max("m").alias("m")).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "m")
-        placed = stash(work.join(chosen, "token"))
-        base = base.unionByName(placed.where(F.col("m") <= SMALL).select("token", "node", "n"))
-        large = placed.where(F.col("m") > SMALL)
-        # a pair of too different sizes is outside (the similarity is at most the ratio), without a look
-        sized = F.expr(f"{den} * least(n, pivot_n) >= {2 * num - den} * greatest(n, pivot_n)")
-        pairs = large.where(sized & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        measured = stash(_measured(pairs, sets))
-        known = measured if known is None else known.unionByName(measured)
-        links.append(measured.where(near).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        zones = large.join(known.withColumnsRenamed({"a": "pivot", "b": "node"}), ["pivot", "node"], "left")
-        zone = F.when((F.col("node") == F.col("pivot")) | near, 0).when(ring, 1).otherwise(2)
-        zoned = stash(zones.select("token", "node", "n", "pivot", zone.alias("zone"), F.lit(turn).alias("turn")))
-        windows_.append(zoned.where("zone < 2"))
-        work = zoned.where("zone > 0").select("token", "node", "n")
-        if work.isEmpty():
-            break
-    stars = star_components(_union(links))
-    part = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("part"))
-    labelled = lambda df: df.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-
-    # small regions and what the pivots have left: all pairs of different components
-    rest = labelled(base.unionByName(work))
-    mixed = rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    rest = stash(rest.join(mixed, "token", "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-    last = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    # rings that have not joined their pivot's component, against the ball
-    zoned = labelled(_union(windows_))
-    home = part.select(F.col("node").alias("pivot"), F.col("part").alias("home"))
-    zoned = zoned.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    outer = zoned.where("zone = 1 and part <> home").alias("x")
-    ball = zoned.where("zone = 0").alias("y")
-    swap = F.col("x.node") > F.col("y.node")
-    pick = lambda c, d, name: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(name)
-    across = outer.join(ball, (F.col("x.token") == F.col("y.token")) & (F.col("x.turn") == F.col("y.turn")) & fits).select(pick("x.node", "y.node", "a"), pick("y.node", "x.node", "b"), pick("x.n", "y.n", "na"), pick("y.n", "x.n", "nb"))
-    looked = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_ = last.unionByName(across).distinct().join(looked, ["a", "b"], "left_anti")
-    found = _measured(_possible(open_, heads, num, den), sets).where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = star_components(stars.unionByName(found))
-    whole = classes.join(final.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("part")), "node", "left")
-    named = whole.select("d1", "d2", "n", F.coalesce("part", "node").alias("component_id"))
-    out = features.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    sets = Sets(plain, k, repeated)
+
+    # the pivot has the least hash: the same document for the regions of one group of near copies
+    pivots = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).where("m > 1").select("token", "m", F.col("p.node").alias("cell"))
+    placed = stash(tokens.join(pivots, "token").groupBy("cell", "node").agg(F.max("m").alias("m")).where("cell <> node").join(heads.select("node", "n"), "node"))
+    near = F.expr(f"{den} * common >= {num} * together")
+    as_links = lambda measured: measured.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    stars = placed.join(heads.select(F.col("node").alias("cell"), F.col("n").alias("cell_n")), "cell")
+    fits = F.expr(f"{den} * least(n, cell_n) >= {num} * greatest(n, cell_n)")
+    pairs = stars.where(fits).select(F.col("cell").alias("a"), F.col("node").alias("b"), F.col("cell_n").alias("na"), F.col("n").alias("nb"))
+    links = stash(as_links(_measured(_possible(pairs, heads, num, den), sets)))
+    part = _parts(star_components(links))
+
+    # a region of two is its pivot and a document, which have been measured
+    cells = stash(_labelled(placed.where("m > 2").select("cell", "node", "n"), part).select("cell", "node", "n"))
+    done, known = _recurred(cells, sets, num, den)
+    if known:
+        links = stash(reduce(DataFrame.unionByName, [links, *map(as_links, known)]))
+        part = _parts(star_components(links))
+    small = stash(_labelled(reduce(DataFrame.unionByName, done), part))
+    found = _joined(_may_link(small, heads, num, den), sets, num, den)
+
+    final = _parts(star_components(links.unionByName(found)))
+    whole = classes.join(final, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    named = whole.join(whole.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("d1", "d2", "n", "component_id", F.col("part").alias("component_key"))
+    out = features.select("key", "doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", F.coalesce("component_key", "key").alias("component_key"))
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """The key of a row where ids repeat."""
+    return F.xxhash64(doc_id, text)
+
+
+def _parts(stars: DataFrame) -> DataFrame:
+    """(node, part) of the nodes that are not the least of their component."""
+    return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("part"))

@@ -22,7 +22,7 @@ def _fold(n: int) -> Column:
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
-    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"), 4, 85, 100)
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stopwise.llm import jaccard, queries
 
@@ -57,8 +60,11 @@ def corpus(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
-def test_equals_all_pairs(spark, k, num):
+@pytest.mark.parametrize("k,num,region,block", [(4, 85, 1024, 512), (5, 80, 1024, 7), (4, 85, 6, 4)])
+def test_equals_all_pairs(spark, monkeypatch, k, num, region, block):
+    """With regions joined as they are, in blocks, and divided by pivots again and again."""
+    monkeypatch.setattr(jaccard, "REGION", region)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame([(d, t, "z") for d, t in texts.items()], "doc_id long, text string, n string").repartition(5)
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs, k, num, 100).collect()}
@@ -70,6 +76,11 @@ def test_repeats_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, a), (1, a), (4, a), (None, a), (5, None)], "doc_id long, text string")
     rows = sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(docs, 4, 85, 100).collect())
     assert rows == [(1, 1), (1, 1), (4, 1), (5, 5)]
+    # one id with unlike texts: documents of their own, each with its links
+    other = " ".join(f"u{i}" for i in range(40))
+    docs = docs.unionByName(spark.createDataFrame([(4, other), (7, other)], docs.schema))
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs, 4, 85, 100).collect())
+    assert rows == [(1, 27, 1), (1, 27, 1), (4, 27, 1), (4, 37, 4), (5, 0, 5), (7, 37, 4)]
     assert jaccard.jaccard_join(docs.limit(0), 4, 85, 100).count() == 0
 
 
@@ -77,3 +88,34 @@ def test_query_on_corpus(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op1_jaccard_join(spark, sf_dir).collect()}
     assert rows == brute(texts, 4, 85, 100)
+
+
+def near_copies(n, words, edits, seed):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = {}
+    for d in range(n):
+        own = list(base)
+        for i in rng.sample(range(words), rng.choice(edits)):
+            own[i] = f"e{rng.randrange(50)}"
+        out[d] = " ".join(own)
+    return out
+
+
+@pytest.mark.parametrize("region,block", [(1024, 512), (40, 16)])
+def test_group_of_loosely_similar_documents(spark, monkeypatch, region, block):
+    monkeypatch.setattr(jaccard, "REGION", region)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = near_copies(220, 200, [0, 1, 2, 4, 6, 8, 12], 5)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85, 100).collect()}
+    assert rows == brute(texts, 4, 85, 100)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12)), min_size=1, max_size=9))
+def test_overlaps_equal_plain_counts(sets):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    for i, same in enumerate(jaccard.overlaps(arrays)):
+        for j in range(len(sets)):
+            if i != j:
+                assert same[j] == len(sets[i] & sets[j])
