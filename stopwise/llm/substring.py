@@ -189,16 +189,18 @@ RANGES = f"{_KEY}, lo array<long>, hi array<long>"
 
 def _ranges(part: pd.DataFrame, segment: np.ndarray, place: np.ndarray, window: int) -> pd.DataFrame:
     """Confirmed windows as word ranges, merged, one row for each document."""
+    if not len(segment):
+        return pd.DataFrame({"doc_id": part["doc_id"][:0], "version": part["version"][:0], "lo": pd.Series(dtype=object), "hi": pd.Series(dtype=object)})
     key, docs = pd.factorize(pd.MultiIndex.from_frame(part[["doc_id", "version"]]))
     own = key[segment].astype(np.int64) << 40
     lo = own + part["at"].to_numpy(np.int64)[segment] + place
     lo = np.sort(lo)
-    starts = np.flatnonzero(np.concatenate([[True], lo[1:] > lo[:-1] + window])) if len(lo) else np.zeros(0, np.int64)
-    last = np.concatenate([starts[1:], [len(lo)]])[: len(starts)] - 1
+    starts = np.flatnonzero(np.concatenate([[True], lo[1:] > lo[:-1] + window]))
+    last = np.concatenate([starts[1:], [len(lo)]]) - 1
     begin, end = lo[starts], lo[last] + window
     doc = begin >> 40
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    cut = lambda x: np.split(x & ((1 << 40) - 1), first[1:]) if len(first) else []
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    cut = lambda x: pd.Series(np.split(x & ((1 << 40) - 1), first[1:]), dtype=object)
     which = docs.take(doc[first])
     return pd.DataFrame({"doc_id": which.get_level_values(0), "version": which.get_level_values(1), "lo": cut(begin), "hi": cut(end)})
 

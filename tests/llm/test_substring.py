@@ -76,3 +76,13 @@ def test_words_with_equal_codes_differ(spark):
         one[place], two[place] = "n386", "n1353"
         docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, "b " + " ".join(one))], "doc_id long, text string")
         assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()} == {1: 35, 2: 0, 3: 35}
+
+
+def test_batches_without_recurring_windows(spark, monkeypatch):
+    """Frequent anchors whose windows recur in few batches of many."""
+    monkeypatch.setattr(substring, "HOT", 2)
+    phrase = " ".join(f"p{i}" for i in range(34))
+    texts = [f"{i} x{i} " + phrase + f" y{i}" for i in range(40)] + ["same " + phrase] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id")
+    rows = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+    assert rows == dict(enumerate(gone for _, gone, _ in brute(texts, 35)))
