@@ -53,6 +53,11 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(df: DataFrame) -> np.ndarray:
+    """The first column of df, of a bounded number of rows, without a Python object per value."""
+    return df.select(df.columns[0]).toArrow().column(0).to_numpy()
+
+
 def heaviest(counts: DataFrame, most: int) -> DataFrame:
     """At most ``most`` rows of counts (a written table with a column n): those with n over a threshold, found by a histogram instead of a sort."""
     # 64 powers of two in 8 parts each

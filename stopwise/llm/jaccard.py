@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bound_batches, heaviest, mix, stash, windows, words
+from .common import bound_batches, column, heaviest, mix, stash, windows, words
 from .components import star_components
 
 #: Documents whose shingles are counted to find frequent ones, at least, and their share of all; the order of shingles depends on it, results do not.
@@ -115,7 +115,7 @@ def _frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1)).select("text")
     counted = stash(sample.mapInArrow(emit, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST))
-    return np.sort(heaviest(counted, FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(column(heaviest(counted, FREQUENT).select("token")).view(np.uint64))
 
 
 def _features(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:

@@ -9,8 +9,9 @@ loss; the score is that codeword's share, and a small lead marks ambiguity.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; empty
 training data give ``und`` throughout; rows without a language are predicted but
-not learned from; an empty table gives an empty table; further columns of the
-input are kept.
+not learned from; every language value is learned, however rare; repeated rows
+count each; an empty table gives an empty table; further columns of the input are
+kept, but those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bound_batches, buffers, mix
+from .common import CHUNK_BYTES, bound_batches, buffers, mix, stash
 
 BITS = 14
 ORDERS = (1, 2, 3)
-#: Languages that are learned, the most frequent ones.
-LANGUAGES = 400
+#: Languages counted at once in a task (2**BITS numbers each); of more, a task takes its rows in turns.
+LANGUAGES = 64
 AMBIGUOUS = 0.6
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -85,16 +86,26 @@ def counts(rows: DataFrame, languages: list[str]) -> DataFrame:
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) << BITS, np.int64)
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, total in held.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "feature", "n"])
+            held.clear()
+
         for batch in batches:
-            own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
+            own = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
             for first, last, orders in _grams(batch.column(0)):
-                lang = own[first:last]
-                for row, code in orders:
-                    key = (lang[row] << BITS) + code
-                    total += np.bincount(key[key >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((at >> BITS).astype(np.int32)), pa.array((at & ((1 << BITS) - 1)).astype(np.int32)), pa.array(total[at])], names=["lang", "feature", "n"])
+                for lang in np.unique(own[first:last]).tolist():
+                    if lang not in held:
+                        if len(held) >= LANGUAGES:
+                            yield from out()
+                        held[lang] = np.zeros(1 << BITS, np.int64)
+                    mine = own[first:last] == lang
+                    for row, code in orders:
+                        held[lang] += np.bincount(code[mine[row]], minlength=1 << BITS)
+        yield from out()
 
     return rows.mapInArrow(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
@@ -103,30 +114,57 @@ def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang
     """Learn from the rows of docs where training holds and the language is not null."""
     bound_batches(docs.sparkSession)
     rows = docs.where(training & F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    listed = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    languages = sorted(r["_lang"] for r in listed)
+    languages = sorted(r["_lang"] for r in rows.select("_lang").distinct().collect())  # as many as there are languages
     if not languages:
         return None
-    table = counts(rows, languages).toPandas()  # languages x 2**BITS rows at most
-    n = np.zeros((len(languages), 1 << BITS))
-    n[table["lang"], table["feature"]] = table["n"]
-    share = (n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * n.shape[1])  # languages weigh alike
+    table = stash(counts(rows, languages))
+    sizes = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     codes = codewords(len(languages))
-    weights, lost = [], []
-    for bit in codes.T:
-        one, zero = share[bit > 0].mean(axis=0) if (bit > 0).any() else share.mean(axis=0), share[bit < 0].mean(axis=0) if (bit < 0).any() else share.mean(axis=0)
-        w = np.log(one) - np.log(zero)
-        margin = share @ w * bit  # mean margin of each language's n-grams, positive if told rightly
-        weights.append(w)
-        lost.append(max(1e-3, float(margin.min())))
-    lost = np.array(lost)
-    return Model(languages, codes.astype(np.float32), np.stack(weights, 1).astype(np.float32), (lost / lost.sum()).astype(np.float32), 1.0)
+    bits = codes.shape[1]
+    # sums of the languages' shares by bit and side, worked out where the counts are: 2**BITS rows of bits numbers reach the driver
+    size = np.array([sizes.get(i, 0) for i in range(len(languages))], np.float64) + 0.5 * (1 << BITS)
+    shared = docs.sparkSession.sparkContext.broadcast((codes, size))
+
+    def by_bit(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, size = shared.value
+        n = np.zeros(len(size))
+        for batch in batches:
+            n[np.asarray(batch.column(0))] = np.asarray(batch.column(2))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_log_ratios((n + 0.5) / size, codes).astype(np.float32).tobytes()], pa.binary())], names=["feature", "weights"])
+
+    weights = np.tile(_log_ratios(0.5 / size, codes).astype(np.float32), (1 << BITS, 1))
+    for r in table.groupBy("feature").applyInArrow(by_bit, "feature int, weights binary").toLocalIterator():
+        weights[r["feature"]] = np.frombuffer(r["weights"], np.float32)
+    # mean margin of each language's n-grams by bit, positive if told rightly; a bit weighs as the worst of them
+    kept = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def margin(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, size = shared.value
+        lang, n = key[0].as_py(), np.zeros(1 << BITS)
+        for batch in batches:
+            n[np.asarray(batch.column(1))] = np.asarray(batch.column(2))
+        told = ((n + 0.5) / size[lang]) @ kept.value.astype(np.float64) * codes[lang]
+        yield pa.RecordBatch.from_arrays([pa.array([told.tobytes()], pa.binary())], names=["margins"])
+
+    lost = np.full(bits, np.inf)
+    for r in table.groupBy("lang").applyInArrow(margin, "margins binary").toLocalIterator():
+        lost = np.minimum(lost, np.frombuffer(r["margins"]))
+    lost = np.where(np.isfinite(lost), np.maximum(lost, 1e-3), 1.0)
+    return Model(languages, codes.astype(np.float32), weights, (lost / lost.sum()).astype(np.float32), 1.0)
+
+
+def _log_ratios(share: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each bit, the log ratio of the mean share of a feature in the languages with 1 and with -1; languages weigh alike."""
+    one, zero = (codes > 0).astype(float), (codes < 0).astype(float)
+    mean = lambda side: np.where(side.sum(axis=0) > 0, share @ side / np.maximum(side.sum(axis=0), 1), share.mean())
+    return np.log(mean(one)) - np.log(mean(zero))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous."""
+    others = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     if model is None:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+        return docs.select(*others, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
@@ -151,4 +189,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     told = docs.withColumn("_told", decode(F.col(text)))
     score = F.when(letters, F.col("_told.score")).otherwise(0.0)
-    return told.select(*[F.col(c) for c in docs.columns], F.when(letters, F.col("_told.lang_pred")).otherwise("und").alias("lang_pred"), score.alias("score"), (score < AMBIGUOUS).alias("ambiguous"))
+    return told.select(*others, F.when(letters, F.col("_told.lang_pred")).otherwise("und").alias("lang_pred"), score.alias("score"), (score < AMBIGUOUS).alias("ambiguous"))

@@ -2,14 +2,17 @@
 
 Texts become sets of hashed word 1- and 2-grams and a few form features (length,
 repetition, share of digits and marks, each in bins).  Log-count ratios come
-from all labelled training rows, summed in tasks.  The hinge-loss model is fitted by dual coordinate descent on a
-bounded sample of labelled rows, ``FIT_ROWS``, chosen by a hash of the id; the
-coefficients, 2**``BITS`` numbers, are broadcast for scoring.
+from all labelled training rows, summed in tasks.  The hinge-loss model is fitted
+by dual coordinate descent on a bounded sample of labelled rows: in the order of
+a hash of the id, the first ``FIT_ROWS`` and of these as many as have
+``FIT_FEATURES`` features together.  One task fits it; the coefficients,
+2**``BITS`` numbers, are broadcast for scoring.
 
 Defined cases: null and empty texts have only form features and are scored like
 any text; labels other than 0 and 1 are ignored; repeated labels count once per
 document and label; without labels of both classes every score is 0.5; an empty
-table gives an empty table; further columns of the input are kept.
+table gives an empty table; further columns of the input are kept, but one with
+the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, mix, stash, words
+from .common import Words, bound_batches, column, mix, stash, words
 
 BITS = 18
-#: Labelled rows that the hinge-loss model is fitted on, at most.
+#: Labelled rows that the hinge-loss model is fitted on, at most, and their features together.
 FIT_ROWS = 6_000
+FIT_FEATURES = 8_000_000
 #: Labels of at most so many rows are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_LABELS = 500_000
 EPOCHS = 12
@@ -100,9 +104,10 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
             for w in words(batch.column(0)):
                 row, code = features(w)
                 bounds = np.searchsorted(row, np.arange(w.last - w.first + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([code[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()), batch.column(1).slice(w.first, w.last - w.first)], names=["codes", "label"])
+                codes = pa.array([code[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([codes, *[batch.column(i).slice(w.first, w.last - w.first) for i in (1, 2)]], names=["codes", "label", "place"])
 
-    return rows.select("_text", "_label").mapInArrow(cut, "codes binary, label int")
+    return rows.select("_text", "_label", "_place").mapInArrow(cut, "codes binary, label int, place long")
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dims: int, cost: float, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -132,28 +137,43 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """The model from all labelled rows of docs (ratios) and fit_rows of them (hinge loss); None without both classes."""
     bound_batches(docs.sparkSession)
     rows = _labelled(docs, labels, doc_id, text, label)
-    counts = stash(_ratio_counts(rows)).toPandas()  # 2**BITS + 1 rows at most
-    n0, n1 = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    n0[counts["feature"] + 1], n1[counts["feature"] + 1] = counts["n0"], counts["n1"]
-    if not n0[0] or not n1[0]:
+    counts = stash(_ratio_counts(rows)).toArrow()  # 2**BITS + 1 rows at most
+    at = counts.column("feature").to_numpy() + 1
+    n = np.zeros((2, (1 << BITS) + 1))
+    n[0, at], n[1, at] = counts.column("n0").to_numpy(), counts.column("n1").to_numpy()
+    if not n[0, 0] or not n[1, 0]:
         return None
-    ratio = np.log((n1[1:] + 1) / (n1[0] + 2)) - np.log((n0[1:] + 1) / (n0[0] + 2))
-    share = min(1.0, 1.5 * fit_rows / (n0[0] + n1[0]))
-    picked = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * share)))
-    chosen = _feature_rows(picked).limit(fit_rows).toPandas()
-    codes = [np.frombuffer(x, np.int32) for x in chosen["codes"]]
-    values = [ratio[c] for c in codes]
+    ratio = (np.log((n[1, 1:] + 1) / (n[1, 0] + 2)) - np.log((n[0, 1:] + 1) / (n[0, 0] + 2))).astype(np.float32)
+    placed = rows.withColumn("_place", F.xxhash64("_id"))
+    last = column(placed.select("_place").orderBy("_place").limit(fit_rows))[-1]
+    chosen = stash(_feature_rows(placed.where(F.col("_place") <= int(last))))
+    sizes = sorted((r["place"], r["size"]) for r in chosen.select("place", (F.octet_length("codes") / 4).cast("long").alias("size")).collect())  # fit_rows numbers, and those of repeated ids
+    kept = np.cumsum([size for _, size in sizes]) <= FIT_FEATURES
+    last = sizes[max(0, int(kept.sum()) - 1)][0]
+    ratios = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by([("place", "ascending"), ("codes", "ascending"), ("label", "ascending")])
+        weights, bias, slope = _fitted([np.frombuffer(x.as_buffer(), np.int32) for c in table.column("codes").chunks for x in c], np.where(table.column("label").to_numpy() == 1, 1.0, -1.0), ratios.value, cost)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias]), pa.array([slope])], names=["weights", "bias", "slope"])
+
+    # one task: the sample is bounded in rows and features
+    best = chosen.where(F.col("place") <= last).coalesce(1).mapInArrow(descend, "weights binary, bias double, slope double").first()
+    return Model(np.frombuffer(best["weights"], np.float32) * ratio, ratio * ratio, best["bias"], best["slope"])
+
+
+def _fitted(codes: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and slope of the logistic curve from the features and labels of the sample."""
+    values = [ratio[c].astype(np.float64) for c in codes]
     values = [v / max(1e-9, float(np.sqrt(v @ v))) for v in values]
-    y = np.where(chosen["label"].to_numpy() == 1, 1.0, -1.0)
     # the last fifth, left out of a first fit, tells where the margin divides the classes
     cut = len(y) - len(y) // 5
     slope, shift = 2.0, 0.0
     if len(y) >= 200 and len(set(y[:cut])) == 2 and len(set(y[cut:])) == 2:
-        w, b = dual_coordinate_descent(codes[:cut], values[:cut], y[:cut], 1 << BITS, cost)
-        margin = np.array([w[c] @ v + b for c, v in zip(codes[cut:], values[cut:], strict=True)])
-        slope, shift = _logistic(margin, y[cut:])
-    w, b = dual_coordinate_descent(codes, values, y, 1 << BITS, cost)
-    return Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), b + shift / slope, slope)
+        w, b = dual_coordinate_descent(codes[:cut], values[:cut], y[:cut], len(ratio), cost)
+        slope, shift = _logistic(np.array([w[c] @ v + b for c, v in zip(codes[cut:], values[cut:], strict=True)]), y[cut:])
+    w, b = dual_coordinate_descent(codes, values, y, len(ratio), cost)
+    return w, b + shift / slope, slope
 
 
 def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
