@@ -55,3 +55,17 @@ def test_empty_and_null_rows(spark):
         for name, stage in corpus_pipeline.STAGES[1:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns and out.count() == docs.count(), name
+        # no labelled row among them: nothing is rejected
+        out = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    """Rows that share an id: copies of one text leave one, unlike texts stay, the linked go with their group."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, b), (2, b + " end"), (3, a + " end"), (4, None), (4, None), (5, "short text")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == sorted([(1, a), (1, b), (4, ""), (5, "short text")])
