@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,17 +12,13 @@ from ..functions import geometry as G
 from ..operators import graph, ordered
 from ..plans import bikes, reach, schedule
 from ..queries import query, r6
+from ..shared import written
 from . import Tables
 from .realtime import MOVES, hours
 from .schedule import BUSIEST, KM
-from .space import AREAS, CORNER, EDGES, PIP, areas, nodes_of, street_edges
-
-POINTS = ", points AS (SELECT stop_idx AS point_id, lat + 0.0007::DOUBLE AS lat, lon + 0.0009::DOUBLE AS lon FROM stops WHERE stop_idx % 10 = 0)\n"
+from .space import AREAS, COSTS, PIP, areas, arrivals, nodes_of, walkways
 
-
-def everywhere(sql: str) -> str:
-    """A statement without its filter on stops."""
-    return sql.replace(" WHERE stop_idx % 10 = 0", "").replace(" WHERE stop_idx < 60", "")
+POINTS = ", points AS (SELECT stop_idx AS point_id, lat + 0.0007::DOUBLE AS lat, lon + 0.0009::DOUBLE AS lon FROM stops)\n"
 
 
 def points(stops: DataFrame) -> DataFrame:
@@ -32,26 +30,42 @@ def walked(t: Tables, sources: DataFrame) -> DataFrame:
     return reach.walked_cells(at, t.stops.select("stop_idx", "lat", "lon"), 900.0)
 
 
-WALKED = f""", a AS (SELECT stop_idx AS source, (stop_idx % 7 * 60)::DOUBLE AS cost, lat, lon FROM stops WHERE stop_idx < 60), c AS (SELECT DISTINCT source, floor(n.lat / 0.002::DOUBLE) AS cy, floor(n.lon / 0.002::DOUBLE) AS cx FROM a JOIN stops n ON {KM('a', 'n')} <= 1.2 AND a.cost + {KM('a', 'n')} / 5 * 3600 <= 900)
+WALKED = f""", a AS (SELECT stop_idx AS source, (stop_idx % 7 * 60)::DOUBLE AS cost, lat, lon FROM stops), c AS (SELECT DISTINCT source, floor(n.lat / 0.002::DOUBLE) AS cy, floor(n.lon / 0.002::DOUBLE) AS cx FROM a JOIN stops n ON {KM('a', 'n')} <= 1.2 AND a.cost + {KM('a', 'n')} / 5 * 3600 <= 900)
 SELECT source, count(*) AS cells, round(count(*) * 0.0346::DOUBLE * 100) / 100 AS km2 FROM c GROUP BY 1"""
 
 
 @query("graph_03_walked_cells", WALKED)
 def _(t):
-    return walked(t, t.stops.where("stop_idx < 60"))
+    return walked(t, t.stops)
 
 
-@query("graph_03_walked_cells_all", everywhere(WALKED))
+def reached_cells(t: Tables, departs: list[float], cap: float = 1800.0) -> DataFrame:
+    """point_id, departure, cells: the cells that each station reaches by the timetable and on foot, for each departure time."""
+    at = t.stops.select("stop_idx", "lat", "lon")
+    passes = []
+    for depart in departs:
+        own = arrivals(t, depart, cap).join(at, F.col("node") == F.col("stop_idx")).select("source", "cost", "lat", "lon")
+        passes.append(reach.walked_cells(own, at, cap).select(F.col("source").alias("point_id"), F.lit(depart).alias("departure"), "cells"))
+    return reduce(DataFrame.unionByName, passes)
+
+
+@query("graph_04_mean_reach")
 def _(t):
-    return walked(t, t.stops)
+    return reach.mean_reach(reached_cells(t, [7.5 * 3600, 8 * 3600.0, 8.5 * 3600, 18 * 3600.0]))
 
 
-@query("graph_04_mean_reach", "SELECT pattern_idx AS point_id, floor(avg(n) + 0.5)::BIGINT AS cells FROM (SELECT pattern_idx, floor(dep_sec / 3600.0), count(*) AS n FROM departures GROUP BY 1, 2) GROUP BY 1")
+@query("graph_04_mean_of_passes", "SELECT pattern_idx AS point_id, floor(avg(n) + 0.5)::BIGINT AS cells FROM (SELECT pattern_idx, floor(dep_sec / 3600.0), count(*) AS n FROM departures GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     passes = t.departures.groupBy(F.col("pattern_idx").alias("point_id"), F.floor(F.col("dep_sec") / 3600).alias("departure")).agg(F.count("*").alias("cells"))
     return reach.mean_reach(passes)
 
 
+@query("agg_46_reach_profile")
+def _(t):
+    by_hour = reached_cells(t, [h * 3600.0 for h in (6, 8, 12, 17, 22)], 1200.0)
+    return reach.day_profile(by_hour.select(F.col("point_id").alias("area"), (F.col("departure") / 3600).cast("int").alias("hour"), F.col("cells").alias("value")))
+
+
 HOURS = ", hv AS (SELECT mode || route AS area, least(floor(dep_sec / 3600.0), 23)::INT AS hour, count(*) AS value FROM departures GROUP BY 1, 2)\n"
 
 
@@ -69,24 +83,20 @@ def _(t):
     return reach.city_profile(hour_values(t)).withColumns(r6("value"))
 
 
-@query("graph_12_itineraries", EDGES + """, p0 AS (SELECT stop_idx AS source, stop_idx AS node, 0.0::DOUBLE AS cost FROM sm WHERE stop_idx < 6 UNION SELECT p.source, e.dst, p.cost + e.weight FROM p0 p JOIN edges e ON p.node = e.src WHERE p.cost + e.weight <= 1500), costs AS (SELECT source, node, min(cost) AS cost FROM p0 GROUP BY 1, 2),
-pr AS (SELECT a.source, e.dst AS node, min(e.src) AS pred FROM costs a JOIN edges e ON e.src = a.node JOIN costs b ON b.source = a.source AND b.node = e.dst WHERE abs(a.cost + e.weight - b.cost) <= 1e-9 AND a.source <> e.dst GROUP BY 1, 2),
-it AS (SELECT c.source, c.node AS goal, 0 AS leg, pr.node, pr.pred FROM costs c JOIN pr ON pr.source = c.source AND pr.node = c.node WHERE c.cost > 0 UNION ALL SELECT it.source, it.goal, it.leg + 1, pr.node, pr.pred FROM it JOIN pr ON pr.source = it.source AND pr.node = it.pred WHERE it.pred <> it.source)
+@query("graph_12_itineraries", COSTS.replace("{cap}", "3000") + """, pr AS (
+  SELECT a.source, e.dst AS node, min(e.src) AS pred FROM p a JOIN edges e ON e.src = a.node JOIN p b ON b.source = a.source AND b.node = e.dst
+  WHERE abs(a.cost + e.weight - b.cost) <= 1e-9 AND a.source <> e.dst GROUP BY 1, 2
+), it AS (
+  SELECT c.source, c.node AS goal, 0 AS leg, pr.node, pr.pred FROM p c JOIN pr ON pr.source = c.source AND pr.node = c.node WHERE c.cost > 0
+  UNION ALL SELECT it.source, it.goal, it.leg + 1, pr.node, pr.pred FROM it JOIN pr ON pr.source = it.source AND pr.node = it.pred WHERE it.pred <> it.source
+)
 SELECT source, goal, leg, node, pred, 'walk' AS kind FROM it""")
 def _(t):
-    return walks_between(street_edges(t.stops.where(CORNER)), t.stops.where("stop_idx < 6"))
-
-
-def walks_between(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    costs = graph.shortest(edges, nodes_of(sources), 1500.0)
+    edges = walkways(t)
+    costs = written(graph.shortest(edges, nodes_of(t.stations), 3000.0))
     return reach.itineraries(reach.predecessors(edges, costs), costs.where("cost > 0").select("source", "node"))
 
 
-@query("graph_12_itineraries_all")
-def _(t):
-    return walks_between(street_edges(t.stops), t.stops)
-
-
 @query("agg_96_leg_summary", """SELECT l_orderkey AS id, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS walk_m, sum(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0 END) AS bike_m, greatest(count(*) FILTER (l_linenumber > 2) - 1, 0) AS transfers FROM lineitem GROUP BY 1""")
 def _(t):
     kind = F.when(F.col("l_linenumber") == 1, "walk").when(F.col("l_linenumber") == 2, "bike").otherwise("bus")
@@ -98,11 +108,6 @@ SELECT point_id, row_number() OVER (PARTITION BY point_id ORDER BY d, stop_idx):
 
 
 @query("agg_82_stops_around", STOPS_AROUND)
-def _(t):
-    return reach.stops_around(points(t.stops.where("stop_idx % 10 = 0")), t.stops).withColumns(r6("dist_km"))
-
-
-@query("agg_82_stops_around_all", everywhere(STOPS_AROUND))
 def _(t):
     return reach.stops_around(points(t.stops), t.stops).withColumns(r6("dist_km"))
 
@@ -113,7 +118,7 @@ SELECT p.point_id, sv.route, round(min(sv.h), 6) AS headway_min FROM points p JO
 
 @query("agg_82_lines_around", LINES_AROUND)
 def _(t):
-    return reach.lines_around(points(t.stops.where("stop_idx % 10 = 0")), t.stops, served_lines(t)).withColumns(r6("headway_min"))
+    return reach.lines_around(points(t.stops), t.stops, served_lines(t)).withColumns(r6("headway_min"))
 
 
 def served_lines(t: Tables) -> DataFrame:
@@ -122,28 +127,18 @@ def served_lines(t: Tables) -> DataFrame:
     return t.pattern_stops.join(lines, "pattern_idx").join(headway, ["mode", "route"]).select("stop_idx", "route", "headway_min").distinct()
 
 
-@query("agg_82_lines_around_all", everywhere(LINES_AROUND))
-def _(t):
-    return reach.lines_around(points(t.stops), t.stops, served_lines(t)).withColumns(r6("headway_min"))
-
-
 NEAREST_PLACES = POINTS + f""", pl AS (SELECT *, 'c' || station_id % 3 AS category FROM stations) SELECT point_id, category, name, round(d, 6) AS dist_km FROM (SELECT p.point_id, pl.category, pl.name, {KM('p', 'pl')} AS d FROM points p JOIN pl ON {KM('p', 'pl')} <= 1.2) QUALIFY row_number() OVER (PARTITION BY point_id, category ORDER BY d, name) = 1"""
 
 
 @query("agg_83_nearest_places", NEAREST_PLACES)
 def _(t):
-    return reach.nearest_places(points(t.stops.where("stop_idx % 10 = 0")), places(t)).withColumns(r6("dist_km"))
+    return reach.nearest_places(points(t.stops), places(t)).withColumns(r6("dist_km"))
 
 
 def places(t: Tables) -> DataFrame:
     return t.stations.select("name", "lat", "lon", F.concat(F.lit("c"), (F.col("station_id") % 3).cast("string")).alias("category"))
 
 
-@query("agg_83_nearest_places_all", everywhere(NEAREST_PLACES))
-def _(t):
-    return reach.nearest_places(points(t.stops), places(t)).withColumns(r6("dist_km"))
-
-
 @query("win_08_neighbours", "SELECT mode, slug, lag(slug) OVER w AS previous, lead(slug) OVER w AS next FROM (SELECT DISTINCT mode, lower(route) AS slug FROM departures) WINDOW w AS (PARTITION BY mode ORDER BY slug)")
 def _(t):
     return reach.neighbours_in_order(t.departures.select("mode", F.lower("route").alias("slug")).distinct())
@@ -223,9 +218,9 @@ def _(t):
     return t.departures.join(last, "pattern_idx").where((F.col("dep_sec") <= 30000) & (F.col("dep_sec") + F.col("o") >= 30000)).groupBy("pattern_idx").agg(F.count("*").alias("running"))
 
 
-@query("join_10_transfer_both_ways", """SELECT d.pattern_idx, d.dep_sec, (SELECT min(e.dep_sec) FROM departures e WHERE e.mode = 'TRAM' AND e.dep_sec >= d.dep_sec) AS after, (SELECT max(e.dep_sec) FROM departures e WHERE e.mode = 'TRAM' AND e.dep_sec <= d.dep_sec) AS before FROM departures d WHERE d.mode = 'RAIL' AND d.dep_sec % 13 = 0""")
+@query("join_10_transfer_both_ways", """SELECT d.pattern_idx, d.dep_sec, (SELECT min(e.dep_sec) FROM departures e WHERE e.mode = 'TRAM' AND e.dep_sec >= d.dep_sec) AS after, (SELECT max(e.dep_sec) FROM departures e WHERE e.mode = 'TRAM' AND e.dep_sec <= d.dep_sec) AS before FROM departures d  WHERE d.mode = 'RAIL'""")
 def _(t):
-    rail = t.departures.where("mode = 'RAIL' and dep_sec % 13 = 0").select("pattern_idx", "dep_sec", F.lit("TRAM").alias("mode"))
+    rail = t.departures.where("mode = 'RAIL'").select("pattern_idx", "dep_sec", F.lit("TRAM").alias("mode"))
     tram = t.departures.where("mode = 'TRAM'").select("mode", F.col("dep_sec").alias("u"))
     both = ordered.last_at_or_before(ordered.next_at_or_after(rail, tram, ["mode"], "dep_sec", "u", "after"), tram, ["mode"], "dep_sec", "u", "before")
     return both.drop("mode")

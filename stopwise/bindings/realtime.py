@@ -153,11 +153,11 @@ def _(t):
     return realtime.rolling_peak(usage, "available", 3600, ["route_id"])
 
 
-@query("agg_77_fleet_deployment", f""", sched AS (SELECT route_id, trip_id, min(ts) AS a, max(ts) AS b FROM rt_obs GROUP BY 1, 2), live AS (SELECT DISTINCT trip_id FROM rt_obs WHERE event_id % 3 = 0)
+@query("agg_77_fleet_deployment", f""", sched AS (SELECT route_id, trip_id, min(ts) AS a, max(ts) AS b FROM rt_obs GROUP BY 1, 2), live AS (SELECT DISTINCT trip_id FROM rt_obs WHERE speed_mps IS NOT NULL)
 SELECT route_id, count(*) AS scheduled, count(l.trip_id) AS active, round(count(l.trip_id)::DOUBLE / count(*) * 100 * 10) / 10 AS pct FROM sched s LEFT JOIN live l USING (trip_id) WHERE a <= {CUTOFF} AND b >= {CUTOFF} GROUP BY route_id""")
 def _(t):
     sched = t.rt_obs.groupBy("route_id", "trip_id").agg(F.min("ts").alias("start_sec"), F.max("ts").alias("end_sec"))
-    return realtime.running_trips(sched, t.rt_obs.where("event_id % 3 = 0"), F.lit(CUTOFF))
+    return realtime.running_trips(sched, t.rt_obs.where("speed_mps is not null"), F.lit(CUTOFF))
 
 
 @query("agg_78_speed_comparison", """, s AS (SELECT DISTINCT route_id, (length(route_id) * 4)::DOUBLE AS scheduled_kmh FROM rt_obs), l AS (SELECT route_id, avg(x) AS mps FROM (SELECT floor(ts / 300.0), route_id, avg(speed_mps) AS x FROM rt_obs WHERE speed_mps >= 0 AND route_id <> 'view' GROUP BY 1, 2) GROUP BY 1)
@@ -179,11 +179,11 @@ def _(t):
     return realtime.punctuality(snapshots(t)).withColumns(r6("avg_delay", "on_time_trips"))
 
 
-@query("join_13_look_back", """, r AS (SELECT DISTINCT stop_sequence AS pattern_idx, trip_id::BIGINT AS trip_no FROM rt_obs), u AS (SELECT stop_sequence AS pattern_idx, trip_id::BIGINT AS trip_no, max(delay) AS delay FROM rt_obs WHERE event_id % 3 = 0 GROUP BY 1, 2)
+@query("join_13_look_back", """, r AS (SELECT DISTINCT stop_sequence AS pattern_idx, trip_id::BIGINT AS trip_no FROM rt_obs), u AS (SELECT stop_sequence AS pattern_idx, trip_id::BIGINT AS trip_no, max(delay) AS delay FROM rt_obs WHERE predicted IS NULL GROUP BY 1, 2)
 SELECT r.pattern_idx, r.trip_no, (SELECT arg_min(u.delay, r.trip_no - u.trip_no) FROM u WHERE u.pattern_idx = r.pattern_idx AND u.trip_no BETWEEN r.trip_no - 3 AND r.trip_no) AS delay FROM r""")
 def _(t):
-    at = t.rt_obs.select(F.col("stop_sequence").alias("pattern_idx"), F.col("trip_id").cast("long").alias("trip_no"), "delay", "event_id")
-    return realtime.with_look_back(at.select("pattern_idx", "trip_no").distinct(), at.where("event_id % 3 = 0").groupBy("pattern_idx", "trip_no").agg(F.max("delay").alias("delay")))
+    at = t.rt_obs.select(F.col("stop_sequence").alias("pattern_idx"), F.col("trip_id").cast("long").alias("trip_no"), "delay", "predicted")
+    return realtime.with_look_back(at.select("pattern_idx", "trip_no").distinct(), at.where("predicted is null").groupBy("pattern_idx", "trip_no").agg(F.max("delay").alias("delay")))
 
 
 @query("str_03_minute_dedupe", "SELECT event_id, floor(ts / 60.0)::BIGINT * 60 AS ts FROM rt_obs WHERE (ts) IN (SELECT min(ts) FROM rt_obs GROUP BY floor(ts / 60.0))")

@@ -205,16 +205,23 @@ def _(t):
     return schedule.hub_lines(t.departures, t.pattern_stops, t.stops)
 
 
-@query("graph_16_transfer_waits", FIRST_VISIT + """, a AS (SELECT v.stop_idx, d.route, d.dep_sec + v.offset_sec AS t, floor((d.dep_sec + v.offset_sec) / 3600.0)::INT AS hour FROM departures d JOIN visit v USING (pattern_idx) WHERE d.dep_sec % 11 = 0), b AS (SELECT * FROM a WHERE hour BETWEEN 5 AND 23)
+WAITS = FIRST_VISIT + """, a AS (SELECT v.stop_idx, d.route, d.dep_sec + v.offset_sec AS t, floor((d.dep_sec + v.offset_sec) / 3600.0)::INT AS hour FROM departures d JOIN visit v USING (pattern_idx)), b AS (SELECT * FROM a WHERE hour BETWEEN 5 AND 23)
 SELECT x.stop_idx, x.hour, least(x.route, x.other) AS route, greatest(x.route, x.other) AS other, round(avg(nxt - t), 6) AS wait_sec, count(*) AS n FROM (
-  SELECT p.*, (SELECT min(q.t) FROM b q WHERE q.stop_idx = p.stop_idx AND q.hour = p.hour AND q.route = p.other AND q.t >= p.t) AS nxt FROM (SELECT b.*, o.route AS other FROM b JOIN (SELECT DISTINCT stop_idx, hour, route FROM b) o ON o.stop_idx = b.stop_idx AND o.hour = b.hour AND o.route <> b.route) p) x WHERE nxt IS NOT NULL GROUP BY 1, 2, 3, 4""")
+  SELECT p.*, q.t AS nxt FROM (SELECT b.*, o.route AS other FROM b JOIN (SELECT DISTINCT stop_idx, hour, route FROM b) o ON o.stop_idx = b.stop_idx AND o.hour = b.hour AND o.route <> b.route) p
+  ASOF JOIN b q ON q.stop_idx = p.stop_idx AND q.hour = p.hour AND q.route = p.other AND p.t <= q.t) x GROUP BY 1, 2, 3, 4"""
+
+
+@query("graph_16_transfer_waits", WAITS)
 def _(t):
-    return schedule.transfer_waits(t.departures.where("dep_sec % 11 = 0"), t.pattern_stops).withColumns(r6("wait_sec"))
+    return schedule.transfer_waits(t.departures, t.pattern_stops).withColumns(r6("wait_sec"))
 
 
-@query("graph_16_pulse_hubs")
+@query("graph_16_pulse_hubs", WAITS.replace("SELECT x.stop_idx, x.hour", ", waits AS (SELECT x.stop_idx, x.hour").replace("round(avg(nxt - t), 6)", "avg(nxt - t)") + """), r AS (
+  SELECT stop_idx, count(DISTINCT route) AS routes FROM (SELECT stop_idx, route FROM waits UNION SELECT stop_idx, other FROM waits) GROUP BY 1 HAVING count(DISTINCT route) >= 2
+)
+SELECT stop_idx, routes, round(avg(wait_sec), 6) AS wait_sec FROM r JOIN waits USING (stop_idx) GROUP BY 1, 2 ORDER BY routes DESC, avg(wait_sec), stop_idx LIMIT 20""")
 def _(t):
-    return schedule.pulse_hubs(schedule.transfer_waits(t.departures, t.pattern_stops))
+    return schedule.pulse_hubs(schedule.transfer_waits(t.departures, t.pattern_stops), least_routes=2).withColumns(r6("wait_sec"))
 
 
 @query("agg_02_median_offsets", """, x AS (SELECT pattern_idx, stop_pos, quantile_cont(offset_sec, 0.5) FILTER (stop_pos % 3 <> 2 AND offset_sec >= 0) AS m FROM pattern_stops GROUP BY 1, 2), y AS (SELECT *, count(m) OVER (PARTITION BY pattern_idx ORDER BY stop_pos) AS g, max(m) OVER (PARTITION BY pattern_idx ORDER BY stop_pos) AS base FROM x)
@@ -258,11 +265,11 @@ def _(t):
     return changes.permanence(t.trips.select("route_id", "day"))
 
 
-@query("join_21_bracketing_pairs", """, f AS (SELECT day - day % 90 AS feed_day, count(*) AS amount FROM trips GROUP BY 1), p AS (SELECT *, lead(feed_day) OVER (ORDER BY feed_day) AS next_day FROM f), c AS (SELECT trip_id AS change_id, day FROM trips WHERE trip_id % 50 = 0)
+@query("join_21_bracketing_pairs", """, f AS (SELECT day - day % 90 AS feed_day, count(*) AS amount FROM trips GROUP BY 1), p AS (SELECT *, lead(feed_day) OVER (ORDER BY feed_day) AS next_day FROM f), c AS (SELECT trip_id AS change_id, day FROM trips)
 SELECT change_id, day, feed_day, next_day, amount FROM c JOIN p ON next_day IS NOT NULL AND day BETWEEN feed_day - 80 AND next_day + 80 QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY amount DESC, feed_day) = 1""")
 def _(t):
     feeds = t.trips.groupBy((F.col("day") - F.col("day") % 90).alias("feed_day")).agg(F.count("*").alias("amount"))
-    return changes.bracketing_pairs(feeds, t.trips.where("trip_id % 50 = 0").select(F.col("trip_id").alias("change_id"), "day"))
+    return changes.bracketing_pairs(feeds, t.trips.select(F.col("trip_id").alias("change_id"), "day"))
 
 
 @query("set_01_united_feeds", f"SELECT route_id, min(trip_id) AS trip_id FROM trips WHERE {NEW} GROUP BY 1 UNION ALL SELECT route_id, min(trip_id) FROM trips WHERE {OLD} AND route_id NOT IN (SELECT route_id FROM trips WHERE {NEW}) GROUP BY 1")

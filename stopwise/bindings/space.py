@@ -71,20 +71,13 @@ def _(t):
     return t.stops.select("stop_idx").join(near, "stop_idx", "left_semi")
 
 
-NAMES = f", n AS (SELECT name, lat + 0.001 AS lat, lon FROM stops WHERE stop_idx % 3 = 0) SELECT n.name, n.lat, n.lon, s.stop_idx FROM n JOIN stops s ON lower(n.name) = lower(s.name) QUALIFY row_number() OVER (PARTITION BY n.name, n.lat, n.lon ORDER BY {KM('n', 's')}, s.stop_idx) = 1"
+NAMES = f", n AS (SELECT name, lat + 0.001 AS lat, lon FROM stops) SELECT n.name, n.lat, n.lon, s.stop_idx FROM n JOIN stops s ON lower(n.name) = lower(s.name) QUALIFY row_number() OVER (PARTITION BY n.name, n.lat, n.lon ORDER BY {KM('n', 's')}, s.stop_idx) = 1"
 
 
 @query("join_22_names_resolved", NAMES)
 def _(t):
     from ..plans.search import resolved
 
-    return resolved(t.stops.where("stop_idx % 3 = 0").select("name", (F.col("lat") + 0.001).alias("lat"), "lon"), t.stops)
-
-
-@query("join_22_names_resolved_all", NAMES.replace(" WHERE stop_idx % 3 = 0", ""))
-def _(t):
-    from ..plans.search import resolved
-
     return resolved(t.stops.select("name", (F.col("lat") + 0.001).alias("lat"), "lon"), t.stops)
 
 
@@ -138,7 +131,12 @@ def _(t):
     return spatial.single_linkage(t.stops, "stop_idx", 0.5, "kvart").withColumns(r6("lat", "lon"))
 
 
-@query("agg_40_outbound_directions")
+@query("agg_40_outbound_directions", """, legs AS (SELECT p.stop_idx, s.lat, s.lon, lead(s.lat) OVER w AS lat2, lead(s.lon) OVER w AS lon2 FROM pattern_stops p JOIN stops s USING (stop_idx) WINDOW w AS (PARTITION BY p.pattern_idx ORDER BY p.stop_pos)),
+b AS (
+  SELECT stop_idx, (degrees(atan2(sin(radians(lon2 - lon)) * cos(radians(lat2)), cos(radians(lat)) * sin(radians(lat2)) - sin(radians(lat)) * cos(radians(lat2)) * cos(radians(lon2 - lon)))) + 360) % 360 AS b
+  FROM legs WHERE lat2 IS NOT NULL AND (lat2 <> lat OR lon2 <> lon)
+), g AS (SELECT stop_idx, coalesce(lead(b) OVER w, first(b) OVER w + 360) - b AS g FROM b WINDOW w AS (PARTITION BY stop_idx ORDER BY b))
+SELECT stop_idx, greatest(count(*) FILTER (g > 45), 1)::BIGINT AS directions FROM g GROUP BY 1""")
 def _(t):
     return schedule.outbound_directions(t.pattern_stops, t.stops)
 
@@ -146,62 +144,66 @@ def _(t):
 # --- graphs ------------------------------------------------------------------
 
 
-#: The corner that the recursive statements can follow; the queries named _all are over every stop.
-CORNER = "stop_idx < 120"
-
-
-def street_edges(stops: DataFrame) -> DataFrame:
-    """Stops joined within 600 m."""
-    return spatial.range_join(stops, stops, 0.6).where("stop_idx <> r_stop_idx").select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), F.floor(F.col("dist_km") * 1000).cast("double").alias("weight"))
-
+#: Stations are the nodes: walkways join those within 1.5 km.
+EDGES = f""", edges AS (
+  SELECT a.station_id AS src, b.station_id AS dst, floor({KM('a', 'b')} * 1000)::DOUBLE AS weight FROM stations a JOIN stations b ON a.station_id <> b.station_id AND {KM('a', 'b')} <= 1.5
+)
+"""
 
-EDGES = f""", sm AS (SELECT * FROM stops WHERE stop_idx < 120), edges AS (SELECT a.stop_idx AS src, b.stop_idx AS dst, floor({KM('a', 'b')} * 1000)::DOUBLE AS weight FROM sm a JOIN sm b ON a.stop_idx <> b.stop_idx AND {KM('a', 'b')} <= 0.6)
+COSTS = EDGES + """, p(source, node, cost) USING KEY (source, node) AS (
+  SELECT station_id, station_id, 0.0::DOUBLE FROM stations
+  UNION
+  SELECT n.source, n.node, n.cost FROM (SELECT p.source, e.dst AS node, min(p.cost + e.weight) AS cost FROM p JOIN edges e ON p.node = e.src GROUP BY 1, 2) n
+  LEFT JOIN recurring.p AS r ON r.source = n.source AND r.node = n.node WHERE n.cost <= {cap} AND (r.cost IS NULL OR n.cost < r.cost)
+)
 """
+EVERY_COST = COSTS.replace("{cap}", "1e18")
 
 
-@query("graph_11_shortest", EDGES + """, p AS (SELECT stop_idx AS source, stop_idx AS node, 0.0::DOUBLE AS cost FROM sm UNION SELECT p.source, e.dst, p.cost + e.weight FROM p JOIN edges e ON p.node = e.src WHERE p.cost + e.weight <= 1500)
-SELECT source, node, min(cost) AS cost FROM p GROUP BY 1, 2""")
-def _(t):
-    corner = t.stops.where(CORNER)
-    return graph.shortest(street_edges(corner), nodes_of(corner), 1500.0)
+def walkways(t: Tables) -> DataFrame:
+    near = spatial.range_join(t.stations, t.stations, 1.5).where("station_id <> r_station_id")
+    return near.select(F.col("station_id").alias("src"), F.col("r_station_id").alias("dst"), F.floor(F.col("dist_km") * 1000).cast("double").alias("weight"))
 
 
-def nodes_of(stops: DataFrame) -> DataFrame:
-    return stops.select(F.col("stop_idx").alias("node"))
+def nodes_of(stations: DataFrame) -> DataFrame:
+    return stations.select(F.col("station_id").alias("node"))
 
 
-@query("graph_11_shortest_all")
+@query("graph_11_shortest", COSTS.replace("{cap}", "3000") + "SELECT source, node, cost FROM p")
 def _(t):
-    return graph.shortest(street_edges(t.stops), nodes_of(t.stops), 1500.0)
+    return graph.shortest(walkways(t), nodes_of(t.stations), 3000.0)
 
 
-@query("graph_06_closeness")
+@query("graph_06_closeness", EVERY_COST + """SELECT source, count(*) AS reached, round(avg(cost), 6) AS mean_cost, max(cost) AS farthest,
+  round(count(*) / greatest(1, (SELECT count(*) FROM stations) - 1)::DOUBLE * count(*) / sum(cost) * 3600.0::DOUBLE, 6) AS closeness FROM p WHERE source <> node GROUP BY 1""")
 def _(t):
-    return graph.closeness(graph.shortest(street_edges(t.stops), nodes_of(t.stops)), t.stops.count())
+    return graph.closeness(graph.shortest(walkways(t), nodes_of(t.stations)), t.stations.count()).withColumns(r6("mean_cost", "closeness"))
 
 
-@query("graph_06_path_summary")
+@query("graph_06_path_summary", EVERY_COST + """, n AS (SELECT count(*) AS n FROM stations)
+SELECT max(cost) AS diameter, round(avg(cost), 6) AS mean_cost, round(count(*) / greatest(1, any_value(n) * (any_value(n) - 1))::DOUBLE * 100, 6) AS reachable_pct FROM p, n WHERE source <> node""")
 def _(t):
-    return graph.path_summary(graph.shortest(street_edges(t.stops), nodes_of(t.stops)), t.stops.count())
-
-
-#: In place of the length 0 between stops at one place: of least paths, those with the fewest such edges count.
-LEAST_M = 2.0**-20
+    return graph.path_summary(graph.shortest(walkways(t), nodes_of(t.stations)), t.stations.count()).withColumns(r6("mean_cost", "reachable_pct"))
 
 
 @query("graph_05_betweenness")
 def _(t):
-    edges = street_edges(t.stops).withColumn("weight", F.greatest("weight", F.lit(LEAST_M)))
-    return graph.betweenness(edges, graph.shortest(edges, nodes_of(t.stops)), t.stops.count())
+    return graph.betweenness(walkways(t), nodes_of(t.stations))
+
+
+def arrivals(t: Tables, depart: float, cap: float = 2700.0) -> DataFrame:
+    """Seconds from each station to the stops, on foot to those within 400 m first."""
+    near = spatial.range_join(t.stations, t.stops, 0.4)
+    seeds = near.select(F.col("station_id").alias("source"), F.col("r_stop_idx").alias("node"), (F.col("dist_km") / 5.0 * 3600.0).alias("cost"))
+    leave = t.departures.groupBy("pattern_idx").agg(F.sort_array(F.collect_set(F.col("dep_sec").cast("double"))).alias("departures"))  # distinct seconds of a day
+    links = t.pattern_stops.join(leave, "pattern_idx").select("pattern_idx", "stop_pos", F.col("stop_idx").alias("node"), F.col("offset_sec").cast("double").alias("offset_sec"), "departures")
+    walks = spatial.range_join(t.stops, t.stops, 0.3).where("stop_idx <> r_stop_idx")
+    return graph.earliest_arrivals(seeds, links, walks.select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), (F.col("dist_km") / 5.0 * 3600.0).alias("walk_sec")), depart, cap)
 
 
 @query("graph_01_14_reach")
 def _(t):
-    seeds = t.stops.select(F.col("stop_idx").alias("source"), F.col("stop_idx").alias("node"), F.lit(0.0).alias("cost"))
-    leave = t.departures.groupBy("pattern_idx").agg(F.sort_array(F.collect_list("dep_sec")).alias("departures"))
-    links = t.pattern_stops.join(leave, "pattern_idx").select("pattern_idx", "stop_pos", F.col("stop_idx").alias("node"), "offset_sec", "departures")
-    walks = spatial.range_join(t.stops, t.stops, 0.3).where("stop_idx <> r_stop_idx").select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), (F.col("dist_km") / 5.0 * 3600.0).alias("walk_sec"))
-    return graph.reach_by_band(graph.earliest_arrivals(seeds, links, walks, 8 * 3600.0, 2700.0))
+    return graph.reach_by_band(arrivals(t, 8 * 3600.0))
 
 
 @query("graph_15_from_ways", f""", w AS (SELECT pattern_idx AS way_id, stop_pos AS pos, stop_idx AS node FROM pattern_stops), l AS (SELECT a.node AS src, b.node AS dst FROM w a JOIN w b ON a.way_id = b.way_id AND b.pos = a.pos + 1), k AS (SELECT * FROM stops WHERE stop_idx % 5 <> 0), o AS (SELECT src, dst, {KM('x', 'y')} AS weight FROM l JOIN k x ON x.stop_idx = src JOIN k y ON y.stop_idx = dst)
