@@ -29,14 +29,14 @@ table gives an empty table; further columns are dropped; texts are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, buffers, span_hash, stash, words
+from .common import Words, bound_batches, buffers, column, span_hash, stash, words
 
 #: Bits of the bitmap of recurring anchors: 16 MB, whatever the corpus.
 BITMAP_BITS = 27
@@ -131,18 +131,42 @@ def _segments(docs: DataFrame, bitmap: np.ndarray, window: int, gram: int) -> Da
     return docs.select("doc_id", "version", "text").mapInArrow(emit, SEGMENT)
 
 
-def _unpacked(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """All codes and where each segment begins (one more at the end)."""
-    ends = np.concatenate([[0], np.cumsum(blobs.map(len).to_numpy(np.int64) // 2)])
-    return np.frombuffer(b"".join(blobs), "<u2").astype(np.uint32), ends
-
-
-def _window_hashes(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, window's place in it, hash) of every window of every segment."""
-    each = blobs.map(len).to_numpy(np.int64) // 8
-    segment = np.repeat(np.arange(len(each)), each)
-    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    return segment, place, np.frombuffer(b"".join(blobs), "<u8")
+class Segments(NamedTuple):
+    """A part of the segments, from the Arrow buffers: no Python object per row or word."""
+
+    doc_id: pa.Array
+    version: np.ndarray
+    anchor: np.ndarray
+    at: np.ndarray
+    begin: np.ndarray  # of each anchor in codes
+    codes: np.ndarray
+    ends: np.ndarray  # where each segment's codes begin; one more at the end
+    hashes: np.ndarray
+    firsts: np.ndarray  # where each segment's window hashes begin; one more at the end
+
+    @classmethod
+    def of(cls, part: pa.RecordBatch | pa.Table) -> Segments:
+        column = {name: x.combine_chunks() if isinstance(x := part.column(name), pa.ChunkedArray) else x for name in part.schema.names}
+        codes, ends = _blobs(column["codes"], 2)
+        hashes, firsts = _blobs(column["hashes"], 8)
+        number = lambda name, kind: column[name].to_numpy(zero_copy_only=False).astype(kind)
+        return cls(column["doc_id"], number("version", np.int64), number("anchor", np.int64), number("at", np.int64), ends[:-1] + number("offset", np.int64), codes.view("<u2").astype(np.uint32), ends, hashes.view("<u8"), firsts)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, window's place in it) of every window of every segment."""
+        each = np.diff(self.firsts)
+        return np.repeat(np.arange(len(each)), each), np.arange(len(self.hashes)) - np.repeat(self.firsts[:-1], each)
+
+
+def _blobs(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one value after another, and where each begins, in units of width (one more at the end)."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(held[offsets[0] : offsets[-1]]), (offsets - offsets[0]) // width
 
 
 def _automaton(phrases: list[str]):
@@ -158,51 +182,51 @@ def _automaton(phrases: list[str]):
 
 
 def _as_text(codes: np.ndarray) -> str:
-    return (codes + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
+    return (codes.astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
 
 
-def _located(automaton, text: str, begin: np.ndarray, number: np.ndarray, ends: np.ndarray, gram: int) -> np.ndarray:
+def _located(automaton, x: Segments, number: np.ndarray, gram: int) -> np.ndarray:
     """Which segments hold, at their anchor's place, the automaton's phrase of their number."""
-    found = np.zeros(len(begin), bool)
+    found = np.zeros(len(x.begin), bool)
     if automaton is not None:
-        hits = np.array([(end - gram + 1, k) for end, k in automaton.iter(text)], np.int64).reshape(-1, 2)
+        hits = np.array([(end - gram + 1, k) for end, k in automaton.iter(_as_text(x.codes))], np.int64).reshape(-1, 2)
         # a hit counts where it is the anchor of its segment, not across two segments
-        own = np.searchsorted(ends, hits[:, 0], "right") - 1
-        good = (begin[own] == hits[:, 0]) & (number[own] == hits[:, 1])
+        own = np.searchsorted(x.ends, hits[:, 0], "right") - 1
+        good = (x.begin[own] == hits[:, 0]) & (number[own] == hits[:, 1])
         found[own[good]] = True
     return found
 
 
-def _located_in(part: pd.DataFrame, codes: np.ndarray, ends: np.ndarray, gram: int, least: int = 2) -> np.ndarray:
+def _located_in(x: Segments, gram: int, least: int = 2) -> np.ndarray:
     """Which segments hold a phrase that is the anchor of ``least`` or more of the part, by an automaton of these phrases."""
-    text = _as_text(codes)
-    kinds, first, number, n = np.unique(part["anchor"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
-    begin = ends[:-1] + part["offset"].to_numpy(np.int64)
+    kinds, first, number, n = np.unique(x.anchor, return_index=True, return_inverse=True, return_counts=True)
     often = np.flatnonzero(n >= least)
     place = np.full(len(kinds), -1)
     place[often] = np.arange(len(often))
-    return _located(_automaton([text[begin[first[k]] : begin[first[k]] + gram] for k in often.tolist()]), text, begin, place[number], ends, gram)
+    phrases = [_as_text(x.codes[x.begin[k] : x.begin[k] + gram]) for k in first[often].tolist()]
+    return _located(_automaton(phrases), x, place[number], gram)
 
 
 RANGES = f"{_KEY}, lo array<long>, hi array<long>"
 
 
-def _ranges(part: pd.DataFrame, segment: np.ndarray, place: np.ndarray, window: int) -> pd.DataFrame:
+def _ranges(x: Segments, segment: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
     """Confirmed windows as word ranges, merged, one row for each document."""
-    if not len(segment):
-        return pd.DataFrame({"doc_id": part["doc_id"][:0], "version": part["version"][:0], "lo": pd.Series(dtype=object), "hi": pd.Series(dtype=object)})
-    key, docs = pd.factorize(pd.MultiIndex.from_frame(part[["doc_id", "version"]]))
-    own = key[segment].astype(np.int64) << 40
-    lo = own + part["at"].to_numpy(np.int64)[segment] + place
-    lo = np.sort(lo)
-    starts = np.flatnonzero(np.concatenate([[True], lo[1:] > lo[:-1] + window]))
-    last = np.concatenate([starts[1:], [len(lo)]]) - 1
-    begin, end = lo[starts], lo[last] + window
-    doc = begin >> 40
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    cut = lambda x: pd.Series(np.split(x & ((1 << 40) - 1), first[1:]), dtype=object)
-    which = docs.take(doc[first])
-    return pd.DataFrame({"doc_id": which.get_level_values(0), "version": which.get_level_values(1), "lo": cut(begin), "hi": cut(end)})
+    rows = np.unique(segment)
+    null = np.asarray(x.doc_id.is_null())[rows]
+    ids = np.asarray(x.doc_id.fill_null(0)).astype(np.int64)[rows]
+    order = np.lexsort((x.version[rows], ids, null))
+    new = np.ones(len(rows), bool)
+    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(x.version[rows][order]) != 0) | (null[order][1:] != null[order][:-1])
+    doc = np.empty(len(rows), np.int64)
+    doc[order] = np.cumsum(new) - 1
+    lo = np.sort((doc[np.searchsorted(rows, segment)] << 40) + x.at[segment] + place)
+    starts = np.flatnonzero(np.concatenate([[True], lo[1:] > lo[:-1] + window])) if len(lo) else np.zeros(0, np.int64)
+    last = np.concatenate([starts[1:], [len(lo)]])[: len(starts)] - 1
+    cuts = pa.array(np.searchsorted(lo[starts] >> 40, np.arange(int(new.sum()) + 1)).astype(np.int32))
+    spans = [pa.ListArray.from_arrays(cuts, pa.array(y & ((1 << 40) - 1))) for y in (lo[starts], lo[last] + window)]
+    which = rows[order][new]
+    return pa.RecordBatch.from_arrays([x.doc_id.take(pa.array(which)), pa.array(x.version[which]), *spans], names=["doc_id", "version", "lo", "hi"])
 
 
 def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -214,63 +238,64 @@ def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcas
     hot = counts.where(F.col("n") > HOT).select("anchor", F.lit(True).alias("often"))
     segments = _segments(docs, _bitmap(counts), window, gram)
 
-    def confirm(part: pd.DataFrame) -> pd.DataFrame:
-        codes, ends = _unpacked(part["codes"])
-        found = _located_in(part, codes, ends, gram)
-        segment, place, h = _window_hashes(part["hashes"])
-        keep = found[segment]
-        segment, place, h = segment[keep], place[keep], h[keep]
+    def confirm(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = Segments.of(pa.Table.from_batches(list(batches)))
+        segment, place = x.windows()
+        keep = _located_in(x, gram)[segment]
+        segment, place, h = segment[keep], place[keep], x.hashes[keep]
         _, number, times = np.unique(h, return_inverse=True, return_counts=True)
         twice = times[number] > 1
-        return _ranges(part, segment[twice], place[twice], window)
+        yield _ranges(x, segment[twice], place[twice], window)
 
     shards = max(1, -(-n // SHARD_TEXTS))
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
     if hot.isEmpty():
-        return segments.select("*", shard).groupBy("shard").applyInPandas(confirm, RANGES)
+        return segments.select("*", shard).groupBy("shard").applyInArrow(confirm, RANGES)
 
     segments = stash(segments.join(hot, "anchor", "left"))
-    common = segments.where("often is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInPandas(confirm, RANGES)
+    common = segments.where("often is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInArrow(confirm, RANGES)
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            segment, _, h = _window_hashes(part["hashes"])
-            pairs = pd.DataFrame({"anchor": part["anchor"].to_numpy()[segment], "h": h.view(np.int64)})
-            yield pairs.groupby(["anchor", "h"], as_index=False).size().rename(columns={"size": "n"})
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, firsts = _blobs(batch.column("hashes"), 8)
+            h, anchor = h.view("<i8"), np.repeat(np.asarray(batch.column("anchor")), np.diff(firsts))
+            order = np.lexsort((h, anchor))
+            h, anchor = h[order], anchor[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1])])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([new, [len(h)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(h[new]), pa.array(n[: len(new)])], names=["anchor", "h", "n"])
 
     frequent = segments.where("often is not null")
-    twice = stash(frequent.select("anchor", "hashes").mapInPandas(emit, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
+    twice = stash(frequent.select("anchor", "hashes").mapInArrow(emit, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
     if twice.count() <= broadcast_windows and hot.count() <= BROADCAST_PHRASES:
         phrase = F.expr(f"substring(codes, 2 * offset + 1, {2 * gram})")
-        phrases = frequent.groupBy("anchor").agg(F.min(phrase).alias("phrase")).orderBy("anchor").toPandas()  # one for each frequent anchor
-        shared = spark.sparkContext.broadcast((phrases["anchor"].to_numpy(np.int64), list(phrases["phrase"]), np.unique(twice.toPandas()["h"].to_numpy(np.int64).view(np.uint64))))
-
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            anchors, words_, known = shared.value
-            automaton = _automaton([_as_text(_unpacked(pd.Series([x]))[0]) for x in words_])
-            for part in batches:
-                codes, ends = _unpacked(part["codes"])
-                own = part["anchor"].to_numpy(np.int64)
-                number = np.minimum(np.searchsorted(anchors, own), max(0, len(anchors) - 1))
-                number = np.where(anchors[number] == own, number, -1) if len(anchors) else np.full(len(own), -1)
-                found = _located(automaton, _as_text(codes), ends[:-1] + part["offset"].to_numpy(np.int64), number, ends, gram)
-                segment, place, h = _window_hashes(part["hashes"])
-                good = found[segment]
-                good[good] = known[np.minimum(np.searchsorted(known, h[good]), len(known) - 1)] == h[good] if len(known) else False
-                yield _ranges(part, segment[good], place[good], window)
-
-        return common.unionByName(frequent.drop("often").mapInPandas(stream, RANGES))
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            codes, ends = _unpacked(part["codes"])
-            found = _located_in(part, codes, ends, gram, 1)
-            segment, place, h = _window_hashes(part["hashes"])
-            keep = found[segment]
-            own = part.iloc[segment[keep]]
-            yield pd.DataFrame({"doc_id": own["doc_id"], "version": own["version"], "anchor": own["anchor"], "h": h[keep].view(np.int64), "lo": own["at"].to_numpy(np.int64) + place[keep]})
-
-    windows_ = frequent.drop("often").mapInPandas(locate, f"{_KEY}, anchor long, h long, lo long")
+        phrases = frequent.groupBy("anchor").agg(F.min(phrase).alias("phrase")).orderBy("anchor").toArrow()  # one for each frequent anchor
+        codes = [_as_text(np.frombuffer(x.as_buffer(), "<u2")) for c in phrases.column("phrase").chunks for x in c]
+        shared = spark.sparkContext.broadcast((phrases.column("anchor").to_numpy(), codes, np.unique(column(twice.select("h")).view(np.uint64))))
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            anchors, phrases, known = shared.value
+            automaton = _automaton(phrases)
+            for batch in batches:
+                x = Segments.of(batch)
+                number = np.minimum(np.searchsorted(anchors, x.anchor), max(0, len(anchors) - 1))
+                number = np.where(anchors[number] == x.anchor, number, -1) if len(anchors) else np.full(len(x.anchor), -1)
+                segment, place = x.windows()
+                good = _located(automaton, x, number, gram)[segment]
+                good[good] = known[np.minimum(np.searchsorted(known, x.hashes[good]), len(known) - 1)] == x.hashes[good] if len(known) else False
+                yield _ranges(x, segment[good], place[good], window)
+
+        return common.unionByName(frequent.drop("often").mapInArrow(stream, RANGES))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = Segments.of(batch)
+            segment, place = x.windows()
+            keep = _located_in(x, gram, 1)[segment]
+            own, h = segment[keep], x.hashes[keep].view("<i8")
+            yield pa.RecordBatch.from_arrays([x.doc_id.take(pa.array(own)), *map(pa.array, (x.version[own], x.anchor[own], h, x.at[own] + place[keep]))], names=["doc_id", "version", "anchor", "h", "lo"])
+
+    windows_ = frequent.drop("often").mapInArrow(locate, f"{_KEY}, anchor long, h long, lo long")
     located = windows_.join(twice, ["anchor", "h"], "left_semi").select("doc_id", "version", F.array("lo").alias("lo"), F.array(F.col("lo") + window).alias("hi"))
     return common.unionByName(located)
 
