@@ -31,6 +31,8 @@ def test_language_model_base_and_gain(spark, sf_dir):
         assert (r["n_tokens"], r["n_known"]) == (len(w), sum(counts[x] > 0 for x in w))
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
         assert r["score"] < 0
+        size = len((texts[r["doc_id"]] or "").encode())
+        assert r["bits_per_byte"] is None if not size else abs(r["bits_per_byte"] + r["score"] / math.log10(2) / size) < 1e-9
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
@@ -40,6 +42,8 @@ def test_language_model_far_tokens_and_cases(spark, monkeypatch):
     monkeypatch.setattr(language_model, "SYMBOLS", 3)
     texts = [(1, "a b c d e f g a b c"), (2, "a b q q z"), (3, None), (4, ""), (5, "a b c " * 4000), (6, "a b q q z")]
     docs = spark.createDataFrame([(*x, 0) for x in texts], "doc_id long, text string, score int")
+    null_id = language_model.score(docs.selectExpr("cast(null as long) doc_id", "text"), F.lit(True)).collect()
+    assert len(null_id) == len(texts) and all(r["doc_id"] is None and math.isfinite(r["score"]) for r in null_id)
     rows = {r["doc_id"]: r for r in language_model.score(docs, F.col("doc_id") % 2 == 1).collect()}
     counts = Counter(x for d, t in texts if d % 2 for x in [*lm_words(t), None])
     for d, t in texts:
@@ -56,7 +60,9 @@ def test_model_is_a_distribution(spark):
     """Probabilities of all one-word texts over the vocabulary and the unknown word add up to the probability of a word."""
     docs = spark.createDataFrame([(1, "a b c a b a"), (3, "a c"), (2, "a"), (4, "b"), (6, "c"), (8, "never"), (10, "")], "doc_id long, text string")
     rows = {r["doc_id"]: 10 ** r["score"] for r in language_model.score(docs, F.col("doc_id") % 2 == 1).collect()}
+    # "never" stands for all unknown words, each at the share of one with no count; the empty text is the end alone
     assert 0 < sum(rows[i] for i in (2, 4, 6, 8)) < 1 and all(0 < p < 1 for p in rows.values())
+    assert rows[2] > rows[8] and rows[4] > rows[8]
 
 
 def test_quality_accuracy(spark, sf_dir):
@@ -121,21 +127,71 @@ def test_mixing_learns_from_every_training_row(spark, monkeypatch):
     assert np.isfinite([r["score"] for r in scored.limit(50).collect()]).all()
 
 
+def plain_model(refine, code=None, bits=16):
+    import numpy as np
+
+    code = code or language_model.huffman(np.array([5, 4, 3, 1]))
+    gates = language_model.DEPTHS * language_model.SEEN
+    seen = [np.full(code.nodes, 1 + 1j, np.complex64), *[np.zeros(1 << bits, np.complex64)] * language_model.ORDERS]
+    return language_model.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), code, bits, seen, np.zeros((gates, language_model.INPUTS), np.float32), refine)
+
+
 def test_refining_map_is_updated_online():
     """From a map that is wrong everywhere, the last part of a regular text costs less than with a map held fixed."""
     import numpy as np
 
-    code = language_model.huffman(np.array([5, 4, 3, 1]))
-    gates = language_model.DEPTHS * language_model.SEEN
-    slots = 1 << language_model.SLOT_BITS
-    tables = [np.ones(code.nodes, np.float32), *[np.zeros(slots, np.float32)] * language_model.ORDERS]
-    wrong = np.full(gates * language_model.STEPS, 6.0, np.float32)
-    m = language_model.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), code, tables, tables, np.zeros((gates, language_model.INPUTS), np.float32), wrong)
+    wrong = np.full(language_model.DEPTHS * language_model.SEEN * language_model.STEPS, 6.0, np.float32)
+    m = plain_model(wrong)
 
     def cost(n):
         row, symbol = np.zeros(n, np.int64), np.arange(n) % 3
-        return -language_model.run(language_model.events(row, symbol.astype(np.uint64), symbol, code), 1, m, m.weights, False)[0][0]
+        return -language_model.run(language_model.events(row, symbol.astype(np.uint64), symbol, m.code, m.bits), 1, m, m.weights, False)[0][0]
 
     early, late = cost(640), cost(6400) - cost(5760)
     assert late < 0.7 * early
     assert (wrong == 6.0).all()
+
+
+def test_scores_equal_bit_by_bit_mixing():
+    """The log probabilities of run() against a loop over blocks and bits of one row, from random counts and weights."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    L = language_model
+    gates = L.DEPTHS * L.SEEN
+    m = plain_model(np.tile(np.linspace(-14, 14, L.STEPS), gates).astype(np.float32) + rng.normal(0, 0.1, gates * L.STEPS).astype(np.float32))
+    pairs = lambda n: (rng.integers(0, 60, n) + 1j * rng.integers(0, 60, n)).astype(np.complex64)
+    m = m._replace(seen=[pairs(m.code.nodes), pairs(1 << 16), pairs(1 << 16)], weights=rng.normal(0.2, 0.2, (gates, L.INPUTS)).astype(np.float32))
+    symbol = rng.integers(0, 4, 300)
+    ev = L.events(np.zeros(300, np.int64), symbol.astype(np.uint64) + np.uint64(9), symbol, m.code, m.bits)
+    got = L.run(ev, 1, m, m.weights, False)[0][0]
+
+    w, refine, own, want = m.weights.astype(float), m.refine.astype(float).copy(), {}, 0.0
+    for a, b in zip(ev.bounds[:-1], ev.bounds[1:]):
+        steps = []
+        for k in range(a, b):
+            z, o = m.seen[0][ev.node[k]].real, m.seen[0][ev.node[k]].imag
+            p0 = min(max((o + 0.4) / (o + z + 0.8), 1e-6), 1 - 1e-6)
+            x = [math.log((o + 0.4) / (z + 0.4))]
+            for i in (1, 2):
+                c = m.seen[i][ev.slots[i - 1][k]]
+                x.append(math.log((c.imag + 2 * p0) / (c.real + 2 - 2 * p0)))
+            n = c.real + c.imag
+            mine = own.get(int(ev.node[k]), [0, 0])
+            x += [math.log((mine[1] + 3 * p0) / (mine[0] + 3 - 3 * p0)), 0.3]
+            gate = int(ev.depth[k]) * L.SEEN + (n >= 3) + (n >= 30) + (n >= 300)
+            dot = min(max(sum(w[gate][i] * x[i] for i in range(5)), -14), 14)
+            step = (dot + 14) * (L.STEPS - 1) / 28
+            left = min(int(step), L.STEPS - 2)
+            cell, part = gate * L.STEPS + left, step - left
+            refined = refine[cell] + (refine[cell + 1] - refine[cell]) * part
+            y = int(ev.bit[k])
+            mixed = 1 / (1 + math.exp(-(dot + refined) / 2))
+            want += math.log2(mixed if y else 1 - mixed)
+            steps.append((k, gate, x, L.RATE * (y - 1 / (1 + math.exp(-dot))), cell, part, L.RATE * (y - 1 / (1 + math.exp(-refined)))))
+        for k, gate, x, error, cell, part, missed in steps:
+            w[gate] = w[gate] + error * np.array(x)
+            refine[cell] += missed * (1 - part)
+            refine[cell + 1] += missed * part
+            own.setdefault(int(ev.node[k]), [0, 0])[int(ev.bit[k])] += 1
+    assert abs(got - want) < 1e-3 * abs(want)
