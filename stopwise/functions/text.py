@@ -101,3 +101,47 @@ def token_match(query: list[str], words: Column) -> Column:
     for q in query:
         out = out & F.exists(words, begins(q))
     return out
+
+
+#: The letters of Croatian in order.
+CROATIAN = "abcčćdđefghijklmnopqrsštuvwxyzž"
+
+
+def croatian_order(text: Column) -> Column:
+    """A key that sorts lower-case text by the Croatian alphabet."""
+    return F.translate(text, CROATIAN, "".join(chr(ord("0") + i) for i in range(len(CROATIAN))))
+
+
+#: Words of station names that stay lower case, and abbreviations that stay upper case.
+STATION_SMALL = (
+    "ul. ulica trg cesta put aleja park most prilaz šetalište obala avenija okretište kolodvor remiza naselje učilište dvorana bolnica zdravlja fakultet otvoreno pučko škola groblje tržnica centar "
+    "stajalište terminal sveučilište sveučilišna knjižnica velesajam breg dol gaj žrtava fašizma velikana hrvatskih hrvatskog katoličko sokola brigade dr. sv. prof. kralja kraljice kneza bana braće "
+    "grada sestara i na od za pri kod do u"
+)
+STATION_CAPITALS = "hak kb kbc mup rsc rtl sc tc vmd oš žs nsk hnk xiii"
+
+
+def station_name(text: Column) -> Column:
+    """A name in capitals with capital first letters: small words lower case unless a name or a part after a dash begins with them; other names as they are."""
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    words = F.split(F.lower(clean), " ")
+    among = lambda w, listed: F.array_contains(F.split(F.lit(listed), " "), w)
+    begins = lambda i: (i == 0) | F.get(words, i - 1).rlike("^[-–—/]$")
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))
+
+    def cased(w: Column, i: Column) -> Column:
+        return F.when(w.rlike(r"^\p{L}\.$") | among(w, STATION_CAPITALS), F.upper(w)).when(~begins(i) & among(w, STATION_SMALL), w).otherwise(capital(w))
+
+    return F.when(clean == F.upper(clean), F.array_join(F.transform(words, cased), " ")).otherwise(clean)
+
+
+def place_kind(tags: Column) -> Column:
+    """stop, street or place by tags."""
+    return F.when(tags["railway"].isin("tram_stop", "station", "halt") | (F.coalesce(tags["highway"], F.lit("")) == "bus_stop"), "stop").when(tags["highway"].isNotNull(), "street").otherwise("place")
+
+
+def headline(text: Column) -> Column:
+    """A notice's title in sentence case, without its leading label, "temporary" and end mark."""
+    bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), r"^(obavijest|najava|info)\s*[:–-]\s*", "")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\bprivremen[aeiou]\s+", ""), r"[\s.]+$", ""))
+    return F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 10_000))
