@@ -105,3 +105,10 @@ def busiest_date(counts: DataFrame) -> DataFrame:
     some = counts.where("trips > 0").agg(F.min("ord").alias("_first"))  # one row
     near = counts.crossJoin(F.broadcast(some)).where("ord = _first or ord = _first + 1")
     return near.orderBy(F.desc("trips"), "ord").limit(1).select("date", "trips")
+
+
+def write_feed(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write tables as the feed's files, each with a header; columns that the feed does not know are left out."""
+    for name, table in tables.items():
+        known = [f.name for f in T.StructType.fromDDL(FILES[name]) if f.name in table.columns]
+        table.select(*known).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}.txt")
