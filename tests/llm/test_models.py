@@ -132,7 +132,7 @@ def plain_model(refine, code=None, bits=16):
 
     code = code or language_model.huffman(np.array([5, 4, 3, 1]))
     gates = language_model.DEPTHS * language_model.SEEN
-    seen = [np.full(code.nodes, 1 + 1j, np.complex64), *[np.zeros(1 << bits, np.complex64)] * language_model.ORDERS]
+    seen = [np.full(code.nodes, 1 << 16 | 1, np.uint32), *[np.zeros(1 << bits, np.uint32)] * language_model.ORDERS]
     return language_model.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), code, bits, seen, np.zeros((gates, language_model.INPUTS), np.float32), refine)
 
 
@@ -160,23 +160,24 @@ def test_scores_equal_bit_by_bit_mixing():
     L = language_model
     gates = L.DEPTHS * L.SEEN
     m = plain_model(np.tile(np.linspace(-14, 14, L.STEPS), gates).astype(np.float32) + rng.normal(0, 0.1, gates * L.STEPS).astype(np.float32))
-    pairs = lambda n: (rng.integers(0, 60, n) + 1j * rng.integers(0, 60, n)).astype(np.complex64)
+    pairs = lambda n: (rng.integers(0, 60, n) << 16 | rng.integers(0, 60, n)).astype(np.uint32)
+    counts = lambda x: (int(x) >> 16, int(x) & 0xFFFF)
     m = m._replace(seen=[pairs(m.code.nodes), pairs(1 << 16), pairs(1 << 16)], weights=rng.normal(0.2, 0.2, (gates, L.INPUTS)).astype(np.float32))
     symbol = rng.integers(0, 4, 300)
     ev = L.events(np.zeros(300, np.int64), symbol.astype(np.uint64) + np.uint64(9), symbol, m.code, m.bits)
     got = L.run(ev, 1, m, m.weights, False)[0][0]
 
     w, refine, own, want = m.weights.astype(float), m.refine.astype(float).copy(), {}, 0.0
-    for a, b in zip(ev.bounds[:-1], ev.bounds[1:]):
-        steps = []
+    for turn, (a, b) in enumerate(zip(ev.bounds[:-1], ev.bounds[1:])):
+        steps, rate = [], L.RATE / math.sqrt(2 ** max(0, turn - 1))
         for k in range(a, b):
-            z, o = m.seen[0][ev.node[k]].real, m.seen[0][ev.node[k]].imag
+            z, o = counts(m.seen[0][ev.node[k]])
             p0 = min(max((o + 0.4) / (o + z + 0.8), 1e-6), 1 - 1e-6)
             x = [math.log((o + 0.4) / (z + 0.4))]
             for i in (1, 2):
-                c = m.seen[i][ev.slots[i - 1][k]]
-                x.append(math.log((c.imag + 2 * p0) / (c.real + 2 - 2 * p0)))
-            n = c.real + c.imag
+                zeros, ones = counts(m.seen[i][ev.slots[i - 1][k]])
+                x.append(math.log((ones + 2 * p0) / (zeros + 2 - 2 * p0)))
+            n = zeros + ones
             mine = own.get(int(ev.node[k]), [0, 0])
             x += [math.log((mine[1] + 3 * p0) / (mine[0] + 3 - 3 * p0)), 0.3]
             gate = int(ev.depth[k]) * L.SEEN + (n >= 3) + (n >= 30) + (n >= 300)
@@ -188,10 +189,9 @@ def test_scores_equal_bit_by_bit_mixing():
             y = int(ev.bit[k])
             mixed = 1 / (1 + math.exp(-(dot + refined) / 2))
             want += math.log2(mixed if y else 1 - mixed)
-            steps.append((k, gate, x, L.RATE * (y - 1 / (1 + math.exp(-dot))), cell, part, L.RATE * (y - 1 / (1 + math.exp(-refined)))))
+            steps.append((k, gate, x, rate * (y - 1 / (1 + math.exp(-dot))), cell, part, rate * (y - 1 / (1 + math.exp(-refined)))))
         for k, gate, x, error, cell, part, missed in steps:
             w[gate] = w[gate] + error * np.array(x)
-            refine[cell] += missed * (1 - part)
-            refine[cell + 1] += missed * part
+            refine[cell + (part > 0.5)] += missed
             own.setdefault(int(ev.node[k]), [0, 0])[int(ev.bit[k])] += 1
     assert abs(got - want) < 1e-3 * abs(want)
