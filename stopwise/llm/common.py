@@ -30,9 +30,11 @@ _R_INV = np.uint64(pow(int(_R), -1, 2**64))
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share."""
+    """A new path in the folder that the driver and all executors share; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stopwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stopwise-{uuid.uuid4().hex}"

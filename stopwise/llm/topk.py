@@ -6,9 +6,9 @@ The sum of ``query * extreme`` over terms bounds every score in the block.  For
 each query, blocks are scored in order of that bound until it falls below the
 kth score so far.
 
-Blocks are gathered into groups of a bounded size; each batch of queries meets
-each group once (the stated query set against all rows, in blocks), and the
-groups' best k of each query are merged.
+Blocks are gathered into groups of a bounded size, written with their number;
+each batch of queries meets each group once (the stated query set against all
+rows, in blocks), and the groups' best k of each query are merged.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 take no part; a shorter vector counts as 0 in the missing components; rows with
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import stash
+
 BLOCK_ROWS = 256
 GROUP_ROWS = 16_384
 QUERY_ROWS = 1_024
@@ -101,8 +103,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     groups = _packed(good, max(1, -(-n // GROUP_ROWS)), GROUP_ROWS, dims)
     asked = good.where(is_query)
     batches = _packed(asked, max(1, asked.count() // QUERY_ROWS), QUERY_ROWS, dims)
-    numbered = groups.withColumn("group", F.spark_partition_id())
-    spread = batches.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // GROUP_ROWS) - 1)))).alias("group"))
+    # the numbers are data once they are written, however many partitions there were
+    numbered = stash(groups.withColumn("group", F.spark_partition_id()))
+    listed = numbered.select("group").distinct()  # one row for GROUP_ROWS vectors
+    spread = batches.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")).join(listed)
 
     def search(joined: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined:

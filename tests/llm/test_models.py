@@ -195,3 +195,88 @@ def test_scores_equal_bit_by_bit_mixing():
             refine[cell + (part > 0.5)] += missed
             own.setdefault(int(ev.node[k]), [0, 0])[int(ev.bit[k])] += 1
     assert abs(got - want) < 1e-3 * abs(want)
+
+
+def mixed(h):
+    """The finishing step of the hashes, on plain integers."""
+    m = 2**64 - 1
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & m
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & m
+    return h ^ h >> 31
+
+
+def byte_grams(text):
+    """Hashed 1- to 3-grams of the folded bytes, by plain loops."""
+    folded = bytes(48 if 48 <= b < 58 else 32 if b < 33 else b + 32 if 65 <= b < 91 else b for b in (text or "").encode())
+    out = []
+    for order in (1, 2, 3):
+        salt = int(language._ORDER_SALT[order]) << 32
+        out += [mixed((int.from_bytes(folded[i : i + order], "big") + salt) & (2**64 - 1)) % (1 << language.BITS) for i in range(len(folded) - order + 1)]
+    return out
+
+
+def test_language_equals_plain_decoding(spark):
+    """Codeword bits, their weights and the decoding recomputed with dictionaries."""
+    texts = [("en", "the cat and the dog were in the house"), ("de", "der Hund und die Katze sind im Haus"), ("fr", "le chat et le chien sont dans la maison"), ("en", "another 12 words of the text"), ("de", "noch ein Satz mit Umlauten: äöü")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)] + [(9, "und der kleine Hund", None), (10, "the " * 3000, None), (11, "chat chien", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()}
+    names = sorted({lang for lang, _ in texts})
+    counts = {lang: Counter(g for x, t in texts if x == lang for g in byte_grams(t)) for lang in names}
+    slots = 1 << language.BITS
+    share = lambda lang, g: (counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * slots)
+    codes = language.codewords(len(names))
+    weights, lost = [], []
+    for b in range(codes.shape[1]):
+        side = {s: [lang for k, lang in enumerate(names) if codes[k][b] == s] for s in (1, -1)}
+        weights.append([math.log(sum(share(x, g) for x in side[1]) / len(side[1])) - math.log(sum(share(x, g) for x in side[-1]) / len(side[-1])) for g in range(slots)])
+        lost.append(max(1e-3, min(sum(share(lang, g) * weights[b][g] for g in range(slots)) * codes[k][b] for k, lang in enumerate(names))))
+    for r in docs.collect():
+        grams = byte_grams(r["text"])
+        z = [sum(w[g] for g in grams) / math.sqrt(max(1, len(grams))) for w in weights]
+        loss = [sum(v / sum(lost) * math.log1p(math.exp(-z[b] * codes[k][b])) if z[b] * codes[k][b] > -500 else -z[b] * codes[k][b] * v / sum(lost) for b, v in enumerate(lost)) for k in range(len(names))]
+        e = [math.exp(-(x - min(loss)) * len(lost)) for x in loss]
+        best = loss.index(min(loss))
+        assert got[r["doc_id"]]["lang_pred"] == names[best], r["doc_id"]
+        assert abs(got[r["doc_id"]]["score"] - e[best] / sum(e)) < 1e-3
+
+
+def test_language_learns_rare_values_and_replaces_columns(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, f"{chr(97 + k) * 30} {chr(98 + k) * 30}", f"l{k}", 0.5, "x", True) for k in range(7)] * 2, "doc_id long, text string, lang string, score double, lang_pred string, ambiguous boolean")
+    out = language.predict(docs, language.fit(docs, F.lit(True)))
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert all(r["lang_pred"] == r["lang"] for r in out.collect()) and out.count() == 14
+
+
+def test_quality_equals_plain_margins(spark):
+    """Log-count ratios from dictionaries, the hinge-loss optimum by its conditions, and each score from the fitted weights."""
+    import numpy as np
+
+    from stopwise.llm.common import words
+    import pyarrow as pa
+
+    rng = __import__("random").Random(2)
+    word = lambda k: f"{'good' if k else 'bad'}{rng.randrange(30)}"
+    rows = [(i, " ".join([word(i % 2) for _ in range(rng.randrange(1, 40))] + ["same"]), i % 2) for i in range(60)]
+    rows += [(60, rows[0][1], 0), (61, "", 1)]
+    docs = spark.createDataFrame([(d, t, 7.0) for d, t, _ in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    feature_sets = {}
+    for d, t, _ in rows:
+        (w,) = words(pa.array([t]))
+        feature_sets[d] = set(quality.features(w)[1].tolist())
+    n = {k: sum(y == k for _, _, y in rows) for k in (0, 1)}
+    have = {k: Counter(f for d, _, y in rows if y == k for f in feature_sets[d]) for k in (0, 1)}
+    ratio = {f: math.log((have[1][f] + 1) / (n[1] + 2)) - math.log((have[0][f] + 1) / (n[0] + 2)) for f in set(have[0]) | set(have[1])}
+    for f, r in ratio.items():
+        assert abs(model.squares[f] - r * r) < 1e-5
+    weight = {f: model.weights[f] / r if abs(r) > 1e-9 else 0.0 for f, r in ratio.items()}
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for d, _, y in rows:
+        size = math.sqrt(sum(ratio[f] ** 2 for f in feature_sets[d]))
+        margin = sum(weight[f] * ratio[f] for f in feature_sets[d]) / max(size, 1e-9) + model.bias
+        assert abs(scores[d] - 1 / (1 + math.exp(-min(30, max(-30, model.slope * margin))))) < 1e-3
+        assert d == 61 or (scores[d] > 0.5) == (y == 1)
+    assert scores[0] == scores[60]
+    assert np.array_equal(model.weights, quality.fit(docs.repartition(7), labels).weights)

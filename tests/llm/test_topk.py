@@ -46,3 +46,15 @@ def test_query_on_corpus(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op2_exact_top_k(spark, sf_dir).collect())
     assert got == brute(rows, lambda i: i % 50 == 0, 5)
+
+
+def test_groups_of_any_number_of_partitions(spark, monkeypatch):
+    """Small groups, unequal lengths, and more range partitions than groups."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 64)
+    rng = random.Random(8)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(rng.choice([3, 5]))]) for i in range(500)]
+    packed = topk._packed
+    monkeypatch.setattr(topk, "_packed", lambda df, parts, most, dims: packed(df, 3 * parts + 2, most, dims))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") % 50 == 0, 5).collect())
+    assert got == brute([(i, v + [0.0] * (5 - len(v))) for i, v in rows], lambda i: i % 50 == 0, 5)
