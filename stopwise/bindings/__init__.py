@@ -7,6 +7,8 @@ difference is stated beside the view.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: First second of the events table.
@@ -61,11 +63,13 @@ class Tables:
             if name.startswith("_"):
                 raise AttributeError(name)
             return self.source(name)
-        text = VIEWS[name].format(**_SPARK)
+        # tables are passed as parameters, so no view of the session is touched
+        text, used = VIEWS[name].format(**_SPARK), {}
         for t in ("events", "orders", "lineitem", "customer", "supplier", "nation", "part"):
-            if f"FROM {t}" in text:
-                self.source(t).createOrReplaceTempView(t)
-        return self.spark.sql(text)
+            if re.search(rf"FROM {t}\b|JOIN {t}\b", text):
+                text = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+                used[t] = self.source(t)
+        return self.spark.sql(text, **used)
 
 
 def oracle(body: str) -> str:

@@ -25,13 +25,16 @@ def _around(df: DataFrame, steps: int = 1) -> DataFrame:
     return df.withColumn("_dx", F.explode(offsets)).withColumn("_dy", F.explode(offsets)).withColumn("_cy", F.col("_cy") + F.col("_dy")).withColumn("_cx", F.col("_cx") + F.col("_dx")).drop("_dx", "_dy")
 
 
-def range_join(left: DataFrame, right: DataFrame, km: float, prefix: str = "r_") -> DataFrame:
-    """All pairs within km (equality included): left's columns, right's columns with the prefix, dist_km; both have lat and lon."""
+def range_join(left: DataFrame, right: DataFrame, km: float, prefix: str = "r_", by: str | None = None) -> DataFrame:
+    """All pairs within km (equality included), with by of equal values in that column: left's columns, right's columns with the prefix, dist_km; both have lat and lon."""
     a = left.withColumns(dict(zip(("_cy", "_cx"), _cells(F.col("lat"), F.col("lon"), km), strict=True)))
     b = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
     b = _around(b.withColumns(dict(zip(("_cy", "_cx"), _cells(F.col(f"{prefix}lat"), F.col(f"{prefix}lon"), km), strict=True))))
     distance = flat_km(F.col("lat"), F.col("lon"), F.col(f"{prefix}lat"), F.col(f"{prefix}lon"))
-    return a.join(b, ["_cy", "_cx"]).drop("_cy", "_cx").withColumn("dist_km", distance).where(F.col("dist_km") <= km)
+    keys = ["_cy", "_cx"]
+    if by is not None:
+        a, b, keys = a.withColumn("_by", F.col(by)), b.withColumn("_by", F.col(prefix + by)), [*keys, "_by"]
+    return a.join(b, keys).drop(*keys).withColumn("dist_km", distance).where(F.col("dist_km") <= km)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, km: float, left_key: str, right_key: str, k: int = 1, prefix: str = "r_") -> DataFrame:
@@ -92,7 +95,7 @@ def components(links: DataFrame, nodes: DataFrame, most_steps: int = 1_000_000)
 
 def single_linkage(points: DataFrame, key: str, km: float, within: str) -> DataFrame:
     """Clusters of points of equal ``within`` that chains of steps of at most km connect: within, component, n, mean lat and lon."""
-    pairs = range_join(points, points, km).where((F.col(within) == F.col(f"r_{within}")) & (F.col(key) < F.col(f"r_{key}")))
+    pairs = range_join(points, points, km, by=within).where(F.col(key) < F.col(f"r_{key}"))
     found = components(pairs.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b")), points.select(F.col(key).alias("node")))
     return points.join(found.withColumnRenamed("node", key), key).groupBy(within, "component").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
