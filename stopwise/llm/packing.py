@@ -35,7 +35,7 @@ LEAST_SALTS = 32
 
 _ENCODERS: dict[tuple[str, str], object] = {}
 #: Blocks whose letters, digits and spaces have long been settled, so that two pattern engines divide their text alike.
-_SETTLED = re.compile("[\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20a0-\u20b5]*")
+SETTLED = re.compile("[\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20a0-\u20b5]*")
 _SPECIAL = "<|endoftext|>"
 
 
@@ -59,7 +59,7 @@ def _encoder(ranks_file: str, model_file: str):
         model: list[Tokenizer] = []
 
         def ids(text: str) -> np.ndarray:
-            if _SPECIAL in text or not _SETTLED.fullmatch(text):
+            if _SPECIAL in text or not SETTLED.fullmatch(text):
                 model or model.append(Tokenizer.from_file(model_file))
                 return np.array(model[0].encode(text, add_special_tokens=False).ids, np.uint32)
             return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, language_model, packing, quality, secrets, substring, topk, warc
+from . import decontaminate, jaccard, language, language_model, manifest, packing, quality, secrets, substring, tandem, token_counts, topk, warc
 from .common import shared_path
 
 
@@ -98,6 +98,51 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they are over 512."""
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "n_whole")
+
+
+def _with_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs; every tenth text by the hash of its id repeats a stretch of its words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    cut = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    cut = cut.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    cut = cut.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    changed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i)))
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods in every document, the longest of them, and the text without their repetitions."""
+    found = tandem.periodic_runs(_with_period(_table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    out = found.withColumn("best", best).withColumn("length", -F.col("best.less"))
+    exponent = F.floor(1000 * F.col("length") / F.col("best.period")).cast("long")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+        exponent.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, checked against a copy of the table whose line feeds are partly gone."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = lambda text: [*map(F.col, ("doc_id", "source", "lang", "n_chars")), text]
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n")), manifest.leaf(*fields(F.translate("text", "\n", ""))))
+    rows = docs.select("doc_id", "source", F.unhex(manifest.leaf(*fields(F.col("text")))).alias("leaf"), F.unhex(tampered).alias("tampered"))
+    proven = manifest.prove(manifest.manifest(rows, "source", ["doc_id"]))
+    kept = lambda c: F.lower(F.hex(c))
+    out = proven.select("doc_id", kept("leaf").alias("leaf"), "subroot", "root", "steps", kept(F.coalesce("tampered", "leaf")).alias("now"))
+    out = out.withColumn("folded_root", manifest.folded(F.col("now"), F.col("steps")))
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_top_k": op2_exact_top_k,
@@ -109,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -231,3 +279,91 @@ SELECT doc_id, {', '.join(f'coalesce(n_{x.kind}, 0) AS n_{x.kind}' for x in secr
 
 
 ORACLE_SQL["op9_secret_scan"] = _secret_sql()
+
+#: CRC-32 of the decimal digits of doc_id, by the polynomial's table.
+_CRC_SQL = """
+bits AS (
+  SELECT range AS b, range AS c, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8
+)
+"""
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+ORACLE_SQL["op12_periodic_runs"] = rf"""
+WITH RECURSIVE {_CRC_SQL}, d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_CRC} AS h FROM documents, crc_table
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d
+), p AS (
+  SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM a
+), x AS (
+  SELECT doc_id, r, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p
+), gram AS (
+  SELECT r, len(w) AS n, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM x)
+), pair AS (
+  SELECT a.r, a.i, b.i - a.i AS q FROM gram AS a JOIN gram AS b ON a.r = b.r AND a.g = b.g AND a.i < b.i AND 4 * (b.i - a.i) <= a.n
+), island AS (
+  SELECT r, q, min(i) AS s, count(*) + 4 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair) GROUP BY r, q, k
+), run AS (
+  SELECT r, s, l, min(q) AS q FROM island WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l
+), best AS (
+  SELECT r, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, min({{'l': -l, 's': s, 'q': q}}) AS b FROM run GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run
+), word AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM x
+), kept AS (
+  SELECT w.r, string_agg(word, ' ' ORDER BY i) AS kept FROM word AS w ANTI JOIN gone AS g USING (r, i) GROUP BY w.r
+)
+SELECT doc_id, coalesce(b.n, 0) AS n_runs, CAST(b.b.s AS BIGINT) AS start, CAST(-b.b.l AS BIGINT) AS length, CAST(b.b.q AS BIGINT) AS period,
+  CAST(1000 * -b.b.l // b.b.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN best AS b USING (r) LEFT JOIN kept AS k USING (r)
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree_sql(name: str, source: str) -> str:
+    """Nodes of the trees over rows (tree, idx, n, h) of a table, and their runs of three."""
+    return f"""{name}_nodes AS (
+  SELECT tree, 0 AS level, idx, n, h FROM {source}
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n
+), {name}_runs AS (
+  SELECT tree, level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM {name}_nodes WHERE n > 1 GROUP BY ALL
+)"""
+
+
+def _way_sql(name: str, source: str) -> str:
+    """Rows (id, tree, idx, n, h, proof) of a table taken up to the root of their tree."""
+    left, right = "array_to_string(u.hs[1:f.idx % 3], '')", "array_to_string(u.hs[f.idx % 3 + 2:], '')"
+    return f"""{name}_way AS (
+  SELECT id, tree, 0 AS level, idx, n, h, proof FROM {source}
+  UNION ALL
+  SELECT id, f.tree, f.level + 1, f.idx // 3, (f.n + 2) // 3, sha256({left} || f.h || {right}), f.proof || {left} || {right}
+  FROM {name}_way AS f JOIN {name}_runs AS u ON u.tree = f.tree AND u.level = f.level AND u.run = f.idx // 3 WHERE f.n > 1
+)"""
+
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_SQL}, d AS (
+  SELECT doc_id, row_number() OVER () AS id, coalesce('=' || source, '') AS tree, {_leaf_sql("text")} AS h,
+    CASE WHEN {_CRC} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS now FROM documents, crc_table
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d
+), {_tree_sql("low", "leaf")}, sub AS (
+  SELECT tree AS own, '/' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, h FROM low_nodes WHERE n = 1
+), {_tree_sql("top", "sub")}, below AS (
+  SELECT id, tree, idx, n, now AS h, '' AS proof FROM leaf
+), {_way_sql("low", "below")}, above AS (
+  SELECT w.id, '/' AS tree, s.idx, s.n, w.h, w.proof FROM low_way AS w JOIN sub AS s ON s.own = w.tree WHERE w.n = 1
+), {_way_sql("top", "above")}
+SELECT doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM leaf AS l JOIN sub AS s ON s.own = l.tree JOIN top_way AS w ON w.id = l.id AND w.n = 1, (SELECT h FROM top_nodes WHERE n = 1) AS r
+"""
