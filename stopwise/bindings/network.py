@@ -14,7 +14,7 @@ from ..plans import changes, districts, network, schedule
 from ..queries import query, r6
 from . import Tables
 from .schedule import KM, LENGTHS
-from .space import AREAS, PIP, areas, arrivals
+from .space import AREAS, PIP, areas
 
 # --- dates -------------------------------------------------------------------
 
@@ -368,45 +368,6 @@ def _(t):
 # --- reach on maps -----------------------------------------------------------
 
 
-@query("graph_02_isochrone_labels")
-def _(t):
-    return arrivals(t, 8 * 3600.0, 1800.0).withColumns(r6("cost"))
-
-
-@query("graph_08_bands")
-def _(t):
-    at = t.stops.select(F.col("stop_idx").alias("node"), F.floor(F.col("lat") / G.REACH_CELL).alias("cy"), F.floor(F.col("lon") / G.REACH_CELL).alias("cx"))
-    cells = arrivals(t, 8 * 3600.0, 1800.0).join(at, "node").groupBy("source", "cy", "cx").agg(F.min("cost").alias("sec"))
-    return network.bands_of_cells(cells)
-
-
-def segments(t: Tables) -> DataFrame:
-    w = W.partitionBy("pattern_idx").orderBy("stop_pos")
-    lines = t.departures.select("pattern_idx", "mode").distinct()
-    own = t.pattern_stops.withColumn("dst", F.lead("stop_idx").over(w)).where("dst is not null")
-    return own.join(lines, "pattern_idx").select("mode", F.col("stop_idx").alias("src"), "dst").distinct()
-
-
-@query("graph_09_line_features")
-def _(t):
-    return network.line_features(arrivals(t, 8 * 3600.0, 1800.0), segments(t))
-
-
-@query("graph_10_payload")
-def _(t):
-    last = t.pattern_stops.groupBy(F.col("stop_idx").alias("node")).agg(F.min("pattern_idx").alias("pattern_idx"))
-    best = arrivals(t, 8 * 3600.0, 1800.0).select("source", "node").join(last, "node", "left")
-    return network.routing_payload(best, t.departures.select("pattern_idx", "route").distinct())
-
-
-@query("graph_13_travel_matrix")
-def _(t):
-    nodes = spatial.containing(t.stops, areas(t), "stop_idx").where("area is not null").select(F.col("stop_idx").alias("node"), "area")
-    homes = spatial.containing(t.stations, areas(t), "station_id").where("area is not null")
-    origins = homes.groupBy("area").agg(F.min("station_id").alias("source"))
-    return network.travel_matrix(arrivals(t, 8 * 3600.0), nodes, origins)
-
-
 # --- texts and small rules ---------------------------------------------------
 
 

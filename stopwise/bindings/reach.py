@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
-from ..operators import graph, ordered
+from ..operators import ordered
 from ..plans import bikes, reach, schedule
 from ..queries import query, r6
-from ..shared import written
 from . import Tables
 from .realtime import MOVES, hours
 from .schedule import BUSIEST, KM
-from .space import AREAS, COSTS, PIP, areas, arrivals, nodes_of, walkways
+from .space import AREAS, PIP, areas
+from .town import arrivals
 
 POINTS = ", points AS (SELECT stop_idx AS point_id, lat + 0.0007::DOUBLE AS lat, lon + 0.0009::DOUBLE AS lon FROM stops)\n"
 
@@ -25,20 +25,6 @@ def points(stops: DataFrame) -> DataFrame:
     return stops.select(F.col("stop_idx").alias("point_id"), (F.col("lat") + 0.0007).alias("lat"), (F.col("lon") + 0.0009).alias("lon"))
 
 
-def walked(t: Tables, sources: DataFrame) -> DataFrame:
-    at = sources.select(F.col("stop_idx").alias("source"), (F.col("stop_idx") % 7 * 60).cast("double").alias("cost"), "lat", "lon")
-    return reach.walked_cells(at, t.stops.select("stop_idx", "lat", "lon"), 900.0)
-
-
-WALKED = f""", a AS (SELECT stop_idx AS source, (stop_idx % 7 * 60)::DOUBLE AS cost, lat, lon FROM stops), c AS (SELECT DISTINCT source, floor(n.lat / 0.002::DOUBLE) AS cy, floor(n.lon / 0.002::DOUBLE) AS cx FROM a JOIN stops n ON {KM('a', 'n')} <= 1.2 AND a.cost + {KM('a', 'n')} / 5 * 3600 <= 900)
-SELECT source, count(*) AS cells, round(count(*) * 0.0346::DOUBLE * 100) / 100 AS km2 FROM c GROUP BY 1"""
-
-
-@query("graph_03_walked_cells", WALKED)
-def _(t):
-    return walked(t, t.stops)
-
-
 def reached_cells(t: Tables, departs: list[float], cap: float = 1800.0) -> DataFrame:
     """point_id, departure, cells: the cells that each station reaches by the timetable and on foot, for each departure time."""
     at = t.stops.select("stop_idx", "lat", "lon")
@@ -83,20 +69,6 @@ def _(t):
     return reach.city_profile(hour_values(t)).withColumns(r6("value"))
 
 
-@query("graph_12_itineraries", COSTS.replace("{cap}", "3000") + """, pr AS (
-  SELECT a.source, e.dst AS node, min(e.src) AS pred FROM p a JOIN edges e ON e.src = a.node JOIN p b ON b.source = a.source AND b.node = e.dst
-  WHERE abs(a.cost + e.weight - b.cost) <= 1e-9 AND a.source <> e.dst GROUP BY 1, 2
-), it AS (
-  SELECT c.source, c.node AS goal, 0 AS leg, pr.node, pr.pred FROM p c JOIN pr ON pr.source = c.source AND pr.node = c.node WHERE c.cost > 0
-  UNION ALL SELECT it.source, it.goal, it.leg + 1, pr.node, pr.pred FROM it JOIN pr ON pr.source = it.source AND pr.node = it.pred WHERE it.pred <> it.source
-)
-SELECT source, goal, leg, node, pred, 'walk' AS kind FROM it""")
-def _(t):
-    edges = walkways(t)
-    costs = written(graph.shortest(edges, nodes_of(t.stations), 3000.0))
-    return reach.itineraries(reach.predecessors(edges, costs), costs.where("cost > 0").select("source", "node"))
-
-
 @query("agg_96_leg_summary", """SELECT l_orderkey AS id, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS walk_m, sum(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0 END) AS bike_m, greatest(count(*) FILTER (l_linenumber > 2) - 1, 0) AS transfers FROM lineitem GROUP BY 1""")
 def _(t):
     kind = F.when(F.col("l_linenumber") == 1, "walk").when(F.col("l_linenumber") == 2, "bike").otherwise("bus")

@@ -81,11 +81,6 @@ def _(t):
     return resolved(t.stops.select("name", (F.col("lat") + 0.001).alias("lat"), "lon"), t.stops)
 
 
-@query("gen_01_sample_grid", "SELECT r AS row, c AS col, round(45.75 + r * 0.005, 6) AS lat, round(15.85 + c * 0.005, 6) AS lon FROM (SELECT unnest(range(13)) AS r) CROSS JOIN (SELECT unnest(range(17)) AS c)")
-def _(t):
-    return spatial.sample_grid(45.75, 45.81, 15.85, 15.93, 0.005, t.spark).withColumns(r6("lat", "lon"))
-
-
 @query("agg_44_deserts", AREAS + f""", n AS (SELECT s.stop_idx, {PIP('s')} AS area_ord, (SELECT min({KM('s', 'b')}) FROM stations b) AS d FROM stops s)
 SELECT name AS area, count(*) AS points, round(count(*) FILTER (d > 0.5) / count(*) * 1000) / 10 AS over_500_pct, round(count(*) FILTER (d > 1.3) / count(*) * 1000) / 10 AS over_1300_pct, round(avg(d) * 1000)::BIGINT AS avg_m FROM n JOIN areas ON ord = area_ord GROUP BY 1""")
 def _(t):
@@ -144,68 +139,6 @@ def _(t):
 # --- graphs ------------------------------------------------------------------
 
 
-#: Stations are the nodes: walkways join those within 1.5 km.
-EDGES = f""", edges AS (
-  SELECT a.station_id AS src, b.station_id AS dst, floor({KM('a', 'b')} * 1000)::DOUBLE AS weight FROM stations a JOIN stations b ON a.station_id <> b.station_id AND {KM('a', 'b')} <= 1.5
-)
-"""
-
-COSTS = EDGES + """, p(source, node, cost) USING KEY (source, node) AS (
-  SELECT station_id, station_id, 0.0::DOUBLE FROM stations
-  UNION
-  SELECT n.source, n.node, n.cost FROM (SELECT p.source, e.dst AS node, min(p.cost + e.weight) AS cost FROM p JOIN edges e ON p.node = e.src GROUP BY 1, 2) n
-  LEFT JOIN recurring.p AS r ON r.source = n.source AND r.node = n.node WHERE n.cost <= {cap} AND (r.cost IS NULL OR n.cost < r.cost)
-)
-"""
-EVERY_COST = COSTS.replace("{cap}", "1e18")
-
-
-def walkways(t: Tables) -> DataFrame:
-    near = spatial.range_join(t.stations, t.stations, 1.5).where("station_id <> r_station_id")
-    return near.select(F.col("station_id").alias("src"), F.col("r_station_id").alias("dst"), F.floor(F.col("dist_km") * 1000).cast("double").alias("weight"))
-
-
-def nodes_of(stations: DataFrame) -> DataFrame:
-    return stations.select(F.col("station_id").alias("node"))
-
-
-@query("graph_11_shortest", COSTS.replace("{cap}", "3000") + "SELECT source, node, cost FROM p")
-def _(t):
-    return graph.shortest(walkways(t), nodes_of(t.stations), 3000.0)
-
-
-@query("graph_06_closeness", EVERY_COST + """SELECT source, count(*) AS reached, round(avg(cost), 6) AS mean_cost, max(cost) AS farthest,
-  round(count(*) / greatest(1, (SELECT count(*) FROM stations) - 1)::DOUBLE * count(*) / sum(cost) * 3600.0::DOUBLE, 6) AS closeness FROM p WHERE source <> node GROUP BY 1""")
-def _(t):
-    return graph.closeness(graph.shortest(walkways(t), nodes_of(t.stations)), t.stations.count()).withColumns(r6("mean_cost", "closeness"))
-
-
-@query("graph_06_path_summary", EVERY_COST + """, n AS (SELECT count(*) AS n FROM stations)
-SELECT max(cost) AS diameter, round(avg(cost), 6) AS mean_cost, round(count(*) / greatest(1, any_value(n) * (any_value(n) - 1))::DOUBLE * 100, 6) AS reachable_pct FROM p, n WHERE source <> node""")
-def _(t):
-    return graph.path_summary(graph.shortest(walkways(t), nodes_of(t.stations)), t.stations.count()).withColumns(r6("mean_cost", "reachable_pct"))
-
-
-@query("graph_05_betweenness")
-def _(t):
-    return graph.betweenness(walkways(t), nodes_of(t.stations))
-
-
-def arrivals(t: Tables, depart: float, cap: float = 2700.0) -> DataFrame:
-    """Seconds from each station to the stops, on foot to those within 400 m first."""
-    near = spatial.range_join(t.stations, t.stops, 0.4)
-    seeds = near.select(F.col("station_id").alias("source"), F.col("r_stop_idx").alias("node"), (F.col("dist_km") / 5.0 * 3600.0).alias("cost"))
-    leave = t.departures.groupBy("pattern_idx").agg(F.sort_array(F.collect_set(F.col("dep_sec").cast("double"))).alias("departures"))  # distinct seconds of a day
-    links = t.pattern_stops.join(leave, "pattern_idx").select("pattern_idx", "stop_pos", F.col("stop_idx").alias("node"), F.col("offset_sec").cast("double").alias("offset_sec"), "departures")
-    walks = spatial.range_join(t.stops, t.stops, 0.3).where("stop_idx <> r_stop_idx")
-    return graph.earliest_arrivals(seeds, links, walks.select(F.col("stop_idx").alias("src"), F.col("r_stop_idx").alias("dst"), (F.col("dist_km") / 5.0 * 3600.0).alias("walk_sec")), depart, cap)
-
-
-@query("graph_01_14_reach")
-def _(t):
-    return graph.reach_by_band(arrivals(t, 8 * 3600.0))
-
-
 @query("graph_15_from_ways", f""", w AS (SELECT pattern_idx AS way_id, stop_pos AS pos, stop_idx AS node FROM pattern_stops), l AS (SELECT a.node AS src, b.node AS dst FROM w a JOIN w b ON a.way_id = b.way_id AND b.pos = a.pos + 1), k AS (SELECT * FROM stops WHERE stop_idx % 5 <> 0), o AS (SELECT src, dst, {KM('x', 'y')} AS weight FROM l JOIN k x ON x.stop_idx = src JOIN k y ON y.stop_idx = dst)
 SELECT src, dst, round(min(weight), 6) AS weight FROM (SELECT src, dst, weight FROM o UNION ALL SELECT dst, src, weight FROM o) GROUP BY 1, 2""")
 def _(t):
