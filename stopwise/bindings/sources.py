@@ -101,31 +101,47 @@ def _(t):
     return gtfs.near_centre(read("stops"), read("stop_times"), read("trips"), 45.0, 15.9).groupBy("route_id").agg(F.count("*").alias("trips"))
 
 
-WAYS = """, tagged AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'footway' WHEN 1 THEN 'residential' WHEN 2 THEN 'motorway' END AS highway, CASE WHEN p_partkey % 5 = 0 THEN 'private' END AS access,
-  CASE p_partkey % 6 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' END AS oneway, CASE WHEN p_partkey % 7 = 0 THEN 'no' END AS bike, CASE WHEN p_partkey % 11 = 0 THEN 'roundabout' END AS junction FROM part)
-"""
+#: Values that ways have in turn, one list for each tag; None where the tag is missing.
+TAGS = {
+    "highway": (
+        "residential", "living_street", "unclassified", "tertiary", "tertiary_link", "secondary", "secondary_link", "primary", "primary_link", "pedestrian", "footway", "path",
+        "steps", "cycleway", "track", "service", "road", "motorway", "crossing", "corridor", None,
+    ),
+    "access": (None, "private", None, "no", "yes"), "foot": (None, None, "no", "yes"), "bicycle": (None, "yes", "no", "designated", None, "dismount", "private", "permissive", "destination", "official", ""),
+    "motorroad": (None, None, None, "yes", None, None, "no"), "segregated": (None, None, None, "yes", None, "no", None, None), "cycleway": (None, "track", None, "opposite", "lane", "opposite_lane", None, "opposite_track", None),
+    "oneway": (None, "yes", "-1", "no", "true", "1", None, "reversible"), "oneway:bicycle": (None, None, "no", None, "yes", None, None), "junction": (None, None, None, "roundabout", "circular"),
+}
+
+
+def _tag_sql(values: tuple, k: int) -> str:
+    return "(" + "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"])[1 + (p_partkey // {k}) % {len(values)}]"
+
+
+WAYS = ", tagged AS (SELECT p_partkey AS id, " + ", ".join(f"{_tag_sql(v, 1 + 3 * i)} AS {k.replace(':', '_')}" for i, (k, v) in enumerate(TAGS.items())) + " FROM part)\n"
 
 
 def tagged(t: Tables) -> DataFrame:
-    i = F.col("p_partkey")
-    pairs = {
-        "highway": F.when(i % 4 == 0, "footway").when(i % 4 == 1, "residential").when(i % 4 == 2, "motorway"), "access": F.when(i % 5 == 0, "private"),
-        "oneway": F.when(i % 6 == 0, "yes").when(i % 6 == 1, "-1"), "oneway:bicycle": F.when(i % 7 == 0, "no"), "junction": F.when(i % 11 == 0, "roundabout"),
-    }
-    return t.part.select(i.alias("id"), F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("tags"))
+    value = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (1 + F.floor(F.col("p_partkey") / k) % len(values)).cast("int"))
+    pairs = [x for i, (k, v) in enumerate(TAGS.items()) for x in (F.lit(k), value(v, 1 + 3 * i))]
+    return t.part.select(F.col("p_partkey").alias("id"), F.create_map(*pairs).alias("tags"))
 
 
-@query("src_07_walkable", WAYS + "SELECT id FROM tagged WHERE highway IN ('footway', 'residential') AND access IS NULL")
+@query("src_07_walkable", WAYS + """SELECT id FROM tagged WHERE highway IN ('residential', 'living_street', 'unclassified', 'tertiary', 'tertiary_link', 'secondary', 'secondary_link', 'primary', 'primary_link', 'pedestrian', 'footway', 'path', 'steps', 'cycleway', 'track', 'service')
+  AND access IS DISTINCT FROM 'private' AND foot IS DISTINCT FROM 'no'""")
 def _(t):
     return tagged(t).where(networks.walkable(F.col("tags"))).select("id")
 
 
-@query("src_08_bike_direction", WAYS + "SELECT id, CASE WHEN bike = 'no' THEN 'both' WHEN oneway = '-1' THEN 'backward' WHEN oneway = 'yes' OR junction IS NOT NULL THEN 'forward' ELSE 'both' END AS direction FROM tagged WHERE highway = 'residential' AND access IS NULL")
+@query("src_08_bike_direction", WAYS + """SELECT id, CASE WHEN oneway_bicycle = 'no' OR cycleway IN ('opposite', 'opposite_lane', 'opposite_track') THEN 'both' WHEN oneway = '-1' THEN 'backward' WHEN oneway IN ('yes', '1', 'true') OR junction = 'roundabout' THEN 'forward' ELSE 'both' END AS direction
+FROM tagged WHERE (highway IN ('residential', 'living_street', 'unclassified', 'tertiary', 'tertiary_link', 'secondary', 'secondary_link', 'primary', 'primary_link', 'cycleway', 'track', 'service', 'road')
+  OR (highway IN ('path', 'pedestrian', 'footway') AND (CASE WHEN coalesce(bicycle, '') <> '' THEN bicycle IN ('yes', 'designated', 'permissive', 'official', 'destination') ELSE highway = 'path' END OR coalesce(segregated = 'yes', false) OR coalesce(cycleway = 'track', false))))
+  AND coalesce(access, '') NOT IN ('private', 'no') AND coalesce(bicycle, '') NOT IN ('no', 'dismount') AND coalesce(motorroad, '') <> 'yes'""")
 def _(t):
     return tagged(t).where(networks.rideable(F.col("tags"))).select("id", networks.bike_direction(F.col("tags")).alias("direction"))
 
 
-@query("src_09_building_cells", ", m AS (SELECT pattern_idx, avg(lat) AS lat, avg(lon) AS lon FROM pattern_stops JOIN stops USING (stop_idx) WHERE pattern_idx % 3 <> 0 GROUP BY 1) SELECT DISTINCT floor(lat / 0.003)::BIGINT AS cy, floor(lon / 0.003)::BIGINT AS cx FROM m")
+@query("src_09_building_cells", """, m AS (SELECT pattern_idx, sum(round(lat * 10000000)::BIGINT)::BIGINT / (count(*) * 10000000::DOUBLE) AS lat, sum(round(lon * 10000000)::BIGINT)::BIGINT / (count(*) * 10000000::DOUBLE) AS lon
+  FROM pattern_stops JOIN stops USING (stop_idx) WHERE pattern_idx % 3 <> 0 GROUP BY 1) SELECT DISTINCT floor(lat / 0.003::DOUBLE)::BIGINT AS cy, floor(lon / 0.003::DOUBLE)::BIGINT AS cx FROM m""")
 def _(t):
     tags = F.create_map(F.lit("building"), F.when(F.col("pattern_idx") % 3 != 0, "yes"))
     ways = t.pattern_stops.groupBy(F.col("pattern_idx")).agg(F.collect_list("stop_idx").alias("refs")).select(F.col("pattern_idx").alias("way_id"), tags.alias("tags"), "refs")

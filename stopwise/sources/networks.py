@@ -10,34 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Way classes that one can walk.
-WALKABLE = ("footway", "path", "pedestrian", "steps", "living_street", "residential", "service", "track", "unclassified", "tertiary", "secondary", "primary", "cycleway", "crossing", "corridor")
-#: Way classes that one can ride.
-RIDEABLE = ("cycleway", "path", "living_street", "residential", "service", "track", "unclassified", "tertiary", "secondary", "primary")
+WALKABLE = (
+    "residential", "living_street", "unclassified", "tertiary", "tertiary_link", "secondary", "secondary_link", "primary", "primary_link",
+    "pedestrian", "footway", "path", "steps", "cycleway", "track", "service",
+)
+#: Way classes that one can ride, those that need a sign for it, and the values of the sign.
+RIDEABLE = (
+    "residential", "living_street", "unclassified", "tertiary", "tertiary_link", "secondary", "secondary_link", "primary", "primary_link",
+    "cycleway", "track", "service", "road", "path", "pedestrian", "footway",
+)
+SIGNED = ("path", "pedestrian", "footway")
+BIKE_SIGNS = ("yes", "designated", "permissive", "official", "destination")
+
+
+def _is(tag: Column, *values: str) -> Column:
+    """Whether a tag has one of the values; a missing tag has none."""
+    return F.coalesce(tag.isin(*values), F.lit(False))
 
 
 def walkable(tags: Column) -> Column:
     """Whether a way with these tags is open on foot."""
-    return F.coalesce(tags["highway"].isin(*WALKABLE), F.lit(False)) & (F.coalesce(tags["access"], F.lit("")) != "private") & (F.coalesce(tags["foot"], F.lit("")) != "no")
+    return _is(tags["highway"], *WALKABLE) & ~_is(tags["access"], "private") & ~_is(tags["foot"], "no")
 
 
 def rideable(tags: Column) -> Column:
-    """Whether a way with these tags is open by bike."""
-    return F.coalesce(tags["highway"].isin(*RIDEABLE), F.lit(False)) & (F.coalesce(tags["access"], F.lit("")) != "private") & (F.coalesce(tags["bicycle"], F.lit("")) != "no")
+    """Whether a way with these tags is open by bike; paths are, unless they name others, footways need a sign, a track or a lane of their own."""
+    bicycle = F.nullif(tags["bicycle"], F.lit(""))
+    signed = F.when(bicycle.isNotNull(), _is(bicycle, *BIKE_SIGNS)).otherwise(_is(tags["highway"], "path")) | _is(tags["segregated"], "yes") | _is(tags["cycleway"], "track")
+    shut = _is(tags["access"], "private", "no") | _is(tags["bicycle"], "no", "dismount") | _is(tags["motorroad"], "yes")
+    return _is(tags["highway"], *RIDEABLE) & ~shut & (~_is(tags["highway"], *SIGNED) | signed)
 
 
 def bike_direction(tags: Column) -> Column:
     """both, forward or backward, from one-way rules and their exceptions for bikes."""
-    one, bike = F.coalesce(tags["oneway"], F.lit("")), F.coalesce(tags["oneway:bicycle"], F.lit(""))
-    against = F.coalesce(tags["cycleway"], F.lit("")).startswith("opposite")
-    free = (bike == "no") | against
-    ring = F.coalesce(tags["junction"], F.lit("")) == "roundabout"
-    return F.when(free, "both").when(one == "-1", "backward").when(one.isin("yes", "true", "1") | ring, "forward").otherwise("both")
+    free = _is(tags["oneway:bicycle"], "no") | _is(tags["cycleway"], "opposite", "opposite_lane", "opposite_track")
+    one_way = _is(tags["oneway"], "yes", "1", "true") | _is(tags["junction"], "roundabout")
+    return F.when(free, "both").when(_is(tags["oneway"], "-1"), "backward").when(one_way, "forward").otherwise("both")
+
+
+#: Parts of a degree in which coordinates are summed, those of the map files.
+DEGREE = 10_000_000
 
 
 def building_cells(ways: DataFrame, nodes: DataFrame, cell: float = 0.003) -> DataFrame:
     """Cells that hold the middle of a building: distinct (cy, cx)."""
     parts = ways.where(F.col("tags")["building"].isNotNull()).select("way_id", F.explode("refs").alias("node"))
-    middle = parts.join(nodes, "node").groupBy("way_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    # sums of whole numbers, so the middle does not depend on their order
+    mean = lambda c: F.sum(F.round(F.col(c) * DEGREE).cast("long")) / (F.count(c) * F.lit(DEGREE))
+    middle = parts.join(nodes, "node").groupBy("way_id").agg(mean("lat").alias("lat"), mean("lon").alias("lon"))
     return middle.select(F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx")).distinct()
 
 
