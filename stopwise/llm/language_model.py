@@ -20,7 +20,8 @@ tasks, sums by shuffles.  The slots of hashed contexts grow with the training
 tokens, 1 for 8 tokens about, up to 2**``SLOT_BITS`` for each order, which bounds what
 is broadcast; tokens beyond ``BROADCAST_TOKENS`` reach their documents by a join.
 Initial weights and the refining map come from all training documents too, with
-each bit's own count taken out.
+each bit's own count taken out; they are learned in groups of texts that a hash
+of id and text makes, so scores do not depend on how the input is partitioned.
 
 Defined cases: null and empty texts are one end token; rows with a null id are
 scored like any other; repeated rows are scored each on its own; without training rows all tokens are unknown; an empty table
@@ -52,6 +53,8 @@ OWN_SLOTS = 4_096
 #: Tokens of a document's first block, and of its last ones: blocks double in size, and their rate falls with the root of it.
 BLOCK, LAST_BLOCK = 64, 1_024
 RATE = 0.02
+#: Training tokens of a group of texts that learns weights of its own, about, and parts of one in which their sums are counted.
+GROUP_TOKENS, WHOLE = 1_000_000, 1 << 20
 INPUTS = 5  # order 0, order 1, order 2, the document, bias
 DEPTHS, SEEN = 14, 4
 STEPS = 33
@@ -287,37 +290,45 @@ def _context_counts(rows: DataFrame, shared) -> list[np.ndarray]:
     return [both[a:b] for a, b in zip(begin, begin[1:], strict=False)]
 
 
-def _mixing(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+def _mixing(rows: DataFrame, shared, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and the refining map, learned in groups of texts and averaged.
+
+    A text's group and its place in it follow from a hash of its id and text, and
+    sums are of whole numbers, so neither the input's partitions nor their order
+    change the result.
+    """
     gates = DEPTHS * SEEN
+    shape = "n long, weights binary, table binary"
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         w, table, n = m.weights, np.zeros((gates * STEPS, 2)), 0
-        for batch in batches:
-            for first, last, row, h in tokens(batch.column(0)):
-                _, w, more = run(events(row, h, _symbols(h, m)[0], m.code, m.bits), last - first, m, w, True)
-                table, n = table + more, n + last - first
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(n * w.astype(np.float64)).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], names=["n", "weights", "table"])
+        for first, last, row, h in tokens(pa.Table.from_batches(list(batches)).sort_by("place").column("text")):
+            _, w, more = run(events(row, h, _symbols(h, m)[0], m.code, m.bits), last - first, m, w, True)
+            table, n = table + more, n + last - first
+        whole = lambda x: np.rint(x.astype(np.float64) * WHOLE).astype(np.int64).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([whole(n * w.astype(np.float64))], pa.binary()), pa.array([whole(table)], pa.binary())], names=["n", "weights", "table"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, w, table = 0, np.zeros(gates * INPUTS), np.zeros(gates * STEPS * 2)
+        n, w, table = 0, np.zeros(gates * INPUTS, np.int64), np.zeros(gates * STEPS * 2, np.int64)
         for batch in batches:
             n += sum(batch.column(1).to_pylist())
             for x in batch.column(2):
-                w += np.frombuffer(x.as_buffer())
+                w += np.frombuffer(x.as_buffer(), np.int64)
             for x in batch.column(3):
-                table += np.frombuffer(x.as_buffer())
+                table += np.frombuffer(x.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w.tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], names=["n", "weights", "table"])
 
-    # one row of fixed size from each task, added up in groups
-    shape = "n long, weights binary, table binary"
-    each = rows.select("text").mapInArrow(emit, shape).select((F.spark_partition_id() % _SLICES).alias("slice"), "n", "weights", "table")
-    parts = each.groupBy("slice").applyInArrow(add, shape).collect()
+    place = F.xxhash64("doc_id", "text")
+    group = F.pmod(place, F.lit(max(1, total // GROUP_TOKENS)))
+    each = rows.select("text", place.alias("place"), group.alias("group")).groupBy("group").applyInArrow(learn, shape)
+    # a row of fixed size from each group, added up in slices
+    parts = each.select((F.spark_partition_id() % _SLICES).alias("slice"), "n", "weights", "table").groupBy("slice").applyInArrow(add, shape).collect()
     n = sum(r["n"] for r in parts)
     if not n:
         return shared.value.weights, shared.value.refine
-    w = sum(np.frombuffer(r["weights"]) for r in parts).reshape(gates, INPUTS) / n
-    table = sum(np.frombuffer(r["table"]) for r in parts).reshape(-1, 2)
+    w = sum(np.frombuffer(r["weights"], np.int64) for r in parts).reshape(gates, INPUTS) / (n * WHOLE)
+    table = sum(np.frombuffer(r["table"], np.int64) for r in parts).reshape(-1, 2) / WHOLE
     prior = np.tile(squash(np.linspace(-14, 14, STEPS)), gates)
     return w.astype(np.float32), np.clip(stretch(np.clip((table[:, 1] + 20 * prior) / (table[:, 0] + 20), 1e-6, 1 - 1e-6)), -14, 14).astype(np.float32)
 
@@ -347,7 +358,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     m = Model(token, symbol, np.log10(n.astype(float) + 0.5), code, bits, [], start, np.tile(np.linspace(-14, 14, STEPS).astype(np.float32), gates))
     sc = docs.sparkSession.sparkContext
     m = m._replace(seen=_context_counts(learned, sc.broadcast(m)))
-    weights, refine = _mixing(learned, sc.broadcast(m))
+    weights, refine = _mixing(learned, sc.broadcast(m), total)
     shared = sc.broadcast(m._replace(weights=weights, refine=refine))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from stopwise.llm import language, language_model, quality, queries
@@ -120,7 +121,7 @@ def test_mixing_learns_from_every_training_row(spark, monkeypatch):
     import numpy as np
 
     seen, learn = [], language_model._mixing
-    monkeypatch.setattr(language_model, "_mixing", lambda rows, shared: (seen.append(rows.count()), learn(rows, shared))[1])
+    monkeypatch.setattr(language_model, "_mixing", lambda rows, *rest: (seen.append(rows.count()), learn(rows, *rest))[1])
     docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d"), (F.col("id") % 7).cast("string")).alias("text"))
     scored = language_model.score(docs, F.col("doc_id") % 9 != 0)
     assert scored.count() == 9_000 and seen == [8_000]
@@ -280,3 +281,17 @@ def test_quality_equals_plain_margins(spark):
         assert d == 61 or (scores[d] > 0.5) == (y == 1)
     assert scores[0] == scores[60]
     assert np.array_equal(model.weights, quality.fit(docs.repartition(7), labels).weights)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    """1, 4 and 16 partitions and shuffled rows, with one group of texts and with many."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    training = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    for size in (10**9, 2_000):
+        monkeypatch.setattr(language_model, "GROUP_TOKENS", size)
+        results = []
+        for parts in (docs.coalesce(1), docs.repartition(4), docs.orderBy(F.hash("text")).repartition(16, F.hash("doc_id"))):
+            results.append({r["doc_id"]: r["score"] for r in language_model.score(parts, training).collect()})
+        assert len(results[0]) == docs.count()
+        for other in results[1:]:
+            assert other == pytest.approx(results[0], rel=1e-12)
