@@ -6,19 +6,22 @@ only phrases that are the anchor in two places can lie in a recurring window.
 
 1. Anchors are counted over the corpus.  A bitmap of fixed size marks the
    recurring ones; a false mark costs time and nothing else.
-2. Around each marked anchor the words of its windows, as code points, go to the
-   shard of the anchor, with a 64-bit hash of each window's whole word sequence.
-3. Each shard compiles its recurring phrases into an Aho-Corasick automaton,
-   streams its texts through it to locate every occurrence, and confirms the
-   windows around them whose whole word sequence occurs twice or more.
-4. Places found are merged per document and the covered words removed.
+2. Recurring passages are confirmed.  Texts are dealt to splits by a hash, and
+   for each marked anchor a hash of the words around it, without its own, goes
+   with its split to the shard of the anchor; no place goes along.  Contexts seen
+   twice or more are confirmed.  Each split gets the phrases that its texts may
+   hold, with the confirmed words around them.
+3. Each split compiles its phrases into an Aho-Corasick automaton and streams its
+   whole texts through it.  The hits are the places of the phrases; where the
+   words left and right of a hit are a confirmed context, the passage lies there.
+   The phrase itself is not compared again: what the automaton does not find is
+   not removed, and a text that differs from a passage within a phrase alone
+   keeps it.
+4. The passages found in a text are merged and their words removed.
 
 Anchors that occur more than ``HOT`` times have no shard of their own: their
-windows are confirmed by a count that is combined before the shuffle.  If these
-anchors and their recurring windows are few (counted), the phrases become one
-automaton that is broadcast, and texts stream through it where they are; if not,
-each batch of texts has an automaton of its own phrases, and the windows found
-meet the recurring ones by a join.  Codes of 16 bits only locate phrases: windows
+contexts are confirmed by a count that is combined before the shuffle.  Words in
+the automaton are three symbols each, of 60 bits of their hash in all; contexts
 are equal if their 64-bit hashes over 64-bit word hashes are.
 
 Defined cases: null and empty texts have no words; occurrences in repeated rows
@@ -29,27 +32,21 @@ table gives an empty table; further columns are dropped; texts are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, buffers, column, span_hash, stash, words
+from .common import Words, bound_batches, buffers, mix, span_hash, stash, words
 
-#: Bits of the bitmap of recurring anchors: 16 MB, whatever the corpus.
-BITMAP_BITS = 27
+#: Bits of the bitmap of recurring anchors, for each of them, and at most: 16 MB.
+BITS_EACH, MOST_BITS = 16, 27
 _SLICE_BITS = 15
-#: Texts of a shard, about.
+#: Occurrences of a shard, about; bytes of text of a split, about.
 SHARD_TEXTS = 30_000
+SPLIT_BYTES = 1 << 20
 HOT = 5_000
-#: Recurring windows of frequent anchors that are broadcast, at most (8 bytes each); more meet their texts by a shuffle.
-BROADCAST_WINDOWS = 2_000_000
-#: Frequent anchors whose phrases make one broadcast automaton, at most (about 1 KB each when compiled).
-BROADCAST_PHRASES = 50_000
-
-_KEY = "doc_id long, version long"
 
 
 def _anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,88 +76,70 @@ def _anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _bitmap(recurring: DataFrame) -> np.ndarray:
+def _bitmap(recurring: DataFrame, bits: int) -> np.ndarray:
     """One bit for each recurring anchor; slices are put together in tasks, so at most the bitmap's size is collected."""
-    place = F.col("anchor").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    slices = recurring.select(F.shiftright(place, _SLICE_BITS).alias("slice"), place.bitwiseAND(F.lit((1 << _SLICE_BITS) - 1)).cast("int").alias("bit")).distinct().groupBy("slice").agg(F.collect_list("bit").alias("bits"))
+    low = min(bits, _SLICE_BITS)
+    place = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
+    slices = recurring.select(F.shiftright(place, low).alias("slice"), place.bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("bit")).distinct().groupBy("slice").agg(F.collect_list("bit").alias("bits"))
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
-            for bits in batch.column(1):
-                own = np.zeros(1 << _SLICE_BITS, bool)
-                own[np.asarray(bits.values)] = True
-                packed.append(np.packbits(own, bitorder="little").tobytes())
+            for own in batch.column(1):
+                marked = np.zeros(1 << low, bool)
+                marked[np.asarray(own.values)] = True
+                packed.append(np.packbits(marked, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["slice", "packed"])
 
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    size = 1 << (_SLICE_BITS - 3)
+    out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (low - 3)
     for r in slices.mapInArrow(to_bytes, "slice long, packed binary").collect():
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["packed"], np.uint8)
     return out
 
 
-SEGMENT = f"{_KEY}, anchor long, at int, offset int, codes binary, hashes binary"
+def _context(h: np.ndarray, at: np.ndarray, gram: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of the left words before and the right words after the phrase at each place."""
+    before, after = span_hash(h, at - left, at), span_hash(h, at + gram, at + gram + right)
+    return mix(before ^ mix(after + (left * 1024 + right).astype(np.uint64)))
+
+
+SEGMENT = "split int, anchor long, phrase binary, last int, contexts binary, whole long"
 
 
-def _segments(docs: DataFrame, bitmap: np.ndarray, window: int, gram: int) -> DataFrame:
-    """The words of the windows of each marked anchor: first word's place in the document, anchor's offset, 2 bytes a word, 8 bytes a window."""
+def _segments(docs: DataFrame, bitmap: np.ndarray, bits: int, window: int, gram: int) -> DataFrame:
+    """For each marked anchor its phrase (8 bytes a word), the context of each of its windows, of the whole they make, and how many words the first window has before it."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    rest = window - gram
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        marks = shared.value
         for batch in batches:
-            for w in words(batch.column(2), lower=False):
+            for w in words(batch.column(1), lower=False):
                 at, anchor, lo, hi = _anchors(w, window, gram)
-                place = (anchor & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                at, anchor, lo, hi = at[keep], anchor[keep], lo[keep], hi[keep] + window
-                codes = (w.hash >> np.uint64(48)).astype("<u2").tobytes()
-                start = np.arange(max(0, len(w.hash) - window + 1))
-                whole = span_hash(w.hash, start, start + window).astype("<u8").tobytes()
-                row = pa.array(w.row[lo] + w.first)
-                spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                place = (anchor & np.uint64((1 << bits) - 1)).astype(np.int64)
+                keep = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                at, anchor, lo, hi = at[keep], anchor[keep], lo[keep], hi[keep]
+                n = hi - lo + 1
+                each = np.repeat(at, n)
+                left = each - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
+                contexts = _context(w.hash, each, gram, left, rest - left).astype("<u8").tobytes()
+                whole = _context(w.hash, at, gram, at - lo, rest - (at - hi))
+                phrases = w.hash.astype("<u8").tobytes()
+                ends = np.cumsum(n).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(row), batch.column(1).take(row), pa.array(anchor.view(np.int64)), pa.array(lo - w.bounds[w.row[lo]], pa.int32()), pa.array(at - lo, pa.int32()),
-                        pa.array([codes[2 * a : 2 * b] for a, b in spans], pa.binary()), pa.array([whole[8 * a : 8 * (b - window + 1)] for a, b in spans], pa.binary()),
+                        batch.column(0).take(pa.array(w.row[lo] + w.first)), pa.array(anchor.view(np.int64)), pa.array([phrases[8 * a : 8 * (a + gram)] for a in at.tolist()], pa.binary()), pa.array(at - lo, pa.int32()),
+                        pa.array([contexts[8 * a : 8 * b] for a, b in zip([0, *ends[:-1]] if ends else [], ends, strict=True)], pa.binary()), pa.array(whole.view(np.int64)),
                     ],
-                    names=["doc_id", "version", "anchor", "at", "offset", "codes", "hashes"],
+                    names=["split", "anchor", "phrase", "last", "contexts", "whole"],
                 )
 
-    return docs.select("doc_id", "version", "text").mapInArrow(emit, SEGMENT)
-
-
-class Segments(NamedTuple):
-    """A part of the segments, from the Arrow buffers: no Python object per row or word."""
-
-    doc_id: pa.Array
-    version: np.ndarray
-    anchor: np.ndarray
-    at: np.ndarray
-    begin: np.ndarray  # of each anchor in codes
-    codes: np.ndarray
-    ends: np.ndarray  # where each segment's codes begin; one more at the end
-    hashes: np.ndarray
-    firsts: np.ndarray  # where each segment's window hashes begin; one more at the end
+    return docs.select("split", "text").mapInArrow(emit, SEGMENT)
 
-    @classmethod
-    def of(cls, part: pa.RecordBatch | pa.Table) -> Segments:
-        column = {name: x.combine_chunks() if isinstance(x := part.column(name), pa.ChunkedArray) else x for name in part.schema.names}
-        codes, ends = _blobs(column["codes"], 2)
-        hashes, firsts = _blobs(column["hashes"], 8)
-        number = lambda name, kind: column[name].to_numpy(zero_copy_only=False).astype(kind)
-        return cls(column["doc_id"], number("version", np.int64), number("anchor", np.int64), number("at", np.int64), ends[:-1] + number("offset", np.int64), codes.view("<u2").astype(np.uint32), ends, hashes.view("<u8"), firsts)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, window's place in it) of every window of every segment."""
-        each = np.diff(self.firsts)
-        return np.repeat(np.arange(len(each)), each), np.arange(len(self.hashes)) - np.repeat(self.firsts[:-1], each)
-
-
-def _blobs(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _blobs(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column, one value after another, and where each begins, in units of width (one more at the end)."""
-    column = column.cast(pa.large_binary())
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -169,159 +148,162 @@ def _blobs(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(held[offsets[0] : offsets[-1]]), (offsets - offsets[0]) // width
 
 
-def _automaton(phrases: list[str]):
+def _numbers(part: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return part.column(name).to_numpy().astype(np.int64)
+
+
+PASSAGES = "split int, phrase binary, left array<int>, right array<int>, context array<long>"
+
+
+def _passages(split: np.ndarray, phrase: pa.Array, record: np.ndarray) -> pa.RecordBatch:
+    """One row for each split and phrase; record: number of the split and phrase, left, right, context, distinct and in order."""
+    which, first = np.unique(record[0], return_index=True)
+    cuts = pa.array(np.append(first, len(record[0])).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(kind))) for x, kind in zip(record[1:], (np.int32, np.int32, np.int64), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(split[which].astype(np.int32)), phrase.take(pa.array(which)), *lists], names=["split", "phrase", "left", "right", "context"])
+
+
+def _symbols(h: np.ndarray) -> str:
+    """Three symbols for each word hash, of 20 bits each."""
+    parts = np.stack([(h >> np.uint64(shift)) & np.uint64(0xFFFFF) for shift in (44, 24, 4)], axis=1)
+    return (parts.astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
+
+
+def automaton(phrases: list[str]):
     """Aho-Corasick automaton of the phrases by their place in the list; None without phrases."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
+    made = ahocorasick.Automaton()
     for k, phrase in enumerate(phrases):
-        automaton.add_word(phrase, k)
-    if len(automaton):
-        automaton.make_automaton()
-    return automaton if len(automaton) else None
-
-
-def _as_text(codes: np.ndarray) -> str:
-    return (codes.astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
-
-
-def _located(automaton, x: Segments, number: np.ndarray, gram: int) -> np.ndarray:
-    """Which segments hold, at their anchor's place, the automaton's phrase of their number."""
-    found = np.zeros(len(x.begin), bool)
-    if automaton is not None:
-        hits = np.array([(end - gram + 1, k) for end, k in automaton.iter(_as_text(x.codes))], np.int64).reshape(-1, 2)
-        # a hit counts where it is the anchor of its segment, not across two segments
-        own = np.searchsorted(x.ends, hits[:, 0], "right") - 1
-        good = (x.begin[own] == hits[:, 0]) & (number[own] == hits[:, 1])
-        found[own[good]] = True
-    return found
-
-
-def _located_in(x: Segments, gram: int, least: int = 2) -> np.ndarray:
-    """Which segments hold a phrase that is the anchor of ``least`` or more of the part, by an automaton of these phrases."""
-    kinds, first, number, n = np.unique(x.anchor, return_index=True, return_inverse=True, return_counts=True)
-    often = np.flatnonzero(n >= least)
-    place = np.full(len(kinds), -1)
-    place[often] = np.arange(len(often))
-    phrases = [_as_text(x.codes[x.begin[k] : x.begin[k] + gram]) for k in first[often].tolist()]
-    return _located(_automaton(phrases), x, place[number], gram)
-
-
-RANGES = f"{_KEY}, lo array<long>, hi array<long>"
-
-
-def _ranges(x: Segments, segment: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
-    """Confirmed windows as word ranges, merged, one row for each document."""
-    rows = np.unique(segment)
-    null = np.asarray(x.doc_id.is_null())[rows]
-    ids = np.asarray(x.doc_id.fill_null(0)).astype(np.int64)[rows]
-    order = np.lexsort((x.version[rows], ids, null))
-    new = np.ones(len(rows), bool)
-    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(x.version[rows][order]) != 0) | (null[order][1:] != null[order][:-1])
-    doc = np.empty(len(rows), np.int64)
-    doc[order] = np.cumsum(new) - 1
-    lo = np.sort((doc[np.searchsorted(rows, segment)] << 40) + x.at[segment] + place)
-    starts = np.flatnonzero(np.concatenate([[True], lo[1:] > lo[:-1] + window])) if len(lo) else np.zeros(0, np.int64)
-    last = np.concatenate([starts[1:], [len(lo)]])[: len(starts)] - 1
-    cuts = pa.array(np.searchsorted(lo[starts] >> 40, np.arange(int(new.sum()) + 1)).astype(np.int32))
-    spans = [pa.ListArray.from_arrays(cuts, pa.array(y & ((1 << 40) - 1))) for y in (lo[starts], lo[last] + window)]
-    which = rows[order][new]
-    return pa.RecordBatch.from_arrays([x.doc_id.take(pa.array(which)), pa.array(x.version[which]), *spans], names=["doc_id", "version", "lo", "hi"])
-
-
-def recurring_ranges(docs: DataFrame, window: int = 35, gram: int = 12, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, version, lo, hi): word ranges of docs (doc_id, version, text) that lie in recurring windows, as arrays; a document may have several rows."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+        made.add_word(phrase, k)
+    if len(made):
+        made.make_automaton()
+    return made if len(made) else None
+
+
+def hits(made, w: Words, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, phrase) of each place in the texts of a chunk where the automaton finds a phrase."""
+    size = 3 * gram
+    found = np.array([(end - size + 1, k) for end, k in made.iter(_symbols(w.hash))], np.int64).reshape(-1, 2) if made is not None else np.zeros((0, 2), np.int64)
+    found = found[found[:, 0] % 3 == 0]
+    at, phrase = found[:, 0] // 3, found[:, 1]
+    within = w.row[at] == w.row[at + gram - 1]
+    return at[within], phrase[within]
+
+
+def _covered(w: Words, at: np.ndarray, phrase: np.ndarray, gram: int, left: np.ndarray, right: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which words lie in a passage: the words around a hit are one of its phrase's contexts."""
+    n = first[phrase + 1] - first[phrase]
+    each = np.repeat(np.arange(len(at)), n)
+    one = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[phrase], n)
+    place, l, r = at[each], left[one], right[one]
+    begin, end = w.bounds[w.row[place]], w.bounds[w.row[place] + 1]
+    inside = (place - l >= begin) & (place + gram + r <= end)
+    place, l, r, one = place[inside], l[inside], r[inside], one[inside]
+    same = _context(w.hash, place, gram, l, r) == context[one]
+    edge = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(edge, (place - l)[same], 1)
+    np.add.at(edge, (place + gram + r)[same], -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def passages(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """The phrases of confirmed passages that texts of each split (docs: split, text) may hold, with the words around them."""
+    bound_batches(docs.sparkSession)
+    rest = window - gram
     counts = stash(_anchor_counts(docs, window, gram))
-    n = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.lit(0)).alias("texts")).first()["texts"]
+    few = F.when(F.col("n") <= HOT, F.col("n"))
+    n, kinds = counts.agg(F.coalesce(F.sum(few), F.lit(0)), F.count("*")).first()
+    bits = int(np.clip(np.ceil(np.log2(max(1, kinds) * BITS_EACH)), 10, MOST_BITS))
     hot = counts.where(F.col("n") > HOT).select("anchor", F.lit(True).alias("often"))
-    segments = _segments(docs, _bitmap(counts), window, gram)
+    segments = _segments(docs, _bitmap(counts, bits), bits, window, gram)
 
     def confirm(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = Segments.of(pa.Table.from_batches(list(batches)))
-        segment, place = x.windows()
-        keep = _located_in(x, gram)[segment]
-        segment, place, h = segment[keep], place[keep], x.hashes[keep]
-        _, number, times = np.unique(h, return_inverse=True, return_counts=True)
-        twice = times[number] > 1
-        yield _ranges(x, segment[twice], place[twice], window)
+        x = pa.Table.from_batches(list(batches))
+        split, anchor, last, whole = (_numbers(x, c) for c in ("split", "anchor", "last", "whole"))
+        data, firsts = _blobs(x.column("contexts"), 8)
+        context, size = data.view("<i8"), np.diff(firsts)
+        own = np.repeat(np.arange(len(size)), size)
+        _, kind, times = np.unique(mix(anchor.view(np.uint64)[own] ^ mix(context.view(np.uint64))), return_inverse=True, return_counts=True)
+        twice = times[kind] > 1
+        all_ = np.bincount(own, ~twice, len(size)) == 0
+        some = np.flatnonzero(twice & ~all_[own])
+        left = last[own[some]] - (some - firsts[own[some]])
+        each = np.flatnonzero(all_)
+        occurrence = np.concatenate([each, own[some]])
+        record = [np.concatenate([last[each], left]), np.concatenate([rest - (last[each] - size[each] + 1), rest - left]), np.concatenate([whole[each], context[some]])]
+        # the splits and phrases, and their distinct records
+        order = np.lexsort((anchor, split))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (split[order][1:] != split[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        table = [number[occurrence], *record]
+        order = np.lexsort(table[::-1])
+        table = [c[order] for c in table]
+        keep = np.ones(len(order), bool)
+        keep[1:] = np.any([c[1:] != c[:-1] for c in table], axis=0)
+        yield _passages(split, x.column("phrase").combine_chunks(), np.array([c[keep] for c in table]))
 
     shards = max(1, -(-n // SHARD_TEXTS))
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
     if hot.isEmpty():
-        return segments.select("*", shard).groupBy("shard").applyInArrow(confirm, RANGES)
-
+        return segments.select("*", shard).groupBy("shard").applyInArrow(confirm, PASSAGES)
     segments = stash(segments.join(hot, "anchor", "left"))
-    common = segments.where("often is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInArrow(confirm, RANGES)
+    common = segments.where("often is null").select(*segments.columns[:-1], shard).groupBy("shard").applyInArrow(confirm, PASSAGES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, firsts = _blobs(batch.column("hashes"), 8)
-            h, anchor = h.view("<i8"), np.repeat(np.asarray(batch.column("anchor")), np.diff(firsts))
-            order = np.lexsort((h, anchor))
-            h, anchor = h[order], anchor[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1])])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([new, [len(h)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(h[new]), pa.array(n[: len(new)])], names=["anchor", "h", "n"])
+            data, firsts = _blobs(batch.column("contexts"), 8)
+            own = np.repeat(np.arange(batch.num_rows), np.diff(firsts))
+            split, anchor, last = (_numbers(batch, c) for c in ("split", "anchor", "last"))
+            left = last[own] - (np.arange(len(own)) - firsts[own])
+            table = [split[own], anchor[own], left, data.view("<i8")]
+            order = np.lexsort(table)
+            table = [c[order] for c in table]
+            new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in table], axis=0)])) if len(order) else order
+            n = np.diff(np.concatenate([new, [len(order)]])) if len(order) else order
+            columns = [pa.array(c[new], kind) for c, kind in zip(table, (pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["split", "anchor", "left", "context", "n"])
 
     frequent = segments.where("often is not null")
-    twice = stash(frequent.select("anchor", "hashes").mapInArrow(emit, "anchor long, h long, n long").groupBy("anchor", "h").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
-    if twice.count() <= broadcast_windows and hot.count() <= BROADCAST_PHRASES:
-        phrase = F.expr(f"substring(codes, 2 * offset + 1, {2 * gram})")
-        phrases = frequent.groupBy("anchor").agg(F.min(phrase).alias("phrase")).orderBy("anchor").toArrow()  # one for each frequent anchor
-        codes = [_as_text(np.frombuffer(x.as_buffer(), "<u2")) for c in phrases.column("phrase").chunks for x in c]
-        shared = spark.sparkContext.broadcast((phrases.column("anchor").to_numpy(), codes, np.unique(column(twice.select("h")).view(np.uint64))))
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            anchors, phrases, known = shared.value
-            automaton = _automaton(phrases)
-            for batch in batches:
-                x = Segments.of(batch)
-                number = np.minimum(np.searchsorted(anchors, x.anchor), max(0, len(anchors) - 1))
-                number = np.where(anchors[number] == x.anchor, number, -1) if len(anchors) else np.full(len(x.anchor), -1)
-                segment, place = x.windows()
-                good = _located(automaton, x, number, gram)[segment]
-                good[good] = known[np.minimum(np.searchsorted(known, x.hashes[good]), len(known) - 1)] == x.hashes[good] if len(known) else False
-                yield _ranges(x, segment[good], place[good], window)
-
-        return common.unionByName(frequent.drop("often").mapInArrow(stream, RANGES))
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = Segments.of(batch)
-            segment, place = x.windows()
-            keep = _located_in(x, gram, 1)[segment]
-            own, h = segment[keep], x.hashes[keep].view("<i8")
-            yield pa.RecordBatch.from_arrays([x.doc_id.take(pa.array(own)), *map(pa.array, (x.version[own], x.anchor[own], h, x.at[own] + place[keep]))], names=["doc_id", "version", "anchor", "h", "lo"])
+    seen = stash(frequent.select("split", "anchor", "last", "contexts").mapInArrow(emit, "split int, anchor long, left int, context long, n long"))
+    twice = seen.groupBy("anchor", "left", "context").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    phrases = frequent.groupBy("anchor").agg(F.min("phrase").alias("phrase"))
+    kept = seen.drop("n").join(twice, ["anchor", "left", "context"], "left_semi").distinct()
+    listed = kept.groupBy("split", "anchor").agg(F.collect_list(F.struct("left", "context")).alias("all")).join(phrases, "anchor")
+    right = F.transform("all", lambda x: F.lit(rest) - x["left"])
+    return common.unionByName(listed.select("split", "phrase", F.col("all.left").alias("left"), right.alias("right"), F.col("all.context").alias("context")))
 
-    windows_ = frequent.drop("often").mapInArrow(locate, f"{_KEY}, anchor long, h long, lo long")
-    located = windows_.join(twice, ["anchor", "h"], "left_semi").select("doc_id", "version", F.array("lo").alias("lo"), F.array(F.col("lo") + window).alias("hi"))
-    return common.unionByName(located)
 
+CUT = "doc_id long, n_words long, n_removed long, kept string"
 
-def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words of each text outside windows that recur, joined by a space."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
-    ranges = recurring_ranges(plain, window, gram)
-    per_doc = ranges.groupBy("doc_id", "version").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("lo", "hi")))).alias("ranges")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    joined = plain.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("version").eqNullSafe(F.col("_version")), "left")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = buffers(batch.column(1))
-            raw, totals, gone, kept = data.tobytes(), [], [], []
-            for i, own in enumerate(batch.column(2)):
-                w = raw[offsets[i] : offsets[i + 1]].split()
-                out, at = [], 0
-                for r in own.values if own.is_valid else ():
-                    lo, hi = r["lo"].as_py(), r["hi"].as_py()
-                    out += w[at : max(at, lo)]
-                    at = max(at, hi)
-                out += w[at:]
-                totals.append(len(w))
-                gone.append(len(w) - len(out))
-                kept.append(b" ".join(out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept: the words of each text outside windows that recur, joined by a space."""
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    plain = plain.withColumn("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, size // SPLIT_BYTES))).cast("int"))
+    found = passages(plain, window, gram)
+
+    def cut(texts: pa.Table, known: pa.Table) -> pa.Table:
+        data, _ = _blobs(known.column("phrase"), 8)
+        made = automaton([_symbols(h) for h in data.view("<u8").reshape(-1, gram)])
+        lists = [known.column(c).combine_chunks() for c in ("left", "right", "context")]
+        left, right, context = (np.asarray(x.flatten()).astype(np.int64) for x in lists)
+        first = np.concatenate([[0], np.cumsum(np.asarray(lists[0].value_lengths()))]).astype(np.int64)
+        column = texts.column("text").combine_chunks()
+        offsets, raw = buffers(column)
+        raw, totals, gone, kept = raw.tobytes(), [], [], []
+        for w in words(column, lower=False):
+            covered = _covered(w, *hits(made, w, gram), gram, left, right, context.view(np.uint64), first)
+            removed = np.concatenate([[0], np.cumsum(covered)])
+            removed = removed[w.bounds[1:]] - removed[w.bounds[:-1]]
+            for i, n in enumerate(removed.tolist()):
+                own = raw[offsets[w.first + i] : offsets[w.first + i + 1]].split()
+                totals.append(len(own))
+                gone.append(n)
+                kept.append(b" ".join([x for x, c in zip(own, covered[w.bounds[i] : w.bounds[i + 1]].tolist(), strict=True) if not c] if n else own))
+        return pa.table([texts.column("doc_id"), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return plain.groupBy("split").cogroup(found.groupBy("split")).applyInArrow(cut, CUT).select("doc_id", "n_words", "n_removed", "kept")

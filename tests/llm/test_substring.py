@@ -37,10 +37,10 @@ def corpus(n=60, seed=3):
     return [*texts, texts[5], texts[5], None, "", " \t ", loop, "Ünï " + texts[7], "x " * 80, "longword" * 3000]
 
 
-@pytest.mark.parametrize("hot,broadcast", [(5000, 10**6), (8, 10**6), (8, 0)])
-def test_equals_brute_force(spark, monkeypatch, hot, broadcast):
+@pytest.mark.parametrize("hot,split", [(5000, 1 << 20), (8, 1 << 20), (8, 2_000), (5000, 2_000)])
+def test_equals_brute_force(spark, monkeypatch, hot, split):
     monkeypatch.setattr(substring, "HOT", hot)
-    monkeypatch.setattr(substring.recurring_ranges, "__defaults__", (35, 12, broadcast))
+    monkeypatch.setattr(substring, "SPLIT_BYTES", split)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, lo int, ranges string")
     rows = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
@@ -86,3 +86,30 @@ def test_batches_without_recurring_windows(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id")
     rows = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
     assert rows == dict(enumerate(gone for _, gone, _ in brute(texts, 35)))
+
+
+def one_word_off():
+    """Two equal texts, and for every place a text that differs from them in that word alone."""
+    passage = [f"w{i}" for i in range(35)]
+    texts = [passage, passage] + [[*passage[:i], f"z{i}", *passage[i + 1 :]] for i in range(35)]
+    return [" ".join(t) for t in texts]
+
+
+def test_the_automaton_locates_the_passages(spark, monkeypatch):
+    """A text that differs within the phrase alone is kept; if any place counted as a hit, it would go."""
+    texts = one_word_off()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = lambda: {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+    want = dict(enumerate(gone for _, gone, _ in brute(texts, 35)))
+    assert removed() == want and sum(want.values()) == 70
+
+    import numpy as np
+
+    def everywhere(made, w, gram):
+        at = np.flatnonzero(w.row[: len(w.row) - gram + 1] == w.row[gram - 1 :])
+        return np.repeat(at, len(made)), np.tile(np.arange(len(made)), len(at))
+
+    monkeypatch.setattr(substring, "hits", everywhere)
+    assert sum(removed().values()) == 70 + 8 * 35  # the texts that differ in a word of the phrase
+    monkeypatch.setattr(substring, "hits", lambda made, w, gram: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert sum(removed().values()) == 0
