@@ -51,22 +51,17 @@ def test_snapshots_batch_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
-def test_bike_stream_equals_batch(spark, tmp_path):
-    from stopwise.plans import bikes
-
-    schema = "poll_ord long, poll_ts long, bike_id string, station_id string"
-    rows = [(p, 60 * p, f"b{b}", f"S{(b + p // 4) % 3}") for p in range(12) for b in range(5) if (p * 7 + b * 3) % 5]
-    df = spark.createDataFrame(rows, schema)
-    df.where("poll_ord < 6").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    for cut in ("poll_ord < 6", "poll_ord >= 6"):
-        if cut != "poll_ord < 6":
-            df.where(cut).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        polls = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        live.bike_flow(polls, str(tmp_path / "polls"), str(tmp_path / "flow"), str(tmp_path / "check")).awaitTermination(180)
-    out = spark.read.parquet(str(tmp_path / "flow"))
-    last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
-    want = bikes.minute_flow(df, bikes.with_bulk(bikes.movements(df)))
-    assert sorted(map(tuple, last.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+def test_snapshot_stream_keeps_the_latest_poll(spark, tmp_path):
+    from stopwise.streaming.versions import VersionedTable
+
+    rows = [(60 * p, f"t{k}", k) for p in range(4) for k in range(3)]
+    df = spark.createDataFrame(rows, "ts long, trip string, delay int")
+    for lo, hi in ((0, 120), (120, 240)):
+        df.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
+        live.current_snapshot(stream, str(tmp_path / "now"), str(tmp_path / "check")).awaitTermination(120)
+        table = VersionedTable(spark, str(tmp_path / "now"))
+        assert {r["ts"] for r in table.read().collect()} == {hi - 60} and table.read().count() == 3
 
 
 def test_notices_and_documents(spark, tmp_path):
