@@ -187,6 +187,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.StructArray.from_arrays([pa.array(np.array(m.languages, object)[best], pa.string()), pa.array(share)], names=["lang_pred", "score"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    told = docs.withColumn("_told", decode(F.col(text)))
-    score = F.when(letters, F.col("_told.score")).otherwise(0.0)
-    return told.select(*others, F.when(letters, F.col("_told.lang_pred")).otherwise("und").alias("lang_pred"), score.alias("score"), (score < AMBIGUOUS).alias("ambiguous"))
+    told = docs.select(F.struct(*docs.columns).alias("row"), letters.alias("letters"), decode(F.col(text)).alias("told"))
+    score = F.when(F.col("letters"), F.col("told.score")).otherwise(0.0)
+    return told.select(*[F.col("row").getField(c).alias(c) for c in others], F.when(F.col("letters"), F.col("told.lang_pred")).otherwise("und").alias("lang_pred"), score.alias("score"), (score < AMBIGUOUS).alias("ambiguous"))

@@ -154,7 +154,7 @@ def _spans(rule: Rule, place: int) -> Column:
 
 def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns of keep, and found: array of (start, kind, end) by start, then kind; offsets in code points, end exclusive."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c) for c in keep])
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.struct(*keep) if keep else F.lit(0)).alias("kept"))
     hits = stash(candidates(plain, rules).select(F.col("doc_id").alias("_id"), "rules"))
     few = hits.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
     joined = plain.join(F.broadcast(hits) if few else hits, plain["doc_id"].eqNullSafe(hits["_id"]), "left").drop("_id")
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text
             F.when(has, F.split("text", r.pattern, -1)).otherwise(none).alias(f"_between{i}"),
         ]
     found = F.array_sort(F.concat(*[_spans(r, i) for i, r in enumerate(rules)]))
-    return matched.select("*", *parts).select("doc_id", "text", *keep, found.alias("found"))
+    return matched.select("*", *parts).select("doc_id", "text", *[F.col("kept").getField(c).alias(c) for c in keep], found.alias("found"))
 
 
 def listing(found: Column, rules=RULES) -> Column:

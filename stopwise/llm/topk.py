@@ -31,6 +31,8 @@ from .common import stash
 BLOCK_ROWS = 256
 GROUP_ROWS = 16_384
 QUERY_ROWS = 1_024
+#: Components are held to this number; scores to those of a long, but for the least, which stands for no row.
+LARGEST, LEAST_SCORE, MOST_SCORE = 2**62, -(2**63) + 1, 2**63 - 1
 
 
 def _packed(rows: DataFrame, parts: int, most: int, dims: int) -> DataFrame:
@@ -51,7 +53,7 @@ def _packed(rows: DataFrame, parts: int, most: int, dims: int) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             size = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            flat = np.floor(256 * np.asarray(lists.flatten(), np.float64))
+            flat = np.clip(np.floor(256 * np.asarray(lists.flatten(), np.float64)), -LARGEST, LARGEST)
             matrix = np.zeros((len(size), dims), np.int64)
             row = np.repeat(np.arange(len(size)), size)
             matrix[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
@@ -62,10 +64,17 @@ def _packed(rows: DataFrame, parts: int, most: int, dims: int) -> DataFrame:
     return rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(pack, "ids binary, vectors binary")
 
 
+def _nearest_long(x: np.ndarray) -> np.ndarray:
+    """Doubles as longs, those beyond as the nearest one."""
+    out = np.clip(x, -(2.0**62), 2.0**62).astype(np.int64)
+    return np.where(np.abs(x) <= 2.0**62, out, np.where(x > 0, MOST_SCORE, LEAST_SCORE))
+
+
 def best_in_group(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query's place, id, score) of the best k of each query among these rows, and how many blocks were scored."""
-    exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) < 2**53
-    kind = np.float64 if exact else np.int64
+    most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
+    exact, fits = most < 2**53, most < 2**62
+    kind = np.float64 if exact or not fits else np.int64
     vectors, queries = vectors.astype(kind), queries.astype(kind)
     n, q = len(ids), len(query_ids)
     starts = np.arange(0, n, BLOCK_ROWS)
@@ -76,13 +85,15 @@ def best_in_group(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
     scores, found, scored = np.full((q, k), nothing, np.int64), np.full((q, k), np.iinfo(np.int64).max, np.int64), 0
     for turn in range(len(starts)):
         block = order[:, turn]
-        active = bounds[np.arange(q), block] >= scores[:, -1]  # equal: the block may hold a smaller id
+        own = bounds[np.arange(q), block]
+        active = (own if fits else _nearest_long(own)) >= scores[:, -1]  # equal: the block may hold a smaller id
         if not active.any():
             break
         for b in np.unique(block[active]):
             who = np.flatnonzero(active & (block == b))
             part = slice(starts[b], starts[b] + BLOCK_ROWS)
-            s = (queries[who] @ vectors[part].T).astype(np.int64)
+            s = queries[who] @ vectors[part].T
+            s = s.astype(np.int64) if fits else _nearest_long(s)
             s[query_ids[who][:, None] == ids[part][None, :]] = nothing
             top = np.argsort(-s.astype(np.float64) if exact else ~s, axis=1, kind="stable")[:, :k]  # ids ascend within a block
             more = np.take_along_axis(s, top, 1)

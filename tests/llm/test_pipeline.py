@@ -2,6 +2,7 @@ import re
 import zlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from stopwise.llm import quality
 from test_decontaminate import brute as leaks
 from test_jaccard import brute as groups
@@ -69,3 +70,15 @@ def test_near_duplicates_by_id_and_text(spark):
     out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == sorted([(1, a), (1, b), (4, ""), (5, "short text")])
+
+
+def test_further_columns_of_any_name(spark):
+    """Columns that stages use themselves pass all but the last stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["_id", "_key", "rules", "_told", "kept", "row", "found", "score"]
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        assert out.select(*names).distinct().collect() == [tuple(names)], name
+        assert out.count() == stage(spark, docs, SF).count()

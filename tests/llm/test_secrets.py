@@ -68,3 +68,9 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefgh1 end", "s"), (2, "clean", "s"), (3, None, "s")], "doc_id long, text string, source string")
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert out == {1: "é [secret] end", 2: "clean", 3: None}
+
+
+def test_kept_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", "r", 7, 8)], "doc_id long, text string, rules string, _id int, kept int")
+    (r,) = secrets.scan(docs, keep=("rules", "_id", "kept")).collect()
+    assert (r["rules"], r["_id"], r["kept"], len(r["found"])) == ("r", 7, 8, 1)

@@ -58,3 +58,11 @@ def test_groups_of_any_number_of_partitions(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") % 50 == 0, 5).collect())
     assert got == brute([(i, v + [0.0] * (5 - len(v))) for i, v in rows], lambda i: i % 50 == 0, 5)
+
+
+def test_huge_components_keep_their_rows(spark):
+    """Scores beyond a long are the nearest one; no row is lost."""
+    rows = [(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, F.col("id") == 0, 5).orderBy("rank").collect()]
+    assert [x[2] for x in got] == [1, 3, 2] and got[0][3] == topk.MOST_SCORE and got[2][3] == topk.LEAST_SCORE
