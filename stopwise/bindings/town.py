@@ -320,9 +320,15 @@ def arrivals(t: Tables, depart: float, cap: float = 2700.0) -> DataFrame:
 _NAMES = ", named AS (SELECT stop_idx AS node, 'trg-' || (stop_idx // 3) AS slug FROM stops)"
 
 
-@query("graph_01_14_reach", CALLS + DEPARTS + f", seeds AS (SELECT a.stop_idx AS source, b.stop_idx AS node, {KM('a', 'b')} / 5.0::DOUBLE * 3600.0::DOUBLE AS cost FROM stops a JOIN stops b ON {KM('a', 'b')} <= 1.2 UNION ALL SELECT a.stop_idx, b.station_id + {iso.STATION}, {KM('a', 'b')} / 5.0::DOUBLE * 3600.0::DOUBLE FROM stops a JOIN stations b ON {KM('a', 'b')} <= 1.2)"
+#: Statements that take minutes on larger tables; tests run them on the smallest.
+SMALL_SQL: dict[str, str] = {}
+
+SMALL_SQL["graph_01_14_reach"] = (CALLS + DEPARTS + f", seeds AS (SELECT a.stop_idx AS source, b.stop_idx AS node, {KM('a', 'b')} / 5.0::DOUBLE * 3600.0::DOUBLE AS cost FROM stops a JOIN stops b ON {KM('a', 'b')} <= 1.2 UNION ALL SELECT a.stop_idx, b.station_id + {iso.STATION}, {KM('a', 'b')} / 5.0::DOUBLE * 3600.0::DOUBLE FROM stops a JOIN stations b ON {KM('a', 'b')} <= 1.2)"
        + labels_sql("labels", "seeds", _SCORE_LINKS + " UNION ALL " + _bikes_sql(""), 2700.0) + _NAMES + """, met AS (SELECT l.source, n.slug, min(l.cost) AS cost FROM labels l JOIN named n ON n.node = l.node JOIN named o ON o.node = l.source WHERE n.slug <> o.slug GROUP BY 1, 2)
 SELECT source, count(*) FILTER (cost <= 900) AS stations_15, count(*) FILTER (cost <= 1800) AS stations_30, count(*) FILTER (cost <= 2700) AS stations_45 FROM met GROUP BY 1""")
+
+
+@query("graph_01_14_reach")
 def _(t):
     seeds = iso.straight_seeds(stop_origins(t), stops(t), stations(t))
     labels = journeys.labels(seeds, score_network(t, bikes=True), EIGHT, 2700.0, iso.SCORE)
@@ -368,13 +374,19 @@ def _(t):
     return iso.betweenness(shares(t), t.stops.count())
 
 
-@query("graph_06_closeness", EVERY + """SELECT source, count(*) AS reached, round(avg(cost), 6) AS mean_cost, round(max(cost), 6) AS farthest, round(count(*) / greatest(1, any_value(n) - 1)::DOUBLE * (count(*) / sum(cost)) * 3600.0::DOUBLE, 6) AS closeness FROM labels, n WHERE source <> node GROUP BY 1""")
+SMALL_SQL["graph_06_closeness"] = EVERY + """SELECT source, count(*) AS reached, round(avg(cost), 6) AS mean_cost, round(max(cost), 6) AS farthest, round(count(*) / greatest(1, any_value(n) - 1)::DOUBLE * (count(*) / sum(cost)) * 3600.0::DOUBLE, 6) AS closeness FROM labels, n WHERE source <> node GROUP BY 1"""
+
+
+@query("graph_06_closeness")
 def _(t):
     return iso.closeness(shares(t), t.stops.count()).withColumns(r6("mean_cost", "farthest", "closeness"))
 
 
-@query("graph_06_path_summary", EVERY + """SELECT round(max(cost) / 60 * 100) / 100 AS diameter_min, arg_max(source, {'c': cost, 's': -source, 'n': -node}) AS from_node, arg_max(node, {'c': cost, 's': -source, 'n': -node}) AS to_node, round(avg(cost) / 60 * 100) / 100 AS mean_min,
-  count(*) AS pairs, round(count(*) / greatest(1, any_value(n) * (any_value(n) - 1))::DOUBLE * 10000) / 100 AS reachable_pct FROM labels, n WHERE source <> node""")
+SMALL_SQL["graph_06_path_summary"] = EVERY + """SELECT round(max(cost) / 60 * 100) / 100 AS diameter_min, arg_max(source, {'c': cost, 's': -source, 'n': -node}) AS from_node, arg_max(node, {'c': cost, 's': -source, 'n': -node}) AS to_node, round(avg(cost) / 60 * 100) / 100 AS mean_min,
+  count(*) AS pairs, round(count(*) / greatest(1, any_value(n) * (any_value(n) - 1))::DOUBLE * 10000) / 100 AS reachable_pct FROM labels, n WHERE source <> node"""
+
+
+@query("graph_06_path_summary")
 def _(t):
     return iso.path_summary(shares(t), t.stops.count())
 
