@@ -10,13 +10,14 @@ from pyspark.sql.window import Window as W
 
 from ..functions import geometry as G
 from ..operators import ordered
-from ..plans import bikes, reach, schedule
+from ..plans import bikes, isochrone, reach, schedule
 from ..queries import query, r6
+from ..shared import written
 from . import Tables
 from .realtime import MOVES, hours
 from .schedule import BUSIEST, KM
 from .space import AREAS, PIP, areas
-from .town import arrivals
+from .town import arrivals, origins, stops, street_nodes, streets
 
 POINTS = ", points AS (SELECT stop_idx AS point_id, lat + 0.0007::DOUBLE AS lat, lon + 0.0009::DOUBLE AS lon FROM stops)\n"
 
@@ -26,12 +27,12 @@ def points(stops: DataFrame) -> DataFrame:
 
 
 def reached_cells(t: Tables, departs: list[float], cap: float = 1800.0) -> DataFrame:
-    """point_id, departure, cells: the cells that each station reaches by the timetable and on foot, for each departure time."""
-    at = t.stops.select("stop_idx", "lat", "lon")
+    """point_id, departure, cells: the cells that each bike station reaches by the timetable and through the streets, for each departure time."""
+    nodes, ways = written(street_nodes(t)), written(streets(t))
     passes = []
     for depart in departs:
-        own = arrivals(t, depart, cap).join(at, F.col("node") == F.col("stop_idx")).select("source", "cost", "lat", "lon")
-        passes.append(reach.walked_cells(own, at, cap).select(F.col("source").alias("point_id"), F.lit(depart).alias("departure"), "cells"))
+        cells = isochrone.walked_cells(arrivals(t, depart, cap), origins(t), stops(t), nodes, ways, cap)
+        passes.append(cells.select(F.col("source").alias("point_id"), F.lit(depart).alias("departure"), "cells"))
     return reduce(DataFrame.unionByName, passes)
 
 

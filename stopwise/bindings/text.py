@@ -62,6 +62,27 @@ def _(t):
     return notices(t).select("id", "category", "permanence", F.array_join(F.sort_array("lines"), ",").alias("lines"))
 
 
+#: Titles in turn; each rule is met alone, with others before and after it, in capitals and with plain letters.
+TITLES = (
+    "Ukidanje linije 109", "Linija 6 ukida se, nova linija 7", "Produljena linija 220", "PRODUŽENA trasa linije 5", "Nova linija 290", "Uvodi se noćna linija", "Uspostavlja se linija 330",
+    "Skraćena linija 14", "Skracena trasa", "Novo stajalište Dubrava", "Ukinuto stajaliste", "Izmijenjena trasa linije 215", "Preusmjeravanje tramvaja", "Izmjena trase", "Novi vozni red", "VOZNI RED za blagdan", "Obavijest putnicima", "",
+)
+
+
+@query("fn_18_change_category", ", t AS (SELECT alert_id, lower((" + str(list(TITLES)) + """)[1 + alert_id % 18]) AS s FROM alerts) SELECT alert_id, CASE WHEN regexp_matches(s, 'ukidanj|ukida|ukinut') THEN 'ukinuta' WHEN regexp_matches(s, 'produljen|produžen|produzen') THEN 'produljena'
+  WHEN regexp_matches(s, 'nova linij|nove linij|nova autobusn|uspostavlj|uvodi se|uvode se') THEN 'nova' WHEN regexp_matches(s, 'skrać|skrac') THEN 'skraćena' WHEN regexp_matches(s, 'stajališt|stajalist') THEN 'stajalište'
+  WHEN regexp_matches(s, 'trasu|trase|preusmjer|mijenja tras|izmjena tras|izmijenjen') THEN 'trasa' WHEN contains(s, 'vozni red') THEN 'vozni red' ELSE 'ostalo' END AS category FROM t""")
+def _(t):
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (1 + F.col("alert_id") % len(TITLES)).cast("int"))
+    return t.alerts.select("alert_id", T.change_category(title).alias("category"))
+
+
+@query("fn_26_ticks", ", r AS (SELECT route_id, min(ts) AS a, max(ts) AS b FROM rt_obs GROUP BY 1), i AS (SELECT *, unnest(range(7)) AS i FROM r) SELECT route_id, i::INT AS i, CAST(trunc((a + i::DOUBLE / 6.0::DOUBLE * (b - a)) * 1000) AS BIGINT) AS ms FROM i")
+def _(t):
+    own = t.rt_obs.groupBy("route_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return own.select("route_id", F.posexplode(N.ticks(F.col("a"), F.col("b"), 6)).alias("i", "ms"))
+
+
 @query("flt_13_worth_listing", NOTICES + "SELECT id FROM classified WHERE permanence <> 'temporary' AND category IN ('street', 'works') AND len(lines) <= 7")
 def _(t):
     return changes.worth_listing(notices(t), ["street", "works"]).select("id")

@@ -57,3 +57,9 @@ def deviation(values: Column) -> Column:
     """Population standard deviation of a numeric array, null if empty."""
     m = mean(values)
     return F.when(F.size(values) > 0, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(values)))
+
+
+def ticks(low: Column, high: Column, count: int) -> Column:
+    """count + 1 times in milliseconds, evenly from low to high (seconds), cut to whole milliseconds."""
+    at = lambda i: low + i.cast("double") / F.lit(float(count)) * (high - low)
+    return F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i: (at(i) * 1000).cast("long"))

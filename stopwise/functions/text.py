@@ -70,6 +70,19 @@ def first_rule(text: Column, rules: list[tuple[str, str]], other: str) -> Column
     return out
 
 
+#: Categories of line changes with the words that name them, in the order in which they are tried; a change with none of them is the last one.
+CHANGE_RULES = [
+    ("ukinuta", "ukidanj|ukida|ukinut"), ("produljena", "produljen|produžen|produzen"), ("nova", "nova linij|nove linij|nova autobusn|uspostavlj|uvodi se|uvode se"),
+    ("skraćena", "skrać|skrac"), ("stajalište", "stajališt|stajalist"), ("trasa", "trasu|trase|preusmjer|mijenja tras|izmjena tras|izmijenjen"), ("vozni red", "vozni red"),
+]
+OTHER_CHANGE = "ostalo"
+
+
+def change_category(text: Column) -> Column:
+    """Category of a line change by its title."""
+    return first_rule(F.lower(text), CHANGE_RULES, OTHER_CHANGE)
+
+
 def title_case(text: Column, small: list[str]) -> Column:
     """Words in lower case with a capital first letter, small words all lower case unless first."""
     words = F.split(F.lower(text), " ")
