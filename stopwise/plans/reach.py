@@ -6,20 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.geometry import REACH_CELL, reach_km2
 from ..functions.numbers import js_round, round_to
 from ..operators.ordered import first_by
 from ..operators.spatial import range_join
 from ..shared import written
 
 
-def walked_cells(arrivals: DataFrame, nodes: DataFrame, cap: float, speed_kmh: float = 5.0, most_km: float = 1.2) -> DataFrame:
-    """Per source: distinct cells whose node can be walked to from a reached stop (source, cost, lat, lon) within the cap, and their km2."""
-    near = range_join(arrivals, nodes, most_km).where(F.col("cost") + F.col("dist_km") / speed_kmh * 3600.0 <= cap)
-    cell = near.select("source", F.floor(F.col("r_lat") / REACH_CELL).alias("cy"), F.floor(F.col("r_lon") / REACH_CELL).alias("cx")).distinct()
-    return cell.groupBy("source").agg(F.count("*").alias("cells")).withColumn("km2", round_to(reach_km2(F.col("cells")), 2))
-
-
 def mean_reach(passes: DataFrame) -> DataFrame:
     """Mean cells of each point over departures (point_id, departure, cells), halves up."""
     return passes.groupBy("point_id").agg(js_round(F.avg("cells")).cast("long").alias("cells"))

@@ -57,25 +57,15 @@ def test_near_doubles_keep_the_first(spark):
 
 
 def test_maps_follow_the_arrivals(spark, sf_dir):
-    """Bands, line features, payload and matrix recomputed from the labels."""
+    """Line features, payload and matrix recomputed from the labels."""
     run = lambda name: transit.QUERIES[name](spark, sf_dir).collect()
     t = transit.Tables(spark, sf_dir)
-    from stopwise.bindings.space import arrivals
-
-    cost = {(r["source"], r["node"]): r["cost"] for r in arrivals(t, 8 * 3600.0, 1800.0).collect()}
-    cell = {r["stop_idx"]: (math.floor(r["lat"] / 0.002), math.floor(r["lon"] / 0.002)) for r in t.stops.collect()}
-    first = {}
-    for (s, v), c in cost.items():
-        first[s, cell[v]] = min(c, first.get((s, cell[v]), 1e9))
-    want = {}
-    for (s, _), c in first.items():
-        band = min(b for b in (300, 600, 900, 1200, 1800) if c <= b)
-        want[s, band] = want.get((s, band), 0) + 1
-    assert {(r["source"], r["band"]): r["cells"] for r in run("graph_08_bands")} == want
+    from stopwise.bindings.town import isochrone_labels
 
+    cost = {(r["source"], r["node"]): r["cost"] for r in isochrone_labels(t, 1800.0).collect()}
     mode = {r["pattern_idx"]: r["mode"] for r in t.departures.select("pattern_idx", "mode").distinct().collect()}
     stops = {(r["pattern_idx"], r["stop_pos"]): r["stop_idx"] for r in t.pattern_stops.collect()}
-    legs = {(mode[p], v, stops[p, i + 1]) for (p, i), v in stops.items() if (p, i + 1) in stops and mode[p] != "RAIL"}
+    legs = [(mode[p], v, stops[p, i + 1]) for (p, i), v in stops.items() if (p, i + 1) in stops and mode[p] != "RAIL"]
     minutes = {}
     for s in {s for s, _ in cost}:
         for _, a, b in legs:
