@@ -179,7 +179,13 @@ def _(t):
     return isochrone_labels(t, 1800.0).withColumns(r6("cost"))
 
 
-@query("graph_02_realtime_labels", SEEDS + CALLS + DEPARTS + LATE + labels_sql("labels", "seeds", _LINKS, 900.0, window=0.5, first=True, late=True) + "SELECT source, node, round(cost, 6) AS cost, kind, pred, pattern_idx, board, alight FROM labels")
+#: Statements that take minutes on larger tables; tests run them on the smallest.
+SMALL_SQL: dict[str, str] = {}
+
+SMALL_SQL["graph_02_realtime_labels"] = SEEDS + CALLS + DEPARTS + LATE + labels_sql("labels", "seeds", _LINKS, 900.0, window=0.5, first=True, late=True) + "SELECT source, node, round(cost, 6) AS cost, kind, pred, pattern_idx, board, alight FROM labels"
+
+
+@query("graph_02_realtime_labels")
 def _(t):
     return isochrone_labels(t, 900.0, late=True).withColumns(r6("cost"))
 
@@ -320,9 +326,6 @@ def arrivals(t: Tables, depart: float, cap: float = 2700.0) -> DataFrame:
 _NAMES = ", named AS (SELECT stop_idx AS node, 'trg-' || (stop_idx // 3) AS slug FROM stops)"
 
 
-#: Statements that take minutes on larger tables; tests run them on the smallest.
-SMALL_SQL: dict[str, str] = {}
-
 SMALL_SQL["graph_01_14_reach"] = (CALLS + DEPARTS + f", seeds AS (SELECT a.stop_idx AS source, b.stop_idx AS node, {KM('a', 'b')} / 5.0::DOUBLE * 3600.0::DOUBLE AS cost FROM stops a JOIN stops b ON {KM('a', 'b')} <= 1.2 UNION ALL SELECT a.stop_idx, b.station_id + {iso.STATION}, {KM('a', 'b')} / 5.0::DOUBLE * 3600.0::DOUBLE FROM stops a JOIN stations b ON {KM('a', 'b')} <= 1.2)"
        + labels_sql("labels", "seeds", _SCORE_LINKS + " UNION ALL " + _bikes_sql(""), 2700.0) + _NAMES + """, met AS (SELECT l.source, n.slug, min(l.cost) AS cost FROM labels l JOIN named n ON n.node = l.node JOIN named o ON o.node = l.source WHERE n.slug <> o.slug GROUP BY 1, 2)
 SELECT source, count(*) FILTER (cost <= 900) AS stations_15, count(*) FILTER (cost <= 1800) AS stations_30, count(*) FILTER (cost <= 2700) AS stations_45 FROM met GROUP BY 1""")
