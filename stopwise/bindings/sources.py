@@ -126,26 +126,44 @@ def tagged(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.create_map(*pairs).alias("tags"))
 
 
-@query("src_07_walkable", WAYS + """SELECT id FROM tagged WHERE highway IN ('residential', 'living_street', 'unclassified', 'tertiary', 'tertiary_link', 'secondary', 'secondary_link', 'primary', 'primary_link', 'pedestrian', 'footway', 'path', 'steps', 'cycleway', 'track', 'service')
-  AND access IS DISTINCT FROM 'private' AND foot IS DISTINCT FROM 'no'""")
+WALKABLE_SQL = WAYS + """SELECT id FROM tagged WHERE highway IN ('residential', 'living_street', 'unclassified', 'tertiary', 'tertiary_link', 'secondary', 'secondary_link', 'primary', 'primary_link', 'pedestrian', 'footway', 'path', 'steps', 'cycleway', 'track', 'service')
+  AND access IS DISTINCT FROM 'private' AND foot IS DISTINCT FROM 'no'"""
+
+
+@query("src_07_walkable", WALKABLE_SQL)
 def _(t):
     return tagged(t).where(networks.walkable(F.col("tags"))).select("id")
 
 
-@query("src_08_bike_direction", WAYS + """SELECT id, CASE WHEN oneway_bicycle = 'no' OR cycleway IN ('opposite', 'opposite_lane', 'opposite_track') THEN 'both' WHEN oneway = '-1' THEN 'backward' WHEN oneway IN ('yes', '1', 'true') OR junction = 'roundabout' THEN 'forward' ELSE 'both' END AS direction
+DIRECTION_SQL = WAYS + """SELECT id, CASE WHEN oneway_bicycle = 'no' OR cycleway IN ('opposite', 'opposite_lane', 'opposite_track') THEN 'both' WHEN oneway = '-1' THEN 'backward' WHEN oneway IN ('yes', '1', 'true') OR junction = 'roundabout' THEN 'forward' ELSE 'both' END AS direction
 FROM tagged WHERE (highway IN ('residential', 'living_street', 'unclassified', 'tertiary', 'tertiary_link', 'secondary', 'secondary_link', 'primary', 'primary_link', 'cycleway', 'track', 'service', 'road')
   OR (highway IN ('path', 'pedestrian', 'footway') AND (CASE WHEN coalesce(bicycle, '') <> '' THEN bicycle IN ('yes', 'designated', 'permissive', 'official', 'destination') ELSE highway = 'path' END OR coalesce(segregated = 'yes', false) OR coalesce(cycleway = 'track', false))))
-  AND coalesce(access, '') NOT IN ('private', 'no') AND coalesce(bicycle, '') NOT IN ('no', 'dismount') AND coalesce(motorroad, '') <> 'yes'""")
+  AND coalesce(access, '') NOT IN ('private', 'no') AND coalesce(bicycle, '') NOT IN ('no', 'dismount') AND coalesce(motorroad, '') <> 'yes'"""
+
+
+@query("src_08_bike_direction", DIRECTION_SQL)
 def _(t):
     return tagged(t).where(networks.rideable(F.col("tags"))).select("id", networks.bike_direction(F.col("tags")).alias("direction"))
 
 
-@query("src_09_building_cells", """, m AS (SELECT pattern_idx, sum(round(lat * 10000000)::BIGINT)::BIGINT / (count(*) * 10000000::DOUBLE) AS lat, sum(round(lon * 10000000)::BIGINT)::BIGINT / (count(*) * 10000000::DOUBLE) AS lon
-  FROM pattern_stops JOIN stops USING (stop_idx) WHERE pattern_idx % 3 <> 0 GROUP BY 1) SELECT DISTINCT floor(lat / 0.003::DOUBLE)::BIGINT AS cy, floor(lon / 0.003::DOUBLE)::BIGINT AS cx FROM m""")
-def _(t):
+CELLS_SQL = """, m AS (SELECT pattern_idx, sum(round(lat * 10000000)::BIGINT)::BIGINT / (count(*) * 10000000::DOUBLE) AS lat, sum(round(lon * 10000000)::BIGINT)::BIGINT / (count(*) * 10000000::DOUBLE) AS lon
+  FROM pattern_stops JOIN stops USING (stop_idx) WHERE pattern_idx % 3 <> 0 GROUP BY 1) SELECT DISTINCT floor(lat / 0.003::DOUBLE)::BIGINT AS cy, floor(lon / 0.003::DOUBLE)::BIGINT AS cx FROM m"""
+
+
+def buildings(t: Tables) -> DataFrame:
+    """Patterns as ways, two of three of them buildings."""
     tags = F.create_map(F.lit("building"), F.when(F.col("pattern_idx") % 3 != 0, "yes"))
-    ways = t.pattern_stops.groupBy(F.col("pattern_idx")).agg(F.collect_list("stop_idx").alias("refs")).select(F.col("pattern_idx").alias("way_id"), tags.alias("tags"), "refs")
-    return networks.building_cells(ways, t.stops.select(F.col("stop_idx").alias("node"), "lat", "lon"))
+    return t.pattern_stops.groupBy(F.col("pattern_idx")).agg(F.collect_list("stop_idx").alias("refs")).select(F.col("pattern_idx").alias("way_id"), tags.alias("tags"), "refs")
+
+
+def places(t: Tables) -> DataFrame:
+    """Stops as nodes."""
+    return t.stops.select(F.col("stop_idx").alias("node"), "lat", "lon")
+
+
+@query("src_09_building_cells", CELLS_SQL)
+def _(t):
+    return networks.building_cells(buildings(t), places(t))
 
 
 @query("src_11_districts", f"SELECT ord, name, population, round(abs(0.0122::DOUBLE * 0.0166::DOUBLE) * {G.KM_PER_DEGREE**2 * G.LON_SHARE}::DOUBLE, 4) AS km2 FROM districts")

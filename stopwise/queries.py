@@ -38,7 +38,7 @@ def r6(*columns: str) -> dict[str, Column]:
 
 def register() -> None:
     """Load the modules that hold the queries."""
-    from .bindings import network, reach, realtime, schedule, sources, space, streams, text, town  # noqa: F401
+    from .bindings import formats, network, reach, realtime, schedule, sources, space, streams, text, town  # noqa: F401
 
 
 __all__ = ["EPOCH", "ORACLE_SQL", "QUERIES", "query", "r6", "register"]
