@@ -195,5 +195,5 @@ def _(t):
 def _(t):
     rail = t.departures.where("mode = 'RAIL'").select("pattern_idx", "dep_sec", F.lit("TRAM").alias("mode"))
     tram = t.departures.where("mode = 'TRAM'").select("mode", F.col("dep_sec").alias("u"))
-    both = ordered.last_at_or_before(ordered.next_at_or_after(rail, tram, ["mode"], "dep_sec", "u", "after"), tram, ["mode"], "dep_sec", "u", "before")
+    both = ordered.last_at_or_before(ordered.next_at_or_after(rail, tram, ["mode"], "dep_sec", "u", "after", width=60), tram, ["mode"], "dep_sec", "u", "before", width=60)
     return both.drop("mode")

@@ -234,7 +234,7 @@ def _(t):
 @query("join_09_next_departure", """SELECT stop_idx, mode, c_sec, min(dep_sec) AS nxt FROM (SELECT s.stop_idx, m.mode, (s.stop_idx * 613) % 86400 AS c_sec FROM stops s CROSS JOIN (SELECT DISTINCT mode FROM departures) m) q LEFT JOIN departures d USING (mode) WHERE d.dep_sec >= c_sec GROUP BY 1, 2, 3""")
 def _(t):
     asked = t.stops.select("stop_idx", ((F.col("stop_idx") * 613) % 86400).alias("c_sec")).crossJoin(F.broadcast(t.departures.select("mode").distinct()))  # three modes
-    return ordered.next_at_or_after(asked, t.departures.select("mode", "dep_sec"), ["mode"], "c_sec", "dep_sec", "nxt").where("nxt is not null")
+    return ordered.next_at_or_after(asked, t.departures.select("mode", "dep_sec"), ["mode"], "c_sec", "dep_sec", "nxt", width=60).where("nxt is not null")
 
 
 @query("sort_01_routes", "SELECT mode, route, row_number() OVER (ORDER BY CASE mode WHEN 'TRAM' THEN 0 WHEN 'BUS' THEN 1 WHEN 'RAIL' THEN 2 ELSE 3 END, coalesce(try_cast(route AS INT), 2147483647), route)::INT AS place FROM (SELECT DISTINCT mode, route FROM departures)")

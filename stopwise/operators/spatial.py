@@ -79,17 +79,33 @@ def rectangle(lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
 
 
 def components(links: DataFrame, nodes: DataFrame, most_steps: int = 1_000_000) -> DataFrame:
-    """(node, component): the least node reachable by links (a, b); each step takes the least label around and its label's label."""
-    both = written(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("component"))
+    """(node, component): the least node reachable by links (a, b).
+
+    Links are turned, in turns, to hang larger neighbours and then all but the least
+    smaller one from the least neighbour, until each node hangs from its component's
+    least.  Only links are written, one table a round; nodes without any never move.
+    """
+
+    def hung(pairs: DataFrame) -> DataFrame:
+        # (a, b) with b the least of a's smaller neighbours; the others hang from it too
+        least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+        rest = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return least.select("a", F.col("m").alias("b")).unionByName(rest).distinct()
+
+    def lifted(pairs: DataFrame) -> DataFrame:
+        # larger neighbours of a node hang from the least around it
+        around = pairs.select(F.col("b").alias("c"), F.col("a").alias("far")).unionByName(pairs.select(F.col("a").alias("c"), F.col("b").alias("far")))
+        least = around.groupBy("c").agg(F.least("c", F.min("far")).alias("m"))
+        return around.where("far > c").join(least, "c").select(F.col("far").alias("a"), F.col("m").alias("b")).distinct()
+
+    now, before = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     for _ in range(most_steps):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_m"))
-        lower = written(labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"), F.col("component").alias("_was")))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("_j"))
-        after = written(lower.join(jump, "component", "left").select("node", F.coalesce("_j", "component").alias("component"), "_was"))
-        labels = after.select("node", "component")
-        if after.where("component <> _was").isEmpty():
-            return labels
+        now = written(hung(lifted(now)))
+        # sums over hashes tell whether the links have changed
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return nodes.select("node").join(now.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
+        before = state
     raise RuntimeError(f"components still change after {most_steps} steps")
 
 

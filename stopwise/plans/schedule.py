@@ -8,13 +8,17 @@ Seconds count from the service day's begin and may exceed 24 hours.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.geometry import bearing, flat_km
 from ..functions.numbers import js_round, round_to
-from ..operators.ordered import dense, first_by, gaps_of, next_at_or_after
+from ..operators.ordered import dense, first_by, gaps_of
 from ..operators.spatial import range_join
 
 H = 3600
@@ -269,17 +273,41 @@ def shared_terminals(departures: DataFrame, pattern_stops: DataFrame, stops: Dat
 
 
 def transfer_waits(departures: DataFrame, pattern_stops: DataFrame, hours: tuple[int, int] = (5, 23)) -> DataFrame:
-    """Per stop, hour and pair of routes: mean wait of each arrival of the one for the next departure of the other (0 if at once), both ways."""
+    """Per stop, hour and pair of routes: mean wait of each arrival of the one for the next departure of the other (0 if at once), both ways.
+
+    A stop and hour is one row of its routes' times, counted first: at most one entry
+    for each route and second, however many departures there are.
+    """
     first = first_by(pattern_stops, ["pattern_idx", "stop_idx"], "stop_pos").select("pattern_idx", "stop_idx", "offset_sec")
-    at = departures.join(first, "pattern_idx").select("stop_idx", "route", (F.col("dep_sec") + F.col("offset_sec")).alias("t"))
-    at = at.withColumn("hour", F.floor(F.col("t") / H).cast("int")).where(F.col("hour").between(*hours))
-    routes = at.select("stop_idx", "hour", "route").distinct()
-    other = routes.select("stop_idx", "hour", F.col("route").alias("other"))
-    pairs = routes.join(other, ["stop_idx", "hour"]).where(F.col("route") != F.col("other"))
-    asked = at.join(pairs, ["stop_idx", "hour", "route"])
-    offered = at.select("stop_idx", "hour", F.col("route").alias("other"), "t").join(pairs, ["stop_idx", "hour", "other"])
-    met = next_at_or_after(asked, offered.withColumnRenamed("t", "u"), ["stop_idx", "hour", "route", "other"], "t", "u", "nxt").where("nxt is not null")
-    return met.groupBy("stop_idx", "hour", F.least("route", "other").alias("route"), F.greatest("route", "other").alias("other")).agg(F.avg(F.col("nxt") - F.col("t")).alias("wait_sec"), F.count("*").alias("n"))
+    at = departures.join(first, "pattern_idx").select("stop_idx", "route", (F.col("dep_sec") + F.col("offset_sec")).cast("long").alias("t"))
+    at = at.withColumn("hour", F.floor(F.col("t") / H).cast("int")).where(F.col("hour").between(*hours) & F.col("route").isNotNull())
+    counted = at.groupBy("stop_idx", "hour", "route", "t").agg(F.count("*").alias("n"))
+    hubs = counted.groupBy("stop_idx", "hour").agg(F.collect_list("route").alias("route"), F.collect_list("t").alias("t"), F.collect_list("n").alias("n"))
+
+    def waits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, t, n = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("route", "t", "n"))
+                order = np.lexsort((t, names.astype(str)))
+                names, t, n = names[order], t[order], n[order]
+                cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
+                lines = [(names[lo], t[lo:hi], n[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+                found = []
+                for a, one in enumerate(lines):
+                    for two in lines[a + 1 :]:
+                        total = count = 0
+                        for (_, come, many), (_, leave, _) in ((one, two), (two, one)):
+                            nxt = np.searchsorted(leave, come)
+                            ok = nxt < len(leave)
+                            total += int((many[ok] * (leave[nxt[ok]] - come[ok])).sum())
+                            count += int(many[ok].sum())
+                        if count:
+                            found.append((one[0], two[0], total / count, count))
+                if found:
+                    own = [pa.array([batch.column(c)[i].as_py()] * len(found), batch.schema.field(c).type) for c in ("stop_idx", "hour")]
+                    yield pa.RecordBatch.from_arrays([*own, *map(pa.array, zip(*found))], names=["stop_idx", "hour", "route", "other", "wait_sec", "n"])
+
+    return hubs.where(F.size("t") > 1).mapInArrow(waits, f"stop_idx {dict(at.dtypes)['stop_idx']}, hour int, route string, other string, wait_sec double, n long")
 
 
 def pulse_hubs(waits: DataFrame, limit: int = 20, least_routes: int = 3) -> DataFrame:
