@@ -279,7 +279,9 @@ def transfer_waits(departures: DataFrame, pattern_stops: DataFrame, hours: tuple
     for each route and second, however many departures there are.
     """
     first = first_by(pattern_stops, ["pattern_idx", "stop_idx"], "stop_pos").select("pattern_idx", "stop_idx", "offset_sec")
-    at = departures.join(first, "pattern_idx").select("stop_idx", "route", (F.col("dep_sec") + F.col("offset_sec")).cast("long").alias("t"))
+    served = first.join(departures.where("route is not null").select("pattern_idx", "route").distinct(), "pattern_idx")
+    shared = served.groupBy("stop_idx").agg(F.countDistinct("route").alias("routes")).where("routes > 1")  # other stops have no pairs
+    at = departures.join(first.join(shared, "stop_idx", "left_semi"), "pattern_idx").select("stop_idx", "route", (F.col("dep_sec") + F.col("offset_sec")).cast("long").alias("t"))
     at = at.withColumn("hour", F.floor(F.col("t") / H).cast("int")).where(F.col("hour").between(*hours) & F.col("route").isNotNull())
     counted = at.groupBy("stop_idx", "hour", "route", "t").agg(F.count("*").alias("n"))
     hubs = counted.groupBy("stop_idx", "hour").agg(F.collect_list("route").alias("route"), F.collect_list("t").alias("t"), F.collect_list("n").alias("n"))
