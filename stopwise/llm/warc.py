@@ -1,7 +1,8 @@
 """WARC files and their fixity audit by Merkle trees over records and offset ranges.
 
-``write_warc`` lays pages down as WARC/1.1 files of a bounded number of records,
-each input partition its own files, without a shuffle.  ``tree`` parses the
+``write_warc`` lays pages down as WARC/1.1 files of a bounded number of records
+and bytes, each input partition its own files, without a shuffle; long pages get
+files of their own, so a file is never larger than 256 MB and headers, or one page.  ``tree`` parses the
 files of a replica and hashes them upwards: record, offset range of 64 KB, of
 1 MB, file, group of files, archive.  A node's hash covers its children's
 offsets and hashes in order.  ``audit`` compares the roots of two replicas and,
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 
-#: Records of a file at most.
+#: Records of a file at most, and bytes of a page that shares its file with others at most.
 FILE_RECORDS = 1_000
+LONG_PAGE = 1 << 18
 #: Bytes of the offset ranges of levels 1 and 2.
 RANGES = (1 << 16, 1 << 20)
 RECORD, FILE, GROUP, ROOT = 0, len(RANGES) + 1, len(RANGES) + 2, len(RANGES) + 3
@@ -58,10 +60,12 @@ def record(row_id: Column, url: Column, text: Column, date: str = DATE) -> Colum
     )
 
 
-def write_warc(pages: DataFrame, path: str, row_id: str = "page_id", url: str = "url", text: str = "html", file_records: int = FILE_RECORDS) -> None:
-    """Write pages as WARC files under path."""
-    lines = pages.select(record(F.col(row_id), F.col(url), F.col(text)).alias("value"))
-    lines.write.option("maxRecordsPerFile", file_records).option("lineSep", "\n").text(path)
+def write_warc(pages: DataFrame, path: str, row_id: str = "page_id", url: str = "url", text: str = "html", file_records: int = FILE_RECORDS, long_page: int = LONG_PAGE) -> None:
+    """Write pages as WARC files under path; those over long_page bytes (url and text) go one to a file."""
+    long = F.coalesce(F.octet_length(text), F.lit(0)) + F.coalesce(F.octet_length(url), F.lit(0)) > long_page
+    for chosen, most in ((~long, file_records), (long, 1)):
+        lines = pages.where(chosen).select(record(F.col(row_id), F.col(url), F.col(text)).alias("value"))
+        lines.write.mode("append").option("maxRecordsPerFile", most).option("lineSep", "\n").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -64,3 +64,25 @@ def test_query_on_corpus(spark, sf_dir):
     assert {r["page_id"] for r in rows} == pages and len(rows) == len(pages)
     assert all((r["status"] == "corrupt") == (r["page_id"] % 101 == 7) for r in rows)
     assert all(len(r["record_sha256"]) == len(hashlib.sha256().hexdigest()) for r in rows)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # 30 pages of 200,000 bytes and five longer ones, one of them 100 MB
+    pages = spark.range(35).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('x', CASE WHEN id = 34 THEN 100000000 WHEN id >= 30 THEN 400000 + id ELSE 200000 END)").alias("html")).coalesce(1)
+    path = f"file://{tmp_path}/bytes"
+    warc.write_warc(pages, path, file_records=10)
+    files = warc.read_files(spark, path)
+    sizes = sorted(r[0] for r in files.select(F.length("content")).collect())
+    assert len([n for n in sizes if n > 10 * 200_500]) == 1 and 100_000_000 < sizes[-1] < 100_001_000
+    nodes = warc.tree(files)
+    rows = nodes.where("level = 0").groupBy("file").agg(F.count("*").alias("n"), F.sum("row_id").alias("s")).collect()
+    assert sorted(r["n"] for r in rows) == [1] * 5 + [10] * 3 and sum(r["s"] for r in rows) == sum(range(35))
+
+    def flip(row, content, begin, block, end):
+        if row in (3, 34):
+            content[end - 9] ^= 1
+
+    found = warc.audit(nodes, warc.tree(warc.damaged(files, flip)))
+    assert {(r["row_id"], r["status"]) for r in found.collect()} == {(3, "corrupt"), (34, "corrupt")}
