@@ -213,6 +213,16 @@ def _(t):
     return feeds.listing_links(t.part.select(html.alias("html")))
 
 
+@query("src_18_archived_links", """, x AS (SELECT event_id % 90 AS id, {ts} AS ts, 'item-' || event_id % 90 AS slug FROM events WHERE event_id % 7 <> 0)
+SELECT id::VARCHAR AS id, any_value(slug) AS slug, 'Item ' || id AS title, 'https://x/news/item-' || id || '/' || id AS url, min(ts) AS ts, substr(min(ts), 1, 4) || '-' || substr(min(ts), 5, 2) || '-' || substr(min(ts), 7, 2) AS date FROM x GROUP BY id""".replace("{ts}", f"({EPOCH}::BIGINT * 10000 + (event_id * 7919) % 100003)::VARCHAR"))
+def _(t):
+    path, n = shared_path(t.spark, "listing"), (F.col("event_id") % 90).cast("string")
+    ts = (F.lit(EPOCH * 10_000) + (F.col("event_id") * 7919) % 100_003).cast("string")
+    section = F.when(F.col("event_id") % 7 != 0, "news").otherwise("other")
+    t.events.select(F.concat(ts, F.lit(" http://x:80/"), section, F.lit("/item-"), n, F.lit("/"), n)).write.text(path)
+    return feeds.archived_links(t.spark, path, "news")
+
+
 HOURS = """, h AS (SELECT floor(event_id / 40)::BIGINT * 3600 AS hour_ts, event_type AS station_id, user_id % 3 AS starts, user_id % 5 AS returns, 1 AS samples, user_id % 17 AS bikes FROM events)
 """
 

@@ -76,6 +76,21 @@ def test_notices_and_documents(spark, tmp_path):
     assert {x["slug"] for x in feeds.without_orphans(docs, docs.where("slug = 'a'"), "slug").collect()} == {"a"}
 
 
+def test_archived_listing(spark, tmp_path):
+    lines = [
+        "20240305101010 http://www.x.hr:80/news/nova-linija-6/12?a=1", "20230102000000 https://x.hr/news/nova-linija-6/12", "20230102000000 https://a.hr/NEWS/nova-linija-6/12",
+        "20220101000000 https://x.hr/other/slug/13", "20220101000000 https://x.hr/news/14", "20220101000000", "", "20210101000000 http://x.hr/news/ukida-SE/15 200", "20200101000000 https://x.hr/news/nova-linija-6/12?a=1", "2019 https://x.hr/news/a/1?id=16",
+    ]
+    (tmp_path / "cdx.txt").write_text("\n".join(lines))
+    own = feeds.archived_links(spark, str(tmp_path / "cdx.txt"), "news")
+    assert {tuple(r) for r in own.collect()} == {
+        ("12", "nova-linija-6", "Nova Linija 6", "https://a.hr/NEWS/nova-linija-6/12", "20230102000000", "2023-01-02"),
+        ("15", "ukida-SE", "Ukida SE", "https://x.hr/news/ukida-SE/15", "20210101000000", "2021-01-01"), ("16", "a", "A", "https://x.hr/news/a/1?id=16", "2019", "2019--"),
+    }
+    (tmp_path / "none.txt").write_text("")
+    assert feeds.archived_links(spark, str(tmp_path / "none.txt"), "news").count() == 0
+
+
 def test_upsert(spark, tmp_path):
     at = str(tmp_path / "table")
     one = spark.createDataFrame([(1, "a", 5, 0), (1, "a", 5, 0), (2, "b", 6, 1)], "ts long, k string, v int, day int")
