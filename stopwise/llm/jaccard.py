@@ -8,8 +8,8 @@ documents; r = 1 - threshold is the greatest distance of a link.
    everything.  The first regions are therefore those of single shingles: a
    document lies in the region of each shingle of its prefix, its n - ceil(t n) + 1
    first shingles in a common order, and documents that may link share a region.
-   The order is by hash, with shingles that are frequent in a sample of documents
-   last; it decides the regions' sizes and never the result.
+   The order is by hash, with shingles that are frequent last, which are counted
+   over all documents; it decides the regions' sizes and never the result.
 2. Each region has a document as pivot, the same for the regions of one group of
    near copies, and regions of one pivot become one.  Links to the pivot are
    measured; what is linked already needs no further look.
@@ -49,12 +49,13 @@ from pyspark.sql.window import Window as W
 from .common import bound_batches, column, heaviest, mix, stash, windows, words
 from .components import star_components
 
-#: Documents whose shingles are counted to find frequent ones, at least, and their share of all; the order of shingles depends on it, results do not.
-SAMPLE_DOCS = 6_000
-SAMPLE_SHARE = 1 / 8
-SAMPLE_LEAST = 2
+#: Documents that a frequent shingle is in, at least.
+FREQUENT_LEAST = 16
 #: Frequent shingles that are broadcast, at most.
 FREQUENT = 2_000_000
+#: Bytes of text whose shingles are counted in one slice, about, and shingles that a task counts at once.
+COUNT_BYTES = 8_000_000
+COUNT_TOKENS = 1 << 21
 #: Documents of a region that is not divided further.
 REGION = 1_024
 #: Pivots of a region that is divided, at most, and the radius of their cells.
@@ -104,17 +105,50 @@ def _sets(texts: pa.Array, k: int, frequent: np.ndarray | None = None) -> Iterat
 
 
 def _frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    total = docs.count()
-    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, total)))
+    """Shingles (47 bits) of FREQUENT_LEAST documents or more, in order; of too many the most frequent ones.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every shingle of every document is counted.  Most occur once, so tasks count
+    what they hold and send packed arrays, by slices of the hash.
+    """
+    slices = max(1, -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // COUNT_BYTES))
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        part = (token // np.uint64(-(-(1 << _BITS) // slices))).astype(np.int64)
+        kinds, first = np.unique(part, return_index=True)
+        runs = [(token[a:b], n[a:b]) for a, b in zip(first, np.append(first, len(part))[1:], strict=True)]
+        once = [_packed(t[m == 1]) for t, m in runs]
+        more = [np.stack([t[m > 1], m[m > 1].astype(np.uint64)], axis=1).tobytes() for t, m in runs]
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["slice", "once", "more"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for _, _, tokens, _ in _sets(batch.column(0), k):
-                token, n = np.unique(tokens, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
-
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * share) + 1)).select("text")
-    counted = stash(sample.mapInArrow(emit, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_LEAST))
+                held.append(tokens)
+                size += len(tokens)
+                if size >= COUNT_TOKENS:
+                    yield pack(held)
+                    held, size = [], 0
+        yield pack(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+                once, more = _unpacked(x.as_buffer()), np.frombuffer(y.as_buffer(), np.uint64).reshape(-1, 2)
+                token += [once, more[:, 0]]
+                n += [np.ones(len(once), np.int64), more[:, 1].astype(np.int64)]
+        token, n = np.concatenate(token), np.concatenate(n)
+        order = np.argsort(token)
+        token, n = token[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n, first) if len(first) else n
+        often = total >= FREQUENT_LEAST
+        yield pa.RecordBatch.from_arrays([pa.array(token[first][often].view(np.int64)), pa.array(total[often])], names=["token", "n"])
+
+    parts = docs.select("text").mapInArrow(count, "slice long, once binary, more binary")
+    counted = stash(parts.groupBy("slice").applyInArrow(add, "token long, n long"))
     return np.sort(column(heaviest(counted, FREQUENT).select("token")).view(np.uint64))
 
 

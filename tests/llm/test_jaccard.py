@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,20 @@ def test_overlaps_equal_plain_counts(sets):
         for j in range(len(sets)):
             if i != j:
                 assert same[j] == len(sets[i] & sets[j])
+
+
+@pytest.mark.parametrize("slice_bytes, held", [(8_000_000, 1 << 21), (100_000, 1_000)])
+def test_frequent_shingles_are_counted_over_all_documents(spark, monkeypatch, slice_bytes, held):
+    # ids that an eighth of all, drawn by a hash of the id, leaves out
+    monkeypatch.setattr(jaccard, "COUNT_BYTES", slice_bytes)
+    monkeypatch.setattr(jaccard, "COUNT_TOKENS", held)
+    ids = [r[0] for r in spark.range(60_000).where("pmod(xxhash64(id), 1000003) > 125001").limit(31).collect()]
+    often, scarce = (",".join(map(str, x)) for x in (ids[:16], ids[16:]))
+    text = f"case when id in ({often}) then 'Common pair' when id in ({scarce}) then 'scarce pair' else concat('w', id) end"
+    found = jaccard._frequent_shingles(spark.range(60_000).selectExpr("id doc_id", f"{text} text"), 2)
+    (_, _, wanted, _), = jaccard._sets(pa.array(["common pair"]), 2)
+    assert found.tolist() == wanted.tolist()
+
+
+def test_frequent_shingles_of_nothing(spark):
+    assert len(jaccard._frequent_shingles(spark.createDataFrame([], "doc_id long, text string"), 2)) == 0
