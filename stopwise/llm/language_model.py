@@ -45,6 +45,8 @@ from .common import bound_batches, buffers, heaviest, mix, stash, words
 LEAST, LEAST_SYMBOLS, SYMBOLS = 64, 4_096, 32_768
 #: Tokens whose counts are broadcast, at most; counts of others reach their documents by a join.
 BROADCAST_TOKENS = 100_000
+#: Bits by which the broadcast tokens are looked up first.
+FIRST_BITS = 18
 #: Slots of each order's contexts: 2**LEAST_BITS to 2**SLOT_BITS (4 bytes each).
 LEAST_BITS, SLOT_BITS = 16, 20
 ORDERS = 2
@@ -83,6 +85,7 @@ class Model(NamedTuple):
     seen: list[np.ndarray]  # per order and slot: zeros and ones seen, 16 bits of a number each, so that one look finds both
     weights: np.ndarray
     refine: np.ndarray  # gate x step: refined stretch
+    first: np.ndarray | None = None  # first_places of the tokens
 
 
 def huffman(counts: np.ndarray) -> Code:
@@ -109,6 +112,11 @@ def huffman(counts: np.ndarray) -> Code:
     return Code(begin, np.array([n for n, _ in flat], np.int32), np.array([b for _, b in flat], np.int8), max(1, serial - len(counts)))
 
 
+def keep_memory() -> None:
+    """Let the C library keep freed arrays of a task for the next ones, whose pages are then not made anew."""
+    np.empty(31 << 20, np.uint8)
+
+
 def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -147,15 +155,23 @@ def events(row: np.ndarray, h: np.ndarray, symbol: np.ndarray, code: Code, bits:
     doubled = int(np.log2(LAST_BLOCK // BLOCK))
     block = np.where(place < LAST_BLOCK, np.floor(np.log2(place // BLOCK + 1)), doubled - 1 + place // LAST_BLOCK).astype(np.int32)
     order = np.argsort(block, kind="stable")
-    size = (code.begin[1:] - code.begin[:-1])[symbol[order]]
-    token = np.repeat(order, size)
-    depth = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-    at = code.begin[symbol[token]] + depth
+    block, by = block[order], symbol[order]
+    begin = code.begin[by]
+    size = code.begin[by + 1] - begin
+    ends = np.concatenate([[0], np.cumsum(size)])
+    depth = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    at = depth + np.repeat(begin, size)
     node = code.node[at]
     salt = code.salts()[node]
-    slots = [(((c[token] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32) for c in (one, two)]
-    bounds = np.searchsorted(block[token], np.arange((int(block[order[-1]]) if n else -1) + 2))
-    return Events(row[token].astype(np.int32), node, code.bit[at], np.minimum(depth, DEPTHS - 1), slots, bounds)
+    slots = []
+    for c in (one, two):
+        h = np.repeat(c[order], size)
+        h ^= salt
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - bits)
+        slots.append(h.view(np.int64))
+    bounds = ends[np.searchsorted(block, np.arange((int(block[-1]) if n else -1) + 2))]
+    return Events(np.repeat(row[order], size), node, code.bit[at], np.minimum(depth, DEPTHS - 1, out=depth), slots, bounds)
 
 
 def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,82 +182,136 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
     bit's own count taken out.
     """
     gates, one32 = DEPTHS * SEEN, np.float32(1)
-    w = np.ascontiguousarray(weights.T, np.float32) if learn else np.tile(weights.T.astype(np.float32), (1, rows))
-    refine = None if learn else np.tile(m.refine, rows)
+    w = [np.array(x, np.float32) if learn else np.tile(x.astype(np.float32), rows) for x in weights.T]
+    # of NumPy's own type object, which an unpickled array's is not: indexed additions are then fast
+    refine = None if learn else np.tile(m.refine.astype(np.float32), rows)
     seen = np.zeros(2 * rows * OWN_SLOTS, np.float32)
     total, table = np.zeros(rows), np.zeros((gates * STEPS, 2))
     bit = ev.bit.astype(np.float32)
-    inputs = np.empty((INPUTS, len(bit)), np.float32)
-    n = prior = for_one = for_zero = None
-    for i, at in enumerate([ev.node, *ev.slots]):
-        both = np.take(m.seen[i], at)
-        z, o = (both >> np.uint32(16)).astype(np.float32), (both & np.uint32(0xFFFF)).astype(np.float32)
+    inputs = np.empty((INPUTS - 1, len(bit)), np.float32)
+    bias = np.float32(0.3)
+    # order 0 for each node, or for node and bit if the bit's own count is taken out
+    both, at, own = m.seen[0], ev.node, np.zeros(1, np.float32)
+    if learn:
+        both, at, own = np.repeat(both, 2), 2 * ev.node + ev.bit, np.tile(np.array([0, 1], np.float32), m.code.nodes)
+    z, o = (both >> np.uint32(16)).astype(np.float32), (both & np.uint32(0xFFFF)).astype(np.float32)
+    if learn:
+        z, o = np.maximum(z - (one32 - own), 0), np.maximum(o - own, 0)
+    odds = (o + np.float32(0.4)) / (z + np.float32(0.4))
+    inputs[0] = np.log(odds)[at]
+    for_one = (2 * np.clip(odds / (one32 + odds), np.float32(1e-6), np.float32(1 - 1e-6)))[at]
+    for_zero = np.float32(2) - for_one
+    n = None
+    for i, at in enumerate(ev.slots, 1):
+        both = m.seen[i][at]
+        o = (both & np.uint32(0xFFFF)).astype(np.float32)
+        both >>= np.uint32(16)
+        z = both.astype(np.float32)
         if learn:
-            z, o = np.maximum(z - (one32 - bit), 0), np.maximum(o - bit, 0)
+            # the bit's own count is one of them, if any
+            z += bit
+            z -= one32
+            o -= bit
+            np.maximum(z, 0, out=z)
+            np.maximum(o, 0, out=o)
         n = z + o if i == ORDERS else None
-        if i == 0:
-            odds = (o + np.float32(0.4)) / (z + np.float32(0.4))
-            prior = np.clip(odds / (one32 + odds), np.float32(1e-6), np.float32(1 - 1e-6))
-            for_one = prior + prior
-            for_zero = np.float32(2) - for_one
-        else:
-            o += for_one
-            z += for_zero
-            odds = np.divide(o, z, out=o)
-        np.log(odds, out=inputs[i])
-    inputs[INPUTS - 1] = 0.3
-    gate = ev.depth * SEEN + (n >= 3) + (n >= 30) + (n >= 300)
-    place = (ev.row.astype(np.int64) * OWN_SLOTS + (ev.node * np.int64(0x9E3779B1) >> 7) % OWN_SLOTS) * 2
+        o += for_one
+        z += for_zero
+        o /= z
+        np.log(o, out=inputs[i])
+    gate = ev.depth * SEEN
+    for least in (3, 30, 300):
+        gate += n >= least
+    place = (((np.arange(m.code.nodes) * np.int64(0x9E3779B1) >> 7) % OWN_SLOTS) * 2)[ev.node]
+    place += ev.row * (2 * OWN_SLOTS)
     for_one *= np.float32(1.5)
     for_zero *= np.float32(1.5)
-    right = np.empty(0 if learn else len(bit), np.float32)  # the probability of each bit that came
+    cost = np.empty(0 if learn else len(bit), np.float32)  # of each bit: minus the logarithm of its probability
     for k, (a, b) in enumerate(zip(ev.bounds[:-1], ev.bounds[1:], strict=False)):
         rate = np.float32(RATE / np.sqrt(min(2 ** max(0, k - 1), LAST_BLOCK // BLOCK)))
         r, x, y, key = ev.row[a:b], inputs[:, a:b], bit[a:b], place[a:b]
-        np.log((np.take(seen, key + 1) + for_one[a:b]) / (np.take(seen, key) + for_zero[a:b]), out=x[ORDERS + 1])
+        ones = seen[key + 1]
+        ones += for_one[a:b]
+        zeros = seen[key]
+        zeros += for_zero[a:b]
+        ones /= zeros
+        np.log(ones, out=x[ORDERS + 1])
         g = gate[a:b] if learn else r * gates + gate[a:b]
-        dot = np.clip(np.einsum("ij,ij->j", np.take(w, g, axis=1), x), np.float32(-14), np.float32(14))
-        p = one32 / (one32 + np.exp(-dot))
+        dot = w[INPUTS - 1][g]
+        dot *= bias
+        for i in range(INPUTS - 1):
+            part = w[i][g]
+            part *= x[i]
+            dot += part
+        np.clip(dot, np.float32(-14), np.float32(14), out=dot)
+        away = np.exp(-dot)
         step = (dot + np.float32(14)) * np.float32((STEPS - 1) / 28)
-        left = np.minimum(step.astype(np.int32), STEPS - 2)
-        part, cell = step - left.astype(np.float32), gate[a:b] * STEPS + left
-        error = rate * (y - p)
+        left = np.minimum(step.astype(np.int64), STEPS - 2)
+        step -= left
+        left += gate[a:b] * STEPS
+        error = y - one32 / (one32 + away)
+        error *= rate
         if learn:
-            for at, share in ((cell, 1 - part), (cell + 1, part)):
-                table[:, 0] += np.bincount(at, share, len(table))
-                table[:, 1] += np.bincount(at, share * y, len(table))
+            # a bit counts for the two cells about it, each by its nearness
+            side = 2 * left + ev.bit[a:b]
+            count = np.bincount(side, minlength=2 * len(table)).reshape(-1, 2)
+            upper = np.bincount(side, step, 2 * len(table)).reshape(-1, 2)
+            count = count - upper
+            count[1:] += upper[:-1]
+            table[:, 0] += count.sum(axis=1)
+            table[:, 1] += count[:, 1]
             active = np.float32(1 + np.count_nonzero(r[1:] != r[:-1]))
             for i in range(INPUTS):
-                w[i] += np.bincount(g, error * x[i], gates).astype(np.float32) / active
+                w[i] += np.bincount(g, error * (x[i] if i < INPUTS - 1 else bias), gates).astype(np.float32) / active
         else:
-            cell += r * (gates * STEPS)
-            low = np.take(refine, cell)
-            refined = low + (np.take(refine, cell + 1) - low) * part
-            right[a:b] = one32 / (one32 + np.exp((dot + refined) * (np.float32(0.5) - y)))
+            left += r * (gates * STEPS)
+            refined = refine[left]
+            rise = refine[left + 1]
+            rise -= refined
+            rise *= step
+            refined += rise
+            unlike = np.exp(-refined)
+            # odds against a one are the root of both's; a zero has them times the probability of a one
+            away *= unlike
+            np.sqrt(away, out=away)
+            np.log(away + one32, out=cost[a:b])
+            dot += refined
+            dot *= np.float32(0.5)
+            dot *= one32 - y
+            cost[a:b] += dot
             # the nearer cell learns what the refined value missed
-            np.add.at(refine, cell + (part > 0.5), rate * (y - one32 / (one32 + np.exp(-refined))))
+            unlike += one32
+            missed = y - one32 / unlike
+            missed *= rate
+            left += step > 0.5
+            np.add.at(refine, left, missed)
             for i in range(INPUTS):
-                if 4 * len(y) > w.shape[1]:
-                    w[i] += np.bincount(g, error * x[i], w.shape[1])
-                else:
-                    np.add.at(w[i], g, error * x[i])
+                np.add.at(w[i], g, error * (x[i] if i < INPUTS - 1 else bias))
         np.add.at(seen, key + ev.bit[a:b], one32)
     if not learn:
-        total = np.bincount(ev.row, np.log2(right), rows)
-    return total, w.T, table
+        total = np.bincount(ev.row, cost, rows) / -np.log(2)
+    return total, np.stack(w, axis=1), table
+
+
+def first_places(tokens: np.ndarray) -> np.ndarray:
+    """Of each value of FIRST_BITS first bits, the place of the first of the sorted tokens that has it, or of a later one."""
+    return np.minimum(np.searchsorted(tokens >> np.uint64(64 - FIRST_BITS), np.arange(1 << FIRST_BITS, dtype=np.uint64)), max(0, len(tokens) - 1))
 
 
 def _symbols(h: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """Symbol of each token, and its place among the broadcast tokens (-1: not one of them)."""
     if not len(m.tokens):
         return np.full(len(h), len(m.code.begin) - 2), np.full(len(h), -1)
-    place = np.minimum(np.searchsorted(m.tokens, h), len(m.tokens) - 1)
+    place = m.first[(h >> np.uint64(64 - FIRST_BITS)).view(np.int64)]
+    rest = np.flatnonzero(m.tokens[place] != h)
+    place[rest] = np.minimum(np.searchsorted(m.tokens, h[rest]), len(m.tokens) - 1)
     place = np.where(m.tokens[place] == h, place, -1)
     return np.where(place >= 0, m.symbol[place], len(m.code.begin) - 2), place
 
 
 def _token_counts(rows: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
             parts = [h for _, _, _, h in tokens(batch.column(0))]
             token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
@@ -260,6 +330,7 @@ def _context_counts(rows: DataFrame, shared) -> list[np.ndarray]:
     size = begin[-1] + -begin[-1] % _SLICES
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         m, total = shared.value, np.zeros(2 * size, np.uint32)
         for batch in batches:
             for _, _, row, h in tokens(batch.column(0)):
@@ -301,6 +372,7 @@ def _mixing(rows: DataFrame, shared, total: int) -> tuple[np.ndarray, np.ndarray
     shape = "n long, weights binary, table binary"
 
     def learn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         m = shared.value
         w, table, n = m.weights, np.zeros((gates * STEPS, 2)), 0
         for first, last, row, h in tokens(pa.Table.from_batches(list(batches)).sort_by("place").column("text")):
@@ -355,13 +427,14 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     other = float(np.log10(max(0.5, total - top_n + 0.5 * (vocabulary - own + 1))))  # what the other tokens' shares add up to
     gates = DEPTHS * SEEN
     start = np.tile(np.array([0.1, 0.45, 0.25, 0.3, 0.0], np.float32), (gates, 1))
-    m = Model(token, symbol, np.log10(n.astype(float) + 0.5), code, bits, [], start, np.tile(np.linspace(-14, 14, STEPS).astype(np.float32), gates))
+    m = Model(token, symbol, np.log10(n.astype(float) + 0.5), code, bits, [], start, np.tile(np.linspace(-14, 14, STEPS).astype(np.float32), gates), first_places(token))
     sc = docs.sparkSession.sparkContext
     m = m._replace(seen=_context_counts(learned, sc.broadcast(m)))
     weights, refine = _mixing(learned, sc.broadcast(m), total)
     shared = sc.broadcast(m._replace(weights=weights, refine=refine))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         m = shared.value
         rare = len(m.code.begin) - 2
         for batch in batches:
