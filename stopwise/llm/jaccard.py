@@ -218,9 +218,11 @@ def _regions(heads: DataFrame, total: int) -> DataFrame:
     return rare.unionByName(plain.mapInArrow(loose, "token long, node long"))
 
 
-def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose key is in keys (one column, key)."""
-    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def _texts_of(docs: DataFrame, keys: DataFrame, few: bool) -> DataFrame:
+    """Rows of docs whose key is in keys (one column, key; repeated ones if few, which are broadcast)."""
+    if not few:
+        keys = keys.distinct()
+        few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
 
@@ -242,8 +244,8 @@ class Sets(NamedTuple):
     k: int
     repeated: bool  # keys may repeat
 
-    def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, tokens) of the nodes (one column): whole hashes of 8 bytes, sorted."""
+    def of(self, nodes: DataFrame, few: bool) -> DataFrame:
+        """(node, tokens) of the nodes (one column; few: with repeats, few enough to broadcast): whole hashes of 8 bytes, sorted."""
         k = self.k
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,20 +256,20 @@ class Sets(NamedTuple):
                         names=["node", "tokens"],
                     )
 
-        out = _texts_of(self.docs, nodes.toDF("key").distinct()).select("key", "text").mapInArrow(emit, "node long, tokens binary")
+        out = _texts_of(self.docs, nodes.toDF("key"), few).select("key", "text").mapInArrow(emit, "node long, tokens binary")
         return out.dropDuplicates(["node"]) if self.repeated else out
 
 
-def _met(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], look: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """look over batches of pairs (a, b, further columns) with the bytes of both sides as columns ta and tb at the end; sets(nodes) gives (node, tokens)."""
+def _met(pairs: DataFrame, sets: Callable[[DataFrame, bool], DataFrame], look: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """look over batches of pairs (a, b, further columns) with the bytes of both sides as columns ta and tb at the end; sets(nodes, few) gives (node, tokens)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(look, batches)
 
     pairs = stash(pairs)
     small = pairs.count() <= BROADCAST_PAIRS
-    left = sets(pairs.select("a")).select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets(pairs.select("b")).select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    left = sets(pairs.select("a"), small).select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+    right = sets(pairs.select("b"), small).select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     return right.join(F.broadcast(pairs) if small else pairs, "b").join(left, "a").select(*pairs.columns, "ta", "tb").mapInArrow(each, schema)
 
 
@@ -304,8 +306,8 @@ def most_common(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
     return same + min(nx - len(x), ny - int(np.searchsorted(y, x[-1], "right")))
 
 
-def _prefixes(heads: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    return lambda nodes: heads.select("node", F.col("prefix").alias("tokens")).join(nodes.toDF("node").distinct(), "node", "left_semi")
+def _prefixes(heads: DataFrame) -> Callable[[DataFrame, bool], DataFrame]:
+    return lambda nodes, few: heads.select("node", F.col("prefix").alias("tokens")).join(F.broadcast(nodes.toDF("node")) if few else nodes.toDF("node").distinct(), "node", "left_semi")
 
 
 def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
@@ -485,7 +487,7 @@ def _joined(cells: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
                     v.append(x.node[j])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    met = _in_blocks(cells).join(sets.of(cells.select("node")), "node")
+    met = _in_blocks(cells).join(sets.of(cells.select("node"), cells.count() <= BROADCAST_IDS), "node")
     return met.groupBy("cell", "lo", "hi").applyInArrow(look, "u long, v long")
 
 
@@ -501,10 +503,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     plain = plain.withColumn("key", document_key(F.col("doc_id"), F.col("text")) if repeated else F.col("doc_id"))
     frequent = _frequent_shingles(plain, k)
     features = stash(_features(plain, k, num, den, frequent))
-    some = features.where("n > 0")
-    classes = stash(some.groupBy("d1", "d2", "n").agg(F.min("key").alias("node"), F.min("doc_id").alias("least")))
-    heads = some.join(classes.select(F.col("node").alias("key"), "d1", "d2"), ["key", "d1", "d2"], "left_semi").select(F.col("key").alias("node"), "n", "prefix")
-    heads = stash(heads.dropDuplicates(["node"]) if repeated else heads)
+    # equal sets have equal prefixes
+    grouped = features.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("node"), F.min("doc_id").alias("least"), F.min("prefix").alias("prefix"))
+    classes = stash(grouped)
+    heads = classes.select("node", "n", "prefix")
 
     total = features.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 6
     tokens = stash(_regions(heads, total))
@@ -515,23 +517,23 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     placed = stash(tokens.join(pivots, "token").groupBy("cell", "node").agg(F.max("m").alias("m")).where("cell <> node").join(heads.select("node", "n"), "node"))
     near = F.expr(f"{den} * common >= {num} * together")
     as_links = lambda measured: measured.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    stars = placed.join(heads.select(F.col("node").alias("cell"), F.col("n").alias("cell_n")), "cell")
+    centred = placed.join(heads.select(F.col("node").alias("cell"), F.col("n").alias("cell_n")), "cell")
     fits = F.expr(f"{den} * least(n, cell_n) >= {num} * greatest(n, cell_n)")
-    pairs = stars.where(fits).select(F.col("cell").alias("a"), F.col("node").alias("b"), F.col("cell_n").alias("na"), F.col("n").alias("nb"))
-    links = stash(as_links(_measured(_possible(pairs, heads, num, den), sets)))
-    part = _parts(star_components(links))
+    pairs = centred.where(fits).select(F.col("cell").alias("a"), F.col("node").alias("b"), F.col("cell_n").alias("na"), F.col("n").alias("nb"))
+    stars = star_components(as_links(_measured(_possible(pairs, heads, num, den), sets)))
+    part = _parts(stars)
 
     # a region of two is its pivot and a document, which have been measured
     cells = stash(_labelled(placed.where("m > 2").select("cell", "node", "n"), part).select("cell", "node", "n"))
     done, known = _recurred(cells, sets, num, den)
     if known:
-        links = stash(reduce(DataFrame.unionByName, [links, *map(as_links, known)]))
-        part = _parts(star_components(links))
+        stars = star_components(reduce(DataFrame.unionByName, [stars, *map(as_links, known)]))
+        part = _parts(stars)
     small = stash(_labelled(reduce(DataFrame.unionByName, done), part))
     found = _joined(_may_link(small, heads, num, den), sets, num, den)
 
-    final = _parts(star_components(links.unionByName(found)))
-    whole = classes.join(final, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    final = _parts(star_components(stars.unionByName(found)))
+    whole = classes.drop("prefix").join(final, "node", "left").withColumn("part", F.coalesce("part", "node"))
     named = whole.join(whole.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("d1", "d2", "n", "component_id", F.col("part").alias("component_key"))
     out = features.select("key", "doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", F.coalesce("component_key", "key").alias("component_key"))
@@ -544,4 +546,4 @@ def document_key(doc_id: Column, text: Column) -> Column:
 
 def _parts(stars: DataFrame) -> DataFrame:
     """(node, part) of the nodes that are not the least of their component."""
-    return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("part"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("part"))
