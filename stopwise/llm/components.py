@@ -75,7 +75,8 @@ def star_components(edges: DataFrame) -> DataFrame:
     """From links (u, v): each u that is not the smallest of its component, with the smallest as v.
 
     Links of a node with itself and nulls are ignored; a hub's links are
-    combined before each shuffle, so no task holds a component.
+    combined before each shuffle, so no task holds a component.  Links that tasks
+    make in Python should be written first: each task would have two workers.
     """
     now = stash(_contracted(edges.select("u", "v").where("u <> v")))
     for step in range(MOST_STEPS):

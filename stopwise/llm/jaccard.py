@@ -520,7 +520,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     centred = placed.join(heads.select(F.col("node").alias("cell"), F.col("n").alias("cell_n")), "cell")
     fits = F.expr(f"{den} * least(n, cell_n) >= {num} * greatest(n, cell_n)")
     pairs = centred.where(fits).select(F.col("cell").alias("a"), F.col("node").alias("b"), F.col("cell_n").alias("na"), F.col("n").alias("nb"))
-    stars = star_components(as_links(_measured(_possible(pairs, heads, num, den), sets)))
+    # links are written before components contract them in tasks: a task so has one Python worker at a time, not two, and an
+    # executor keeps the workers that it once had
+    stars = star_components(stash(as_links(_measured(_possible(pairs, heads, num, den), sets))))
     part = _parts(stars)
 
     # a region of two is its pivot and a document, which have been measured
@@ -530,7 +532,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
         stars = star_components(reduce(DataFrame.unionByName, [stars, *map(as_links, known)]))
         part = _parts(stars)
     small = stash(_labelled(reduce(DataFrame.unionByName, done), part))
-    found = _joined(_may_link(small, heads, num, den), sets, num, den)
+    found = stash(_joined(_may_link(small, heads, num, den), sets, num, den))
 
     final = _parts(star_components(stars.unionByName(found)))
     whole = classes.drop("prefix").join(final, "node", "left").withColumn("part", F.coalesce("part", "node"))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stopwise.llm import jaccard, queries
+from stopwise.llm import components, jaccard, queries
 
 
 def shingles(text, k):
@@ -137,3 +137,16 @@ def test_frequent_shingles_are_counted_over_all_documents(spark, monkeypatch, sl
 
 def test_frequent_shingles_of_nothing(spark):
     assert len(jaccard._frequent_shingles(spark.createDataFrame([], "doc_id long, text string"), 2)) == 0
+
+
+def test_tasks_have_one_python_worker(spark, sf_dir, monkeypatch):
+    """Links are tables when components contract them; a plan that makes them in the same tasks doubles an executor's workers."""
+    plans = []
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components.star_components(links)
+
+    monkeypatch.setattr(jaccard, "star_components", seen)
+    jaccard.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100)
+    assert len(plans) >= 2 and not [p for p in plans if "InArrow" in p]
