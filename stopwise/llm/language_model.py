@@ -62,6 +62,8 @@ DEPTHS, SEEN = 14, 4
 STEPS = 33
 
 END = np.uint64(0x5EED0FE4D)
+#: Sums of the runs of an array that begin at given places.
+run_sums = np.add.reduceat
 
 
 class Code(NamedTuple):
@@ -109,7 +111,7 @@ def huffman(counts: np.ndarray) -> Code:
             paths[x] = path
     begin = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
     flat = [x for p in paths for x in p]
-    return Code(begin, np.array([n for n, _ in flat], np.int32), np.array([b for _, b in flat], np.int8), max(1, serial - len(counts)))
+    return Code(begin, np.array([n for n, _ in flat], np.int64), np.array([b for _, b in flat], np.int8), max(1, serial - len(counts)))
 
 
 def keep_memory() -> None:
@@ -159,10 +161,11 @@ def events(row: np.ndarray, h: np.ndarray, symbol: np.ndarray, code: Code, bits:
     begin = code.begin[by]
     size = code.begin[by + 1] - begin
     ends = np.concatenate([[0], np.cumsum(size)])
-    depth = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-    at = depth + np.repeat(begin, size)
-    node = code.node[at]
-    salt = code.salts()[node]
+    at = np.arange(ends[-1])
+    depth = at - np.repeat(ends[:-1], size)
+    at += np.repeat(begin - ends[:-1], size)
+    node = code.node.take(at, mode="clip")
+    salt = code.salts().take(node, mode="clip")
     slots = []
     for c in (one, two):
         h = np.repeat(c[order], size)
@@ -171,7 +174,7 @@ def events(row: np.ndarray, h: np.ndarray, symbol: np.ndarray, code: Code, bits:
         h >>= np.uint64(64 - bits)
         slots.append(h.view(np.int64))
     bounds = ends[np.searchsorted(block, np.arange((int(block[-1]) if n else -1) + 2))]
-    return Events(np.repeat(row[order], size), node, code.bit[at], np.minimum(depth, DEPTHS - 1, out=depth), slots, bounds)
+    return Events(np.repeat(row[order], size), node, code.bit.take(at, mode="clip"), np.minimum(depth, DEPTHS - 1, out=depth), slots, bounds)
 
 
 def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +188,9 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
     w = [np.array(x, np.float32) if learn else np.tile(x.astype(np.float32), rows) for x in weights.T]
     # of NumPy's own type object, which an unpickled array's is not: indexed additions are then fast
     refine = None if learn else np.tile(m.refine.astype(np.float32), rows)
+    # zeros and ones side by side, so that one look finds both
     seen = np.zeros(2 * rows * OWN_SLOTS, np.float32)
+    pairs = seen.view(np.complex64)
     total, table = np.zeros(rows), np.zeros((gates * STEPS, 2))
     bit = ev.bit.astype(np.float32)
     inputs = np.empty((INPUTS - 1, len(bit)), np.float32)
@@ -198,12 +203,13 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
     if learn:
         z, o = np.maximum(z - (one32 - own), 0), np.maximum(o - own, 0)
     odds = (o + np.float32(0.4)) / (z + np.float32(0.4))
-    inputs[0] = np.log(odds)[at]
-    for_one = (2 * np.clip(odds / (one32 + odds), np.float32(1e-6), np.float32(1 - 1e-6)))[at]
+    # places are all in range: take does not look again if told to clip
+    np.log(odds).take(at, mode="clip", out=inputs[0])
+    for_one = (2 * np.clip(odds / (one32 + odds), np.float32(1e-6), np.float32(1 - 1e-6))).take(at, mode="clip")
     for_zero = np.float32(2) - for_one
     n = None
     for i, at in enumerate(ev.slots, 1):
-        both = m.seen[i][at]
+        both = m.seen[i].take(at, mode="clip")
         o = (both & np.uint32(0xFFFF)).astype(np.float32)
         both >>= np.uint32(16)
         z = both.astype(np.float32)
@@ -220,27 +226,27 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
         o /= z
         np.log(o, out=inputs[i])
     gate = ev.depth * SEEN
-    for least in (3, 30, 300):
-        gate += n >= least
-    place = (((np.arange(m.code.nodes) * np.int64(0x9E3779B1) >> 7) % OWN_SLOTS) * 2)[ev.node]
-    place += ev.row * (2 * OWN_SLOTS)
+    gate += sum((n >= least).view(np.int8) for least in (3, 30, 300))
+    place = ((np.arange(m.code.nodes) * np.int64(0x9E3779B1) >> 7) % OWN_SLOTS).take(ev.node, mode="clip")
+    place += ev.row * OWN_SLOTS
+    spot = 2 * place
+    spot += ev.bit
     for_one *= np.float32(1.5)
     for_zero *= np.float32(1.5)
     cost = np.empty(0 if learn else len(bit), np.float32)  # of each bit: minus the logarithm of its probability
     for k, (a, b) in enumerate(zip(ev.bounds[:-1], ev.bounds[1:], strict=False)):
         rate = np.float32(RATE / np.sqrt(min(2 ** max(0, k - 1), LAST_BLOCK // BLOCK)))
         r, x, y, key = ev.row[a:b], inputs[:, a:b], bit[a:b], place[a:b]
-        ones = seen[key + 1]
-        ones += for_one[a:b]
-        zeros = seen[key]
-        zeros += for_zero[a:b]
-        ones /= zeros
+        own = pairs.take(key, mode="clip")
+        ones = own.imag + for_one[a:b]
+        ones /= own.real + for_zero[a:b]
         np.log(ones, out=x[ORDERS + 1])
         g = gate[a:b] if learn else r * gates + gate[a:b]
-        dot = w[INPUTS - 1][g]
+        dot = w[INPUTS - 1].take(g, mode="clip")
         dot *= bias
+        part = np.empty_like(dot)
         for i in range(INPUTS - 1):
-            part = w[i][g]
+            w[i].take(g, mode="clip", out=part)
             part *= x[i]
             dot += part
         np.clip(dot, np.float32(-14), np.float32(14), out=dot)
@@ -265,8 +271,8 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
                 w[i] += np.bincount(g, error * (x[i] if i < INPUTS - 1 else bias), gates).astype(np.float32) / active
         else:
             left += r * (gates * STEPS)
-            refined = refine[left]
-            rise = refine[left + 1]
+            refined = refine.take(left, mode="clip")
+            rise = refine[1:].take(left, mode="clip")
             rise -= refined
             rise *= step
             refined += rise
@@ -287,9 +293,13 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
             np.add.at(refine, left, missed)
             for i in range(INPUTS):
                 np.add.at(w[i], g, error * (x[i] if i < INPUTS - 1 else bias))
-        np.add.at(seen, key + ev.bit[a:b], one32)
+        np.add.at(seen, spot[a:b], one32)
     if not learn:
-        total = np.bincount(ev.row, cost, rows) / -np.log(2)
+        # the bits of a row and block are summed first, whatever rows are beside them
+        first = np.concatenate([[True], ev.row[1:] != ev.row[:-1]]) if len(cost) else np.zeros(0, bool)
+        first[ev.bounds[ev.bounds < len(cost)]] = True
+        first = np.flatnonzero(first)
+        total = np.bincount(ev.row[first], run_sums(cost.astype(float), first) if len(first) else None, rows) / -np.log(2)
     return total, np.stack(w, axis=1), table
 
 
@@ -336,7 +346,10 @@ def _context_counts(rows: DataFrame, shared) -> list[np.ndarray]:
             for _, _, row, h in tokens(batch.column(0)):
                 ev = events(row, h, _symbols(h, m)[0], m.code, bits)
                 for lo, s in zip(begin, (ev.node, *ev.slots), strict=False):
-                    np.add.at(total, 2 * (s.astype(np.int64) + lo) + ev.bit, np.uint32(1))
+                    at = s + lo
+                    at <<= 1
+                    at += ev.bit
+                    np.add.at(total, at, np.uint32(1))
         for i, part in enumerate(np.split(total, _SLICES)):
             # a task's counts in 16 bits, of larger ones the rest in rows of their own
             while part.any():

@@ -336,3 +336,20 @@ def test_tokens_are_found_by_their_first_bits(size):
     assert got.tolist() == want
     rare = len(m.code.begin) - 2
     assert got_symbol.tolist() == [symbol[i] if i >= 0 else rare for i in want]
+
+
+def test_places_of_bits_are_indexes_and_rows_are_scored_alone():
+    """Places of another type are cast at each look; sums of rows do not depend on the rows beside them."""
+    import numpy as np
+
+    L = language_model
+    m = plain_model(np.tile(np.linspace(-14, 14, L.STEPS).astype(np.float32), L.DEPTHS * L.SEEN))
+    row = np.repeat(np.arange(3), [300, 1, 90])
+    symbol = np.arange(len(row)) * 7 % 4
+    score = lambda row, symbol, rows: L.run(L.events(row, symbol.astype(np.uint64), symbol, m.code, m.bits), rows, m, m.weights, False)[0]
+    together = score(row, symbol, 3)
+    assert together.tolist() == [score(row[row == r] * 0, symbol[row == r], 1)[0] for r in range(3)]
+    ev = L.events(row, symbol.astype(np.uint64), symbol, m.code, m.bits)
+    assert all(x.dtype == np.intp for x in (ev.row, ev.node, ev.depth, *ev.slots, L.huffman(np.arange(1, 9)).node))
+    empty = np.zeros(0, np.int64)
+    assert score(empty, empty, 2).tolist() == [0, 0]
