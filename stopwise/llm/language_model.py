@@ -50,16 +50,21 @@ FIRST_BITS = 18
 #: Slots of each order's contexts: 2**LEAST_BITS to 2**SLOT_BITS (4 bytes each).
 LEAST_BITS, SLOT_BITS = 16, 20
 ORDERS = 2
-#: Counters of a document's own bits.
-OWN_SLOTS = 4_096
+#: Counters of a document's own bits: 2**OWN_BITS.
+OWN_BITS = 12
 #: Tokens of a document's first block, and of its last ones: blocks double in size, and their rate falls with the root of it.
 BLOCK, LAST_BLOCK = 64, 1_024
 RATE = 0.02
 #: Training tokens of a group of texts that learns weights of its own, about, and parts of one in which their sums are counted.
 GROUP_TOKENS, WHOLE = 1_000_000, 1 << 20
 INPUTS = 5  # order 0, order 1, order 2, the document, bias
-DEPTHS, SEEN = 14, 4
+DEPTHS, SEEN_BITS = 14, 2
+SEEN = 1 << SEEN_BITS
 STEPS = 33
+#: Bits of Code.packed below the depth.
+DEPTH_AT = 26
+#: Bits, about, of a slice: its arrays stay in the processor's cache from one operation to the next.
+SLICE = 16_384
 
 END = np.uint64(0x5EED0FE4D)
 #: Sums of the runs of an array that begin at given places.
@@ -73,9 +78,8 @@ class Code(NamedTuple):
     node: np.ndarray
     bit: np.ndarray
     nodes: int
-
-    def salts(self) -> np.ndarray:
-        return mix(np.arange(1, self.nodes + 1, dtype=np.uint64))
+    salts: np.ndarray  # of each node
+    packed: np.ndarray  # at each place of a path: node, bit and depth in one number, so that one look finds all
 
 
 class Model(NamedTuple):
@@ -111,7 +115,9 @@ def huffman(counts: np.ndarray) -> Code:
             paths[x] = path
     begin = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
     flat = [x for p in paths for x in p]
-    return Code(begin, np.array([n for n, _ in flat], np.int64), np.array([b for _, b in flat], np.int8), max(1, serial - len(counts)))
+    node, bit, nodes = np.array([n for n, _ in flat], np.int64), np.array([b for _, b in flat], np.int8), max(1, serial - len(counts))
+    depth = np.minimum(np.arange(len(node)) - np.repeat(begin[:-1], np.diff(begin)), DEPTHS - 1)
+    return Code(begin, node, bit, nodes, mix(np.arange(1, nodes + 1, dtype=np.uint64)), (depth << DEPTH_AT | node << 1 | bit).astype(np.int32))
 
 
 def keep_memory() -> None:
@@ -128,7 +134,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Events(NamedTuple):
-    """The bits of a run of texts in order of (block, row, place)."""
+    """The bits of a run of texts in order of (block, whether the row ends in it, row, place)."""
 
     row: np.ndarray
     node: np.ndarray
@@ -136,6 +142,8 @@ class Events(NamedTuple):
     depth: np.ndarray
     slots: list[np.ndarray]
     bounds: np.ndarray  # where each block begins; one more at the end
+    ending: np.ndarray  # where the bits of rows that end in it begin in each block
+    runs: np.ndarray  # where the bits of a row in a block begin
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -146,35 +154,68 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield w.first, w.last, np.insert(w.row, at, np.arange(rows)), np.insert(w.hash, at, END)
 
 
-def events(row: np.ndarray, h: np.ndarray, symbol: np.ndarray, code: Code, bits: int) -> Events:
+def contexts(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: its place in its row, and 32-bit hashes of the word before and of the two before, side by side."""
     n = len(row)
     start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     place = np.arange(n) - np.repeat(start, np.diff(np.concatenate([start, [n]])))
     one = np.where(place > 0, np.concatenate([[END], h[:-1]]), END)
     two = mix(np.where(place > 1, mix(np.concatenate([[END, END], h[:-2]])[:n] + np.uint64(77)) ^ one, one + np.uint64(5)))
-    one = mix(one)
-    # tokens are in order of row and place, so a stable sort by block is enough
+    return place, mix(one) >> np.uint64(32) | two & np.uint64(0xFFFFFFFF00000000)
+
+
+def spans(hashes: np.ndarray, symbol: np.ndarray, code: Code) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The bits of tokens, a slice of whole tokens at a time: first bit, last bit, Code.packed, node, and hashes of it with each of the two contexts, side by side."""
+    begin = code.begin.take(symbol)
+    size = code.begin.take(symbol + 1) - begin
+    ends = np.concatenate([[0], np.cumsum(size)])
+    begin -= ends[:-1]
+    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, ends[-1], SLICE)), [len(symbol)]])).tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        a, b, times = int(ends[i]), int(ends[j]), size[i:j]
+        at = np.repeat(begin[i:j], times)
+        at += np.arange(a, b)
+        packed = code.packed.take(at, mode="clip")
+        node = ((packed & (1 << DEPTH_AT) - 1) >> 1).astype(np.int64)
+        h = np.repeat(hashes[i:j], times)
+        h ^= code.salts.take(node, mode="clip")
+        halves = h.view(np.uint32)
+        halves *= np.uint32(0x9E3779B1)
+        yield a, b, packed, node, h
+
+
+def slots_of(h: np.ndarray, bits: int, into: list[np.ndarray]) -> None:
+    """The slots of both contexts from hashes that spans() gave, which are overwritten."""
+    np.right_shift(h, np.uint64(64 - bits), out=into[1].view(np.uint64))
+    h &= np.uint64(0xFFFFFFFF)
+    np.right_shift(h, np.uint64(32 - bits), out=into[0].view(np.uint64))
+
+
+def events(row: np.ndarray, h: np.ndarray, symbol: np.ndarray, code: Code, bits: int) -> Events:
+    place, hashes = contexts(row, h)
     doubled = int(np.log2(LAST_BLOCK // BLOCK))
     block = np.where(place < LAST_BLOCK, np.floor(np.log2(place // BLOCK + 1)), doubled - 1 + place // LAST_BLOCK).astype(np.int32)
+    # tokens are in order of row and place, so a stable sort by block, and by whether it is the row's last one, is enough
+    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([new, [len(row)]]))
+    block <<= 1
+    block += block == np.repeat(block[new + size - 1], size)
     order = np.argsort(block, kind="stable")
-    block, by = block[order], symbol[order]
-    begin = code.begin[by]
-    size = code.begin[by + 1] - begin
-    ends = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(ends[-1])
-    depth = at - np.repeat(ends[:-1], size)
-    at += np.repeat(begin - ends[:-1], size)
-    node = code.node.take(at, mode="clip")
-    salt = code.salts().take(node, mode="clip")
-    slots = []
-    for c in (one, two):
-        h = np.repeat(c[order], size)
-        h ^= salt
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h >>= np.uint64(64 - bits)
-        slots.append(h.view(np.int64))
-    bounds = ends[np.searchsorted(block, np.arange((int(block[-1]) if n else -1) + 2))]
-    return Events(np.repeat(row[order], size), node, code.bit.take(at, mode="clip"), np.minimum(depth, DEPTHS - 1, out=depth), slots, bounds)
+    block, by, row = block[order], symbol[order], row[order]
+    ends = np.concatenate([[0], np.cumsum(code.begin[by + 1] - code.begin[by])])
+    n = int(ends[-1])
+    node, bit, depth, slots = np.empty(n, np.int64), np.empty(n, np.int8), np.empty(n, np.int64), [np.empty(n, np.int64) for _ in range(ORDERS)]
+    for a, b, packed, at, h in spans(hashes[order], by, code):
+        node[a:b] = at
+        bit[a:b] = packed & 1
+        depth[a:b] = packed >> DEPTH_AT
+        slots_of(h, bits, [x[a:b] for x in slots])
+    blocks = (int(block[-1]) >> 1) + 1 if len(block) else 0
+    bounds = ends[np.searchsorted(block, 2 * np.arange(blocks + 1))]
+    ending = ends[np.searchsorted(block, 2 * np.arange(blocks) + 1)]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
+    runs = ends[first]
+    return Events(np.repeat(row[first], np.diff(np.concatenate([runs, [n]]))), node, bit, depth, slots, bounds, ending, runs)
 
 
 def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,88 +230,115 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
     # of NumPy's own type object, which an unpickled array's is not: indexed additions are then fast
     refine = None if learn else np.tile(m.refine.astype(np.float32), rows)
     # zeros and ones side by side, so that one look finds both
-    seen = np.zeros(2 * rows * OWN_SLOTS, np.float32)
+    seen = np.zeros(2 * rows << OWN_BITS, np.float32)
     pairs = seen.view(np.complex64)
     total, table = np.zeros(rows), np.zeros((gates * STEPS, 2))
-    bit = ev.bit.astype(np.float32)
-    inputs = np.empty((INPUTS - 1, len(bit)), np.float32)
-    bias = np.float32(0.3)
+    bias, most = np.float32(0.3), np.float32(14)
     # order 0 for each node, or for node and bit if the bit's own count is taken out
-    both, at, own = m.seen[0], ev.node, np.zeros(1, np.float32)
+    both, own = m.seen[0], np.zeros(1, np.float32)
     if learn:
-        both, at, own = np.repeat(both, 2), 2 * ev.node + ev.bit, np.tile(np.array([0, 1], np.float32), m.code.nodes)
+        both, own = np.repeat(both, 2), np.tile(np.array([0, 1], np.float32), m.code.nodes)
     z, o = (both >> np.uint32(16)).astype(np.float32), (both & np.uint32(0xFFFF)).astype(np.float32)
     if learn:
         z, o = np.maximum(z - (one32 - own), 0), np.maximum(o - own, 0)
     odds = (o + np.float32(0.4)) / (z + np.float32(0.4))
-    # places are all in range: take does not look again if told to clip
-    np.log(odds).take(at, mode="clip", out=inputs[0])
-    for_one = (2 * np.clip(odds / (one32 + odds), np.float32(1e-6), np.float32(1 - 1e-6))).take(at, mode="clip")
-    for_zero = np.float32(2) - for_one
-    n = None
-    for i, at in enumerate(ev.slots, 1):
-        both = m.seen[i].take(at, mode="clip")
-        o = (both & np.uint32(0xFFFF)).astype(np.float32)
-        both >>= np.uint32(16)
-        z = both.astype(np.float32)
-        if learn:
-            # the bit's own count is one of them, if any
-            z += bit
-            z -= one32
-            o -= bit
-            np.maximum(z, 0, out=z)
-            np.maximum(o, 0, out=o)
-        n = z + o if i == ORDERS else None
-        o += for_one
-        z += for_zero
-        o /= z
-        np.log(o, out=inputs[i])
-    gate = ev.depth * SEEN
-    gate += sum((n >= least).view(np.int8) for least in (3, 30, 300))
-    place = ((np.arange(m.code.nodes) * np.int64(0x9E3779B1) >> 7) % OWN_SLOTS).take(ev.node, mode="clip")
-    place += ev.row * OWN_SLOTS
-    spot = 2 * place
-    spot += ev.bit
-    for_one *= np.float32(1.5)
-    for_zero *= np.float32(1.5)
-    cost = np.empty(0 if learn else len(bit), np.float32)  # of each bit: minus the logarithm of its probability
-    for k, (a, b) in enumerate(zip(ev.bounds[:-1], ev.bounds[1:], strict=False)):
+    # its input, and the others' prior count of ones
+    order_0 = np.empty(len(odds), np.complex64)
+    order_0.real, order_0.imag = np.log(odds), 2 * np.clip(odds / (one32 + odds), np.float32(1e-6), np.float32(1 - 1e-6))
+    # places are all in range: take does not look again if told to clip; one table after the other stays in the cache
+    counts = [x.take(at, mode="clip") for x, at in zip(m.seen[1:], ev.slots, strict=True)]
+    cost = np.empty(0 if learn else len(ev.bit), np.float32)  # of each bit: minus the logarithm of its probability
+    largest = int((ev.ending - ev.bounds[:-1]).max(initial=0))
+    spot = np.empty(largest, np.int64)
+    near, missed = (np.empty(0 if learn else largest, t) for t in (np.int64, np.float32))
+    seen_cells, nearness = (np.zeros(2 * len(table) if learn else 0) for _ in range(2))
+    for k, (begin, ending, end) in enumerate(zip(ev.bounds[:-1].tolist(), ev.ending.tolist(), ev.bounds[1:].tolist(), strict=True)):
         rate = np.float32(RATE / np.sqrt(min(2 ** max(0, k - 1), LAST_BLOCK // BLOCK)))
-        r, x, y, key = ev.row[a:b], inputs[:, a:b], bit[a:b], place[a:b]
-        own = pairs.take(key, mode="clip")
-        ones = own.imag + for_one[a:b]
-        ones /= own.real + for_zero[a:b]
-        np.log(ones, out=x[ORDERS + 1])
-        g = gate[a:b] if learn else r * gates + gate[a:b]
-        dot = w[INPUTS - 1].take(g, mode="clip")
-        dot *= bias
-        part = np.empty_like(dot)
-        for i in range(INPUTS - 1):
-            w[i].take(g, mode="clip", out=part)
-            part *= x[i]
-            dot += part
-        np.clip(dot, np.float32(-14), np.float32(14), out=dot)
-        away = np.exp(-dot)
-        step = (dot + np.float32(14)) * np.float32((STEPS - 1) / 28)
-        left = np.minimum(step.astype(np.int64), STEPS - 2)
-        step -= left
-        left += gate[a:b] * STEPS
-        error = y - one32 / (one32 + away)
-        error *= rate
-        if learn:
-            # a bit counts for the two cells about it, each by its nearness
-            side = 2 * left + ev.bit[a:b]
-            count = np.bincount(side, minlength=2 * len(table)).reshape(-1, 2)
-            upper = np.bincount(side, step, 2 * len(table)).reshape(-1, 2)
-            count = count - upper
-            count[1:] += upper[:-1]
-            table[:, 0] += count.sum(axis=1)
-            table[:, 1] += count[:, 1]
-            active = np.float32(1 + np.count_nonzero(r[1:] != r[:-1]))
-            for i in range(INPUTS):
-                w[i] += np.bincount(g, error * (x[i] if i < INPUTS - 1 else bias), gates).astype(np.float32) / active
-        else:
-            left += r * (gates * STEPS)
+        moves = [np.zeros(len(x), np.float64 if learn else np.float32) for x in w]
+        # a slice at a time; what it learns counts after the block, and not for rows that end in it
+        for a in (*range(begin, ending, SLICE), *range(ending, end, SLICE)):
+            last = a >= ending
+            b = min(a + SLICE, end if last else ending)
+            r, node, bit, inside = ev.row[a:b], ev.node[a:b], ev.bit[a:b], slice(a - begin, b - begin)
+            y = bit.astype(np.float32)
+            zero = one32 - y
+            at = node
+            if learn:
+                at = node << 1
+                at += bit
+            prior = order_0.take(at, mode="clip")
+            x, for_one = [prior.real.copy()], prior.imag.copy()
+            for_zero = np.float32(2) - for_one
+            for both in counts:
+                both = both[a:b]
+                o = (both & np.uint32(0xFFFF)).astype(np.float32)
+                z = (both >> np.uint32(16)).astype(np.float32)
+                if learn:
+                    # the bit's own count is one of them, if any
+                    z -= zero
+                    o -= y
+                    np.maximum(z, np.float32(0), out=z)
+                    np.maximum(o, np.float32(0), out=o)
+                n = z + o
+                o += for_one
+                z += for_zero
+                o /= z
+                x.append(np.log(o, out=o))
+            often = (n >= 3).view(np.int8)
+            often += (n >= 30).view(np.int8)
+            often += (n >= 300).view(np.int8)
+            gate = ev.depth[a:b] << SEEN_BITS
+            gate += often
+            for_one *= np.float32(1.5)
+            for_zero *= np.float32(1.5)
+            if k or not last:
+                key = node * np.int64(0x9E3779B1)
+                key >>= 7
+                key &= (1 << OWN_BITS) - 1
+                key += r << OWN_BITS
+            if k:
+                own = pairs.take(key, mode="clip")
+                for_one += own.imag
+                for_zero += own.real
+            if not last:
+                key <<= 1
+                np.add(key, bit, out=spot[inside])
+            for_one /= for_zero
+            x += [np.log(for_one, out=for_one), bias]
+            g = gate
+            if not learn:
+                g = r * gates
+                g += gate
+            dot = w[INPUTS - 1].take(g, mode="clip")
+            dot *= bias
+            for i in range(INPUTS - 1):
+                part = w[i].take(g, mode="clip")
+                part *= x[i]
+                dot += part
+            np.minimum(dot, most, out=dot)
+            np.maximum(dot, -most, out=dot)
+            away = np.exp(-dot)
+            step = dot + most
+            step *= np.float32((STEPS - 1) / 28)
+            whole = np.floor(step)
+            np.minimum(whole, np.float32(STEPS - 2), out=whole)
+            step -= whole
+            # the cell of the refining map, of the row's own if it has one
+            left = g * STEPS
+            left += whole.astype(np.int64)
+            if learn or not last:
+                error = away + one32
+                np.divide(-rate, error, out=error)
+                error += rate * y
+            if learn:
+                # a bit counts for the two cells about it, each by its nearness
+                left <<= 1
+                left += bit
+                seen_cells += np.bincount(left, minlength=len(seen_cells))
+                nearness += np.bincount(left, step, len(nearness))
+                for i in range(INPUTS):
+                    moves[i] += np.bincount(g, error * x[i], gates)
+                continue
             refined = refine.take(left, mode="clip")
             rise = refine[1:].take(left, mode="clip")
             rise -= refined
@@ -280,26 +348,37 @@ def run(ev: Events, rows: int, m: Model, weights: np.ndarray, learn: bool) -> tu
             # odds against a one are the root of both's; a zero has them times the probability of a one
             away *= unlike
             np.sqrt(away, out=away)
-            np.log(away + one32, out=cost[a:b])
+            away += one32
+            np.log(away, out=cost[a:b])
             dot += refined
             dot *= np.float32(0.5)
-            dot *= one32 - y
+            dot *= zero
             cost[a:b] += dot
+            if last:
+                continue
+            for i in range(INPUTS):
+                np.add.at(moves[i], g, error * x[i])
             # the nearer cell learns what the refined value missed
             unlike += one32
-            missed = y - one32 / unlike
-            missed *= rate
-            left += step > 0.5
-            np.add.at(refine, left, missed)
-            for i in range(INPUTS):
-                np.add.at(w[i], g, error * (x[i] if i < INPUTS - 1 else bias))
-        np.add.at(seen, spot[a:b], one32)
-    if not learn:
+            np.divide(-rate, unlike, out=unlike)
+            np.add(unlike, rate * y, out=missed[inside])
+            np.add(left, step > 0.5, out=near[inside])
+        if learn:
+            active = np.float32(np.searchsorted(ev.runs, end) - np.searchsorted(ev.runs, begin))
+            moves = [x.astype(np.float32) / active for x in moves]
+        else:
+            np.add.at(refine, near[: ending - begin], missed[: ending - begin])
+        for x, move in zip(w, moves, strict=True):
+            x += move
+        np.add.at(seen, spot[: ending - begin], one32)
+    if learn:
+        upper = nearness.reshape(-1, 2)
+        count = seen_cells.reshape(-1, 2) - upper
+        count[1:] += upper[:-1]
+        table = np.stack([count.sum(axis=1), count[:, 1]], axis=1)
+    if not learn and len(cost):
         # the bits of a row and block are summed first, whatever rows are beside them
-        first = np.concatenate([[True], ev.row[1:] != ev.row[:-1]]) if len(cost) else np.zeros(0, bool)
-        first[ev.bounds[ev.bounds < len(cost)]] = True
-        first = np.flatnonzero(first)
-        total = np.bincount(ev.row[first], run_sums(cost.astype(float), first) if len(first) else None, rows) / -np.log(2)
+        total = np.bincount(ev.row[ev.runs], run_sums(cost.astype(float), ev.runs), rows) / -np.log(2)
     return total, np.stack(w, axis=1), table
 
 
@@ -312,10 +391,14 @@ def _symbols(h: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """Symbol of each token, and its place among the broadcast tokens (-1: not one of them)."""
     if not len(m.tokens):
         return np.full(len(h), len(m.code.begin) - 2), np.full(len(h), -1)
-    place = m.first[(h >> np.uint64(64 - FIRST_BITS)).view(np.int64)]
-    rest = np.flatnonzero(m.tokens[place] != h)
-    place[rest] = np.minimum(np.searchsorted(m.tokens, h[rest]), len(m.tokens) - 1)
-    place = np.where(m.tokens[place] == h, place, -1)
+    place = m.first.take((h >> np.uint64(64 - FIRST_BITS)).view(np.int64))
+    # few tokens have the same first bits, so the next ones are looked at in turn
+    rest = np.flatnonzero((m.tokens.take(place) < h) & (place < len(m.tokens) - 1))
+    while len(rest):
+        next_place = place[rest] + 1
+        place[rest] = next_place
+        rest = rest[(m.tokens.take(next_place) < h[rest]) & (next_place < len(m.tokens) - 1)]
+    place = np.where(m.tokens.take(place) == h, place, -1)
     return np.where(place >= 0, m.symbol[place], len(m.code.begin) - 2), place
 
 
@@ -333,23 +416,37 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 _SLICES = 64
 
 
+def _within(zeros_ones: np.ndarray) -> np.ndarray:
+    """Zeros and ones of each row in 16 bits of a number each; larger counts keep their ratio."""
+    most = zeros_ones.max(axis=1, keepdims=True)
+    total = np.where(most > 65_535, np.maximum(zeros_ones * 65_535 // np.maximum(most, 1), zeros_ones > 0), zeros_ones)
+    return (total[:, 0] << 16 | total[:, 1]).astype(np.uint32)
+
+
+def _node_counts(code: Code, counts: np.ndarray) -> np.ndarray:
+    """Zeros and ones of each node: a symbol's tokens all go its path."""
+    total = np.zeros(2 * code.nodes, np.int64)
+    np.add.at(total, code.packed & (1 << DEPTH_AT) - 1, np.repeat(counts.astype(np.int64), np.diff(code.begin)))
+    return _within(total.reshape(-1, 2))
+
+
 def _context_counts(rows: DataFrame, shared) -> list[np.ndarray]:
-    """Zeros and ones seen per order: tables of bounded size, summed slice by slice in tasks."""
-    nodes, bits = shared.value.code.nodes, shared.value.bits
-    begin = [0, *[nodes + (i << bits) for i in range(ORDERS + 1)]]
-    size = begin[-1] + -begin[-1] % _SLICES
+    """Zeros and ones seen in the slots of each order's contexts: tables of bounded size, summed slice by slice in tasks."""
+    bits = shared.value.bits
+    size = ORDERS << bits
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
         m, total = shared.value, np.zeros(2 * size, np.uint32)
+        # zeros and ones side by side, so that one addition finds both
+        both, unit = total.view("<u8"), np.array([1, 1 << 32], np.uint64)
         for batch in batches:
             for _, _, row, h in tokens(batch.column(0)):
-                ev = events(row, h, _symbols(h, m)[0], m.code, bits)
-                for lo, s in zip(begin, (ev.node, *ev.slots), strict=False):
-                    at = s + lo
-                    at <<= 1
-                    at += ev.bit
-                    np.add.at(total, at, np.uint32(1))
+                for a, b, packed, _, hashes in spans(contexts(row, h)[1], _symbols(h, m)[0], m.code):
+                    seen, slots = unit.take(packed & 1, mode="clip"), [np.empty(b - a, np.int64) for _ in range(ORDERS)]
+                    slots_of(hashes, bits, slots)
+                    for i, at in enumerate(slots):
+                        np.add.at(both[i << bits : i + 1 << bits], at, seen)
         for i, part in enumerate(np.split(total, _SLICES)):
             # a task's counts in 16 bits, of larger ones the rest in rows of their own
             while part.any():
@@ -361,17 +458,14 @@ def _context_counts(rows: DataFrame, shared) -> list[np.ndarray]:
         for batch in batches:
             for x in batch.column(1):
                 total += np.frombuffer(x.as_buffer(), "<u2").reshape(-1, 2)
-        # larger counts keep their ratio
-        most = total.max(axis=1, keepdims=True)
-        total = np.where(most > 65_535, np.maximum(total * 65_535 // np.maximum(most, 1), total > 0), total)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total[:, 0] << 16 | total[:, 1]).astype("<u4").tobytes()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_within(total).astype("<u4").tobytes()], pa.binary())], names=["slice", "counts"])
 
     parts = rows.select("text").mapInArrow(emit, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     both = np.zeros(size, np.uint32)
     for r in parts.toLocalIterator():  # size numbers, whatever the corpus
         at = r["slice"] * (size // _SLICES)
         both[at : at + size // _SLICES] = np.frombuffer(r["counts"], "<u4")
-    return [both[a:b] for a, b in zip(begin, begin[1:], strict=False)]
+    return np.split(both, ORDERS)
 
 
 def _mixing(rows: DataFrame, shared, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -432,7 +526,8 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     token, n = token[order], n[order]
     own = min(SYMBOLS, len(n), max(LEAST_SYMBOLS, int((n >= LEAST).sum())))
     top_n = int(n[:own].sum())
-    code = huffman(np.concatenate([n[:own], [total - top_n]]) if own else np.array([1, 1]))
+    own_counts = np.concatenate([n[:own], [total - top_n]]) if own else np.zeros(2, np.int64)
+    code = huffman(own_counts if own else own_counts + 1)
     symbol = np.minimum(np.arange(len(n)), own)
     order = np.argsort(token)
     token, n, symbol = token[order], n[order], symbol[order]
@@ -442,7 +537,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     start = np.tile(np.array([0.1, 0.45, 0.25, 0.3, 0.0], np.float32), (gates, 1))
     m = Model(token, symbol, np.log10(n.astype(float) + 0.5), code, bits, [], start, np.tile(np.linspace(-14, 14, STEPS).astype(np.float32), gates), first_places(token))
     sc = docs.sparkSession.sparkContext
-    m = m._replace(seen=_context_counts(learned, sc.broadcast(m)))
+    m = m._replace(seen=[_node_counts(code, own_counts), *_context_counts(learned, sc.broadcast(m))])
     weights, refine = _mixing(learned, sc.broadcast(m), total)
     shared = sc.broadcast(m._replace(weights=weights, refine=refine))
 

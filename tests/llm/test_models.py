@@ -353,3 +353,70 @@ def test_places_of_bits_are_indexes_and_rows_are_scored_alone():
     assert all(x.dtype == np.intp for x in (ev.row, ev.node, ev.depth, *ev.slots, L.huffman(np.arange(1, 9)).node))
     empty = np.zeros(0, np.int64)
     assert score(empty, empty, 2).tolist() == [0, 0]
+
+
+def test_nodes_are_counted_by_the_counts_of_symbols():
+    """Zeros and ones of each node against the bits of all tokens, also of counts beyond 16 bits."""
+    import numpy as np
+
+    L, rng = language_model, np.random.default_rng(4)
+    symbol = np.minimum(rng.geometric(0.3, 3_000) - 1, 8)
+    code = L.huffman(np.bincount(symbol, minlength=9))
+    ev = L.events(np.zeros(len(symbol), np.int64), symbol.astype(np.uint64), symbol, code, 16)
+    want = np.zeros((code.nodes, 2), np.int64)
+    np.add.at(want, (ev.node, ev.bit), 1)
+    got = L._node_counts(code, np.bincount(symbol, minlength=9))
+    assert np.stack([got >> 16, got & 0xFFFF], axis=1).tolist() == want.tolist()
+    large = L._node_counts(code, 1_000 * np.bincount(symbol, minlength=9))
+    for zeros_ones, n in zip(want, large.tolist()):
+        assert (n >> 16, n & 0xFFFF) == tuple(int(1_000 * x if 1_000 * max(zeros_ones) <= 65_535 else max(x * 65_535 // max(zeros_ones), x > 0)) for x in zeros_ones)
+
+
+@pytest.mark.parametrize("learn", [False, True])
+def test_slices_of_bits_do_not_change_results(monkeypatch, learn):
+    import numpy as np
+
+    L, rng = language_model, np.random.default_rng(5)
+    m = plain_model(np.tile(np.linspace(-14, 14, L.STEPS).astype(np.float32), L.DEPTHS * L.SEEN))
+    row = np.repeat(np.arange(4), [2_500, 1, 64, 300])
+    symbol = rng.integers(0, 4, len(row))
+
+    def results(size):
+        monkeypatch.setattr(L, "SLICE", size)
+        ev = L.events(row, symbol.astype(np.uint64), symbol, m.code, m.bits)
+        return ev, L.run(ev, 4, m, m.weights, learn)
+
+    whole, want = results(1 << 30)
+    assert [int(x) for x in whole.bounds] == sorted(whole.bounds) and (whole.bounds[:-1] <= whole.ending).all() and (whole.ending <= whole.bounds[1:]).all()
+    for size in (7, 100, 4_096):
+        ev, got = results(size)
+        for a, b in zip((whole.row, whole.node, whole.bit, whole.depth, *whole.slots, whole.bounds, whole.ending), (ev.row, ev.node, ev.bit, ev.depth, *ev.slots, ev.bounds, ev.ending)):
+            assert np.array_equal(a, b)
+        for a, b in zip(want, got):
+            np.testing.assert_allclose(b, a, rtol=1e-4, atol=1e-5)
+
+
+def test_rows_learn_nothing_from_their_last_block(monkeypatch):
+    """What a row's last block would teach is never asked for, so no additions are made for it."""
+    import numpy as np
+
+    L = language_model
+    m = plain_model(np.tile(np.linspace(-14, 14, L.STEPS).astype(np.float32), L.DEPTHS * L.SEEN))
+    added = []
+
+    class Add:
+        __call__ = staticmethod(np.add)
+        at = staticmethod(lambda a, i, v: (added.append(len(i)), np.add.at(a, i, v)))
+
+    class Spy:
+        add = Add()
+        __getattr__ = staticmethod(lambda name: getattr(np, name))
+
+    monkeypatch.setattr(L, "np", Spy())
+    # the first row has two blocks, the others have one
+    row = np.repeat(np.arange(3), [L.BLOCK + 9, 20, L.BLOCK])
+    symbol = np.arange(len(row)) % 4
+    ev = L.events(row, symbol.astype(np.uint64), symbol, m.code, m.bits)
+    assert (L.run(ev, 3, m, m.weights, False)[0] < 0).all()
+    early = int((m.code.begin[symbol[: L.BLOCK] + 1] - m.code.begin[symbol[: L.BLOCK]]).sum())
+    assert sum(added) == (L.INPUTS + 2) * early
