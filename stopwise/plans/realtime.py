@@ -6,6 +6,9 @@ row for each stop update of a trip in a poll, ts in epoch seconds.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -160,9 +163,23 @@ def forward_filled(obs: DataFrame, stops: int = 12) -> DataFrame:
 
 
 def rolling_peak(series: DataFrame, value: str, seconds: int = 86400, by: list[str] | None = None) -> DataFrame:
-    """The greatest value in the seconds up to each row; by splits the series into independent ones."""
-    w = W.partitionBy(*(by or [])).orderBy("ts").rangeBetween(-seconds, 0)
-    return series.withColumn("peak", F.max(value).over(w))
+    """The greatest value in the seconds up to each row; by splits the series into independent ones.
+
+    Times are cut into spans of that length. A row's peak is the greatest value up to it
+    in its span, or in the span before from its time less the seconds on: two running
+    maxima over the distinct times of a span, so no row looks back over others.
+    """
+    keys = [*(by or []), "ts"]
+    best = series.groupBy(*keys).agg(F.max(value).alias("_v"))
+    at = best.select(*keys, F.floor(F.col("ts") / seconds).alias("_span"), F.col("_v").alias("_now"), F.lit(None).cast(dict(best.dtypes)["_v"]).alias("_before"))
+    later = at.select(*(by or []), (F.col("ts") + seconds).alias("ts"), (F.col("_span") + 1).alias("_span"), F.col("_before").alias("_now"), F.col("_now").alias("_before"))
+    both = at.withColumn("_own", F.lit(True)).unionByName(later.where("ts is not null").withColumn("_own", F.lit(False)))
+    own = W.partitionBy(*(by or []), "_span")
+    up, down = (own.orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in ("ts", F.desc("ts")))
+    peaks = both.withColumn("peak", F.greatest(F.max("_now").over(up), F.max("_before").over(down))).where("_own")
+    peaks = peaks.select(*[F.col(k).alias(f"_{k}") for k in keys], "peak")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return series.join(peaks, same, "left").select(*series.columns, "peak")
 
 
 def running_trips(trips: DataFrame, live: DataFrame, now: Column) -> DataFrame:
