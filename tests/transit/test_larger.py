@@ -2,11 +2,17 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from stopwise import queries
+from stopwise.bindings import Tables, town
 from stopwise.functions.geometry import KM_PER_DEGREE, LON_SHARE
+from stopwise.operators import graph_tasks, spatial
 from stopwise.plans import reach, realtime
 
+queries.register()
+
 
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -94,3 +100,89 @@ def test_readouts_around_points_of_the_same_place_meet_once(spark):
     assert all(got[k][0] == pytest.approx(first[k][0]) for k in got)
     # 300 points on 12 sites: all pairs would be 90,000 rows
     assert max(most_rows(x, "Join") for x in (around, lines, nearest)) < 3_000
+
+
+def test_pairs_of_points_of_the_same_places_are_unfolded_last(spark):
+    rows, frame = crowded(spark)
+    at = spatial.placed(frame, "id")
+    places = at.where("id = place").select("place", "lat", "lon")
+    near = spatial.range_join(places, places, 0.4).selectExpr("place as a", "r_place as b")
+    got = spatial.each_member(near, spatial.members(at, "id", 7), "a", "b").select("a", "b")
+    want = sorted((i, j) for i, *p in rows for j, *q in rows if km(p, q) <= 0.4)
+    assert sorted(map(tuple, got.collect())) == want
+    assert most_rows(got, "Join") < len(want) / 5
+    lost = spark.createDataFrame([(1, None, 15.9), (2, None, 15.9), (3, 45.8, float("nan")), (4, 45.8, float("nan")), (5, 45.8, 15.9), (6, 45.8, 15.9)], "id long, lat double, lon double")
+    assert {r["id"]: r["place"] for r in spatial.placed(lost, "id").collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
+def test_stops_within_300m_do_not_join_every_pair(spark, tmp_path):
+    """120 stops at each of two places 62 m apart."""
+    spark.range(240).selectExpr("case when id < 120 then id * 10403 else (id - 120) * 10403 + 4848 end as c_custkey", "'n' as c_name", "0 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["join_03_stops_within_300m"](spark, str(tmp_path))
+    far = got.selectExpr("count(*) as n", "count(distinct stop_idx, other_idx) as d", "count(distinct dist_km) as k").first()
+    stops = [(r["stop_idx"], r["lat"], r["lon"]) for r in Tables(spark, str(tmp_path)).stops.collect()]
+    want = {(a, b) for a, *p in stops for b, *q in stops if a != b and km(p, q) <= 0.3}
+    assert far["n"] == far["d"] == len(want)
+    assert {(r["stop_idx"], r["other_idx"]) for r in got.collect()} == want
+    assert most_rows(got, "Join") < 100
+
+
+def test_single_linkage_links_cells_not_pairs_of_points(spark):
+    rng = random.Random(8)
+    rows = [(i, 45.8 + rng.random() * 0.03, 15.9 + rng.random() * 0.04, rng.choice(["a"] * 3 + ["b", None])) for i in range(260)]
+    rows += [(300 + i, *rows[i][1:3], rows[i][3]) for i in range(60)] + [(400, None, 15.9, "a"), (401, float("nan"), 15.9, "a"), (402, float("nan"), 15.9, "a")]
+    frame = spark.createDataFrame(rows, "id long, lat double, lon double, k string")
+    root = {r[0]: r[0] for r in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, *p, k in rows:
+        for j, *q, other in rows:
+            if k is not None and k == other and None not in (*p, *q) and km(p, q) <= 0.25:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {}
+    for i, *_, k in rows:
+        want[k, top(i)] = want.get((k, top(i)), 0) + 1
+    got = spatial.single_linkage(frame, "id", 0.25, "k")
+    assert {(r["k"], r["component"]): r["n"] for r in got.collect()} == want
+
+
+def test_components_get_links_of_cells(spark, monkeypatch):
+    """All 300 points are in one cell: nothing is left to link."""
+    frame = spark.range(300).selectExpr("id", "45.8 + id * 1e-6 as lat", "15.9 + id % 7 * 1e-6 as lon", "1 as k")
+    links = []
+    plain = spatial.components
+    monkeypatch.setattr(spatial, "components", lambda pairs, nodes, *a: links.append(pairs.count()) or plain(pairs, nodes, *a))
+    own = spatial.single_linkage(frame, "id", 0.5, "k").collect()
+    assert [(r["component"], r["n"]) for r in own] == [(0, 300)]
+    assert links[0] < 10
+
+
+def test_least_costs_go_on_from_changed_nodes_only(monkeypatch):
+    """A line of 400 nodes, searched up to a cost of 3: few edges are looked at."""
+    n = 400
+    src = np.concatenate([np.arange(n - 1), np.arange(1, n)])
+    dst = np.concatenate([np.arange(1, n), np.arange(n - 1)])
+    order = np.lexsort((dst, src))
+    g = graph_tasks.Graph(np.arange(n), src[order], dst[order], np.ones(len(src)), np.searchsorted(src[order], np.arange(n + 1)))
+    looked, plain = [], graph_tasks.spread
+    monkeypatch.setattr(graph_tasks, "spread", lambda a, b: looked.append(int((b - a).sum())) or plain(a, b))
+    cost = graph_tasks.least_costs(g, np.arange(0, n, 50), 3.0)
+    far = np.abs(np.arange(n)[None, :] - np.arange(0, n, 50)[:, None]).astype(float)
+    assert np.array_equal(cost, np.where(far <= 3.0, far, np.inf))
+    assert sum(looked) <= 8 * 7 * 2
+
+
+def test_shortest_paths_between_places_are_unfolded(spark, tmp_path):
+    """60 stops at each of two places: rows for every pair of stops, one search for each place."""
+    spark.range(120).selectExpr("case when id < 60 then id * 10403 else id * 10403 + 4848 end as c_custkey", "'n' as c_name", "0 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["graph_11_shortest"](spark, str(tmp_path))
+    nodes = [(r["walk_node"], (r["lat"], r["lon"])) for r in town.street_nodes(Tables(spark, str(tmp_path))).collect()]
+    want = {(a, b): round(int(km(p, q) * 100000) * 0.0072, 6) for a, p in nodes for b, q in nodes}
+    assert len({p for _, p in nodes}) == 2
+    assert {(r["source"], r["node"]): r["cost"] for r in got.collect()} == want
+    assert got.count() == len(want) and most_rows(got, "Join") < 400
