@@ -4,11 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stopwise import queries
 from stopwise.bindings import Tables, town
+from stopwise.bindings import reach as reach_bindings
 from stopwise.functions.geometry import KM_PER_DEGREE, LON_SHARE
-from stopwise.operators import graph_tasks, spatial
+from stopwise.operators import graph_tasks, journeys, spatial
+from stopwise.plans import isochrone as iso
 from stopwise.plans import reach, realtime
 
 queries.register()
@@ -186,3 +189,39 @@ def test_shortest_paths_between_places_are_unfolded(spark, tmp_path):
     assert len({p for _, p in nodes}) == 2
     assert {(r["source"], r["node"]): r["cost"] for r in got.collect()} == want
     assert got.count() == len(want) and most_rows(got, "Join") < 400
+
+
+def test_reach_by_places_equals_reach_by_stops(spark, tmp_path):
+    """Three stops at each place and some lines: cells and labels as of a network of all stops."""
+    for name in ("supplier", "lineitem", "nation", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey < 80").selectExpr("explode(array(c_custkey, c_custkey + 10403, c_custkey + 5 * 10403)) as c_custkey", "c_name", "c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    t = Tables(spark, str(tmp_path))
+    at = town.place_stops(t)
+    assert 80 <= at.count() < 240 and town.place_nodes(t).count() == 80
+    nodes, seeds = town.street_nodes(t), iso.straight_seeds(town.origins(t), town.stops(t))
+    labels = journeys.labels(seeds, town.score_network(t), town.EIGHT, 1200.0, iso.SCORE).cache()
+    want = iso.walked_cells(labels, town.origins(t), town.stops(t), nodes, town.streets(nodes), 1200.0)
+    got = reach_bindings.reached_cells(t, [town.EIGHT], 1200.0)
+    assert {(r["point_id"], r["cells"]) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    # each stop has the time of its place
+    own = town.arrivals(t, at, town.EIGHT, 1200.0).withColumnRenamed("node", "place").join(town.stop_places(t), "place").select("source", "stop_idx", "cost")
+    have = labels.join(town.stops(t), F.col("node") == F.col("stop_idx"), "left_semi")  # some calls are at stops that are not in the table
+    assert {tuple(r) for r in own.collect()} == {(r["source"], r["node"], r["cost"]) for r in have.collect()}
+
+
+def test_walks_are_followed_in_short_windows(monkeypatch):
+    """400 nodes on a line, all of them seeds: each node's links are looked at about once."""
+    n = 400
+    src = np.concatenate([np.arange(n - 1), np.arange(1, n)])
+    dst = np.concatenate([np.arange(1, n), np.arange(n - 1)])
+    order = np.lexsort((dst, src))
+    none = np.zeros(0, np.int64)
+    first = np.searchsorted(src[order], np.arange(n + 1))
+    a = journeys._Arrays(np.arange(n), first, dst[order], np.full(len(src), 30.0), np.full(len(src), journeys.WALK), np.zeros(n + 1, np.int64), none, none, none, none, none, none, none, none, none, np.zeros(1, np.int64), none, np.zeros((0, 0)), float("inf"))
+    looked, plain = [], journeys.spread
+    monkeypatch.setattr(journeys, "spread", lambda lo, hi: looked.append(int((hi - lo).sum())) or plain(lo, hi))
+    cost = np.arange(n)[::-1] * 40.0
+    at, _ = journeys._settle(a, journeys.Rules(), (np.zeros(n, np.int64), np.arange(n), cost), 1, 0.0, 20_000.0)
+    assert np.array_equal(at.cost[0], np.arange(n)[::-1] * 30.0)
+    assert sum(looked) < 4 * len(src)
